@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows times their width stay below this.
@@ -54,11 +54,41 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = 24, limit: int = BROADCAS
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
 
 
+def text_key():
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the ids in the staged one-column table ``dropped``; null ids match null ids."""
     gone = broadcast_if_small(dropped.select(F.col(dropped.columns[0]).alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
+def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (a staged doc_id, text_key, kept: a row for each) keeps.
+
+    An id whose rows all go or all stay is settled by its id; the ids of losing rows are broadcast if
+    their counted size allows it and joined by a shuffle otherwise.  Only where an id stands on several
+    rows of different fate (null ids, repeated rows) are its rows told apart by their text.
+    """
+    per_id = staged(
+        verdicts.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept")).where("n <> n_kept"),
+        "losing_ids",
+    )
+    whole = without_ids(docs, per_id.select("doc_id"))
+    mixed = per_id.where("n_kept > 0").select(F.col("doc_id").alias("_id"))
+    if mixed.isEmpty():
+        return whole
+    stay = (
+        verdicts.join(mixed, verdicts["doc_id"].eqNullSafe(mixed["_id"]), "left_semi")
+        .where("kept").groupBy(F.col("doc_id").alias("_kid"), F.col("text_key").alias("_kkey")).agg(F.count("*").alias("_stay"))
+    )
+    rows = docs.withColumn("_key", text_key())
+    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_kid"]) & (rows["_key"] == stay["_kkey"]))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0)))
+    return whole.unionByName(rows.withColumn("_nth", nth).where("_nth <= _stay").select(docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, without_ids
+from tidemark.llm.common import keep_rows, staged, text_key
 
 #: Share of the rows from which a digest counts as a heavy hitter; the summary has 1 / SUPPORT counters.
 SUPPORT = 0.001
@@ -33,8 +33,8 @@ def normalised(text):
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of the normalised text."""
-    return docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    """(doc_id, text_key, digest): SHA-256 of the normalised text."""
+    return docs.select("doc_id", text_key().alias("text_key"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
 
 
 def heavy_hitters(digested: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -51,7 +51,7 @@ def heavy_hitters(digested: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """One row per document: doc_id, digest, keep_id, group_size, kept."""
+    """One row per document: doc_id, text_key, digest, keep_id, group_size, kept."""
     digested = staged(digests(docs), "digests")
     winners = staged(heavy_hitters(digested, support), "winners")
     bounded = F.broadcast(winners)  # at most 1 / support rows
@@ -69,32 +69,11 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
         .withColumn("group_size", F.count("*").over(group))
         .withColumn("kept", F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last())) == 1)
     )
-    columns = ["doc_id", "digest", "keep_id", "group_size", "kept"]
+    columns = ["doc_id", "text_key", "digest", "keep_id", "group_size", "kept"]
     return light.select(columns).unionByName(heavy_rest.select(columns)).unionByName(heavy_kept.select(columns))
 
 
 def drop_exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay."""
-    verdicts = staged(exact_duplicates(docs, support).select("doc_id", "digest", "kept"), "verdicts")
-    per_id = staged(
-        verdicts.groupBy("doc_id").agg(
-            F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept")
-        ).where("n <> n_kept"),
-        "not_all_kept",
-    )
-    whole = without_ids(docs, per_id.select("doc_id"))
-    # An id on several rows of which some stay: those rows are told apart by their digest.
-    mixed = per_id.where("n_kept > 0").select("doc_id")
-    if mixed.isEmpty():
-        return whole
-    mixed = mixed.withColumnRenamed("doc_id", "_id")
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_kid"), F.col("digest").alias("_kdigest"))
-    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]), "left_semi").withColumn(
-        "_digest", F.unhex(F.sha2(normalised(F.col("text")), 256))
-    )
-    rows = rows.join(
-        kept, rows["doc_id"].eqNullSafe(kept["_kid"]) & (rows["_digest"] == kept["_kdigest"]), "left_semi"
-    )
-    one = Window.partitionBy("doc_id", "_digest").orderBy(F.lit(0))
-    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(docs.columns)
-    return whole.unionByName(rows)
+    verdicts = exact_duplicates(docs, support).select("doc_id", "text_key", "kept")
+    return keep_rows(docs, staged(verdicts, "verdicts"))

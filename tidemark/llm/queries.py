@@ -19,6 +19,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and the component of near copies that they belong to."""
+    from tidemark.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token counts and the digests of their ids and of the bytes decoded from them."""
+    from tidemark.llm.bpe import public_vocabulary, token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), public_vocabulary(spark))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays of their group of equal texts."""
     from tidemark.llm.exact_dedup import exact_duplicates
@@ -31,6 +46,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op4_simhash": op4_simhash,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
