@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, with the item and the window that matches it."""
+    from tidemark.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 of nearly equal bytes."""
     from tidemark.llm.sharding import shard
@@ -45,6 +52,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op7_byte_bpe": op7_byte_bpe,
