@@ -34,6 +34,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' toxicity scores; the model learns from the labels outside the held-out fold."""
+    from tidemark.llm.toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold"
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token counts and the digests of their ids and of the bytes decoded from them."""
     from tidemark.llm.bpe import public_vocabulary, token_digests
@@ -55,6 +66,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
