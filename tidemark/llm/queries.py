@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import fresh_path, table
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens by source, language and tokenizer version, from committed batches."""
+    from tidemark.llm.bpe import public_vocabulary
+    from tidemark.llm.token_counts import TokenRollup, bpe_counts, inserts, word_counts
+
+    docs = table(spark, sf_dir, "documents")
+    rollup = TokenRollup(spark, fresh_path(spark, "token_counts"))
+    rollup.commit("load-words", inserts(word_counts(docs)))
+    rollup.commit("load-bpe", inserts(bpe_counts(docs, public_vocabulary(spark), "byte_bpe_50k")))
+    return rollup.totals()
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +57,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' quality scores; the model learns from the labels outside the held-out fold."""
+    from tidemark.llm.quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token counts and the digests of their ids and of the bytes decoded from them."""
     from tidemark.llm.bpe import public_vocabulary, token_digests
@@ -52,6 +73,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_vocabulary(spark))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to WARC archives in the shared folder and read back from them."""
+    from tidemark.llm.warc import page_summaries, read_archives, write_archives
+
+    path = fresh_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return page_summaries(read_archives(spark, path))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays of their group of equal texts."""
     from tidemark.llm.exact_dedup import exact_duplicates
@@ -62,16 +92,38 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs judged by rule or, without one, by the boosted trees."""
+    from tidemark.llm.urls import fit, judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op8_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(p.h, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN first USING (h)""",
     "op9_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
