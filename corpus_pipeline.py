@@ -1,24 +1,54 @@
 """The corpus pipeline: documents in, encoded documents out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the
-shared folder and reads again as the next stage's ``docs``.
+shared folder and reads again as the next stage's ``docs``.  All stages but the last keep the columns of
+``documents`` and only take rows away; nulls, empty tables, repeated rows and further columns are handled
+as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from tidemark.llm.common import staged, table
-from tidemark.llm.exact_dedup import drop_exact_duplicates
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity reaches their language's threshold go; the model learns from ``labels``."""
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    return drop_exact_duplicates(docs)
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text and the bytes that they decode to."""
+    return bpe.encode_documents(docs, bpe.public_vocabulary(spark))
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_duplicates),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_benchmark_leaks),
+    ("bpe", encode),
+]
 
+#: No SQL expresses the classifier or the components of near copies; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
