@@ -31,6 +31,8 @@ def round_trip(spark, pages):
 
 def test_round_trip(spark):
     pages = table(spark, "/root/testdata/sf0.001", "pages")
+    copies = pages.where("page_id < 9").selectExpr("page_id + 1000 as page_id", "url", "html")
+    pages = pages.select("page_id", "url", "html").unionByName(copies)
     path, records = round_trip(spark, pages)
     assert sorted(map(tuple, warc.page_summaries(records).collect()), key=str) == brute([(r["page_id"], r["html"]) for r in pages.collect()])
     kinds = {r["record_type"] for r in warc.parse_archives(spark, path).collect()}

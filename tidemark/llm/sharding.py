@@ -107,7 +107,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, samples_a_range: int = SAMPLES_
         more = splitters(sample_keys(inside, step / 8, round_no), min(room, 4 * len(over) + 1))
         if set(more) <= set(bounds):
             break
-        bounds, sizes = sorted({*bounds, *more}), measured()
+        bounds = sorted({*bounds, *more})
+        sizes = measured()
 
     starts, bytes_before, rows_before = [], 0, 0
     for r in range(len(bounds) + 1):

@@ -76,30 +76,31 @@ def suffixes(host: str) -> tuple[str, str]:
 
 
 class UrlModel:
-    """Boosted trees on lexical features and on what the training URLs say about a host's suffixes."""
+    """Boosted trees on lexical features and on what the training URLs say about a host's suffixes.
+
+    The suffix statistics come from one half of the training rows and the trees from the other, so that no
+    tree sees a statistic to which its own row's label has contributed.
+    """
 
     def __init__(self, rows: list):
         y = np.array([r["ruled"] == "block" for r in rows], np.float64)
         self.share = float(y.mean()) if len(y) else 0.0
         self.stats: dict[str, tuple[float, float]] = {}
-        for r, label in zip(rows, y, strict=True):
+        for r, label in zip(rows[::2], y[::2], strict=True):
             for s in suffixes(r["host"]):
                 n, blocked = self.stats.get(s, (0.0, 0.0))
                 self.stats[s] = (n + 1, blocked + label)
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.bias = 0.0
-        if 0 < self.share < 1:
-            self._boost(self._matrix([(r["url"], r["host"], r["path"]) for r in rows], y), y)
+        if 0 < y[1::2].sum() < len(y[1::2]):
+            self._boost(self._matrix([(r["url"], r["host"], r["path"]) for r in rows[1::2]]), y[1::2])
 
-    def _matrix(self, parts: list[tuple], labels: np.ndarray | None = None) -> np.ndarray:
-        """Suffix statistics of a training row leave the row itself out."""
+    def _matrix(self, parts: list[tuple]) -> np.ndarray:
         out = []
-        for i, (url, host, path) in enumerate(parts):
+        for url, host, path in parts:
             row = lexical(url, host, path)
             for s in suffixes(host):
                 n, blocked = self.stats.get(s, (0.0, 0.0))
-                if labels is not None:
-                    n, blocked = n - 1, blocked - labels[i]
                 row += [np.log1p(n), (blocked + 5 * self.share) / (n + 5)]
             out.append(row)
         return np.array(out, np.float64).reshape(len(parts), -1)

@@ -31,7 +31,7 @@ from tidemark.llm.common import broadcast_if_small, staged
 VERSION = b"WARC/1.1\r\n"
 SEPARATOR = "\r\n\r\n"
 #: Bytes of a record's block from which it is cut into segments; bytes of a chunk of the HTTP framing.
-SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 4 << 10
+SEGMENT_BYTES, CHUNK_BYTES = 8 << 10, 2 << 10
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
