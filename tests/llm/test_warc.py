@@ -63,3 +63,14 @@ def test_bad_archives(spark, tmp_path):
             out.write(b"".join(r + b"\r\n\r\n" for r in lost)[: None if name == "lost" else -4])
         with pytest.raises(Exception, match="missing|ends within"):
             warc.read_archives(spark, str(tmp_path / name)).collect()
+
+
+def test_fragments_join_and_part():
+    records = [x for i in range(3) for x in warc.page_records(i, "u", b"line\r\n" * 4000 + b"\r\n\r\nWARC/1.1\r\n", None)]
+    whole = [r.removeprefix(warc.VERSION) for r in records]
+    archive = b"".join(r + b"\r\n\r\n" for r in records)
+    mark = b"\r\n\r\n" + warc.VERSION
+    assert list(warc._whole_records(iter(archive.split(mark)))) == whole
+    assert list(warc._whole_records(iter([archive]))) == whole
+    missed = archive.split(mark)
+    assert list(warc._whole_records(iter([mark.join(missed[:2]), *missed[2:]]))) == whole

@@ -131,21 +131,24 @@ _PARSED = "record_id string, record_type string, digest string, refers_to string
 
 
 def _whole_records(fragments: Iterator[bytes]) -> Iterator[bytes]:
-    """Joins fragments until a record has the length that it announces."""
-    held, wanted = None, 0
+    """Records of the length that they announce, from fragments that may hold a part of one or several.
+
+    A reader may pass over a version line that follows a line break of the block itself; so what stands
+    behind a record's length is looked at for the next one.
+    """
+    mark, held = SEPARATOR.encode() + VERSION, None
     for fragment in fragments:
-        if held is None or fragment.startswith(VERSION) and len(held) >= wanted:
-            held = fragment.removeprefix(VERSION)
-        else:
-            held += SEPARATOR.encode() + VERSION + fragment
-        head, gap, _ = held.partition(b"\r\n\r\n")
-        if not gap:
-            continue
-        length = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        wanted = len(head) + 4 + length
-        if len(held) >= wanted:
+        held = fragment.removeprefix(VERSION) if held is None else held + mark + fragment
+        while held is not None:
+            head, gap, _ = held.partition(b"\r\n\r\n")
+            if not gap:
+                break
+            length = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            wanted = len(head) + 4 + length
+            if len(held) < wanted:
+                break
             yield held[:wanted]
-            held = None
+            held = held[wanted + len(mark) :] if held.startswith(mark, wanted) else None
     if held is not None:
         raise ValueError("an archive ends within a record")
 
