@@ -72,7 +72,7 @@ class TextCNN:
             self.constant = float(labels.mean()) if len(labels) else 0.0
             return self
         number: dict[str, int] = {}
-        rows = [np.array([number.setdefault(w, len(number) + 1) for w in words] or [0]) for words in texts]
+        rows = [np.array([number.setdefault(w, len(number) + 1) for w in words] or [0], np.int32) for words in texts]
         table = np.array([[0] * (1 + len(PREFIXES))] + [features(w) for w in number])
         self._start(rows, labels, table)
         names = ["embedding", "bias", "out", "out_bias", *range(len(WIDTHS))]
@@ -120,7 +120,7 @@ class TextCNN:
     def _gradients(self, rows, labels, table, rng):
         lengths = np.array([len(r) for r in rows])
         pad = max(WIDTHS) - 1
-        words = np.concatenate([np.r_[r, np.zeros(pad, r.dtype)] for r in rows])
+        words = np.concatenate([x for r in rows for x in (r, np.zeros(pad, r.dtype))])
         starts = np.r_[0, np.cumsum(lengths + pad)[:-1]]
         different, inverse = np.unique(words, return_inverse=True)
         vectors = self.embedding[table[different]].sum(axis=1)[inverse]
@@ -234,7 +234,8 @@ class ToxicityModel:
     """Weights and thresholds, fitted on a bounded sample of labelled rows."""
 
     def __init__(self, rows: list):
-        texts = [words_of(r["text"]) for r in rows]
+        same: dict[str, str] = {}  # one object for each different word: a text then costs its pointers
+        texts = [[same.setdefault(w, w) for w in words_of(r["text"])] for r in rows]
         labels = np.array([r["y"] for r in rows], np.float32)
         langs = np.array([r["lang"] or "" for r in rows])
         held = np.arange(len(rows)) % CALIBRATION == 0
@@ -242,6 +243,7 @@ class ToxicityModel:
         self.default, self.thresholds = 0.5, {}
         if held.any() and probe.constant is None:
             of_held = [" ".join(t) for t, h in zip(texts, held, strict=True) if h]
+            texts.clear()
             best = _best_threshold(probe.scorer().score(of_held), labels[held])
             probe.out_bias = np.float32(probe.out_bias - np.log(best / (1 - best)))  # from now on 0.5 is best overall
             scores = probe.scorer().score(of_held)
