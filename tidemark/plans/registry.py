@@ -2,10 +2,360 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import names, registry
+from tidemark.functions.calendar import iso_week, saturday_on_or_before, saturdays, valid_iso_date
+from tidemark.functions.credits import parse_credits
+from tidemark.operators import analytics, charts, ingest, quality, records, search, stats
+from tidemark.operators import valid_weeks as vw
+from tidemark.operators.records import Custom
+from tidemark.plans.oracle import board, sql, years
+from tidemark.sources import week_files
+from tidemark.sources.projection import Tables, project
+from tidemark.streaming.incremental import weekly_activity
+
+#: Parameters of the registered queries.
+ARTIST, SONG, OTHER_SONG, TARGET = 7, 12, 30, "2001-03-15"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, over: Callable[[Tables], DataFrame], oracle: str | None) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: over(project(spark, sf_dir))
+    if oracle:
+        _ORACLES[name] = oracle
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+# -- the model and the weeks that count ---------------------------------------------------------
+
+_add("chart_weeks", lambda t: t.weeks, sql("SELECT * FROM chart_weeks"))
+_add("chart_entries", lambda t: t.entries, sql("SELECT * FROM chart_entries"))
+_add("phantom_weeks", lambda t: vw.judged_weeks(t.entries).select("chart_id", "week_id", "entries", "fresh", "phantom"), sql("SELECT * FROM phantoms"))
+_add("first_real_week", lambda t: vw.judged_weeks(t.entries).where("first_real").select("chart_id", "week_id"), sql("SELECT * FROM real_first"))
+_add("valid_weeks", lambda t: vw.valid_weeks(t.entries), sql("SELECT * FROM valid"))
+_add("valid_weeks_multi", lambda t: vw.valid_weeks(t.entries, [1, 4]), sql("SELECT * FROM valid WHERE chart_id IN (1, 4)"))
+_add("active_charts", charts.active_charts, sql("SELECT slug, title, entity_kind, category, CASE id WHEN 3 THEN 'Artist' WHEN 4 THEN 'Rock' ELSE 'Core' END AS family, sort_order FROM charts"))
+_add("registry_last_loaded", charts.last_loaded, sql("SELECT c.id, slug, entity_kind, MAX(chart_date) AS last_loaded, sort_order FROM charts c LEFT JOIN chart_weeks w ON w.chart_id = c.id GROUP BY ALL"))
+_add(
+    "chart_metadata",
+    lambda t: t.charts.select("slug", registry.kind_of(F.col("slug")).alias("kind"), registry.depth_of(F.col("slug")).alias("top"), registry.family_position(registry.family(F.col("slug"), F.col("category"))).cast("int").alias("place")),
+    sql("SELECT slug, 'song' AS kind, CASE WHEN slug LIKE '%-songs' THEN 50 ELSE 100 END AS top, CASE id WHEN 3 THEN 2 WHEN 4 THEN 6 ELSE 1 END AS place FROM charts"),
+)
+
+# -- statistics ---------------------------------------------------------------------------------
+
+_add("song_stats", stats.song_stats, sql("SELECT * FROM song_stats"))
+_add("album_stats", stats.album_stats, sql("SELECT * FROM album_stats"))
+_add("debut_position", stats.debut_positions, sql("SELECT entity_id, chart_date, rank AS debut_position FROM ve WHERE chart_id = 1 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY chart_date) = 1"))
+_add("artist_chart_stats", stats.artist_chart_stats, sql("SELECT * FROM artist_chart_stats"))
+_add("artist_stats", stats.artist_stats, sql("SELECT * FROM artist_stats"))
+_SUMS = "CAST(SUM(total_entries) AS INTEGER) AS total_entries, CAST(SUM(total_weeks) AS INTEGER) AS total_weeks, CAST(SUM(number_ones) AS INTEGER) AS number_ones, MIN(best_peak) AS best_peak, MAX(max_simultaneous) AS max_simultaneous, MIN(first_date) AS first_date, MAX(last_date) AS last_date"
+_add("artist_career_totals", stats.artist_career_totals, sql(f"SELECT name, {_SUMS}, COUNT(*) AS chart_count FROM artist_chart_stats s JOIN artists a ON a.id = s.artist_id GROUP BY name"))
+_add(
+    "artist_chart_rollups", lambda t: stats.artist_chart_rollups(t, names.identity_group("Supplier#000000006")),
+    sql(f"SELECT slug AS chart_slug, sort_order, {_SUMS} FROM artist_chart_stats s JOIN artists a ON a.id = s.artist_id JOIN charts c ON c.id = chart_id WHERE name = 'Supplier#000000006' GROUP BY slug, sort_order"),
+)
+_add("rollup_parity", stats.rollup_parity, sql("SELECT artist_id, 0 AS song_rollup, 0 AS album_rollup, song_total_weeks, album_total_weeks FROM artist_stats WHERE false"))
+
+# -- records ------------------------------------------------------------------------------------
+
+for _kind, _items in (("song", "songs"), ("album", "albums")):
+    _chart = 1 if _kind == "song" else 2
+    _add(f"most_weeks_at_number_one_{_items}", lambda t, k=_kind: records.weeks_at_number_one(t, k), board(f"SELECT entity_id AS id, weeks_at_number_one AS value FROM {_kind}_stats WHERE weeks_at_number_one > 0", _items))
+    _add(f"longest_chart_runs_{_items}", lambda t, k=_kind: records.longest_chart_runs(t, k), board(f"SELECT entity_id AS id, total_weeks AS value FROM {_kind}_stats", _items))
+    _add(f"most_number_one_{_items}_by_artist", lambda t, k=_kind: records.number_ones_by_artist(t, k), board(f"SELECT artist_id AS id, COUNT(DISTINCT entity_id) AS value FROM {_kind}_stats JOIN {_kind}_artists USING (entity_id) WHERE weeks_at_number_one > 0 GROUP BY 1", "people"))
+    _add(f"most_entries_by_artist_{_items}", lambda t, k=_kind: records.entries_by_artist(t, k), board(f"SELECT artist_id AS id, total_{_items} AS value FROM artist_stats WHERE value > 0", "people"))
+    _add(f"most_total_chart_weeks_by_artist_{_items}", lambda t, k=_kind: records.total_chart_weeks_by_artist(t, k), board(f"SELECT artist_id AS id, {_kind}_total_weeks AS value FROM artist_stats WHERE value > 0", "people"))
+    _add(
+        f"biggest_debuts_{_items}", lambda t, k=_kind: records.biggest_debuts(t, k),
+        sql(f"SELECT row_number() OVER (ORDER BY debut_position, total_weeks DESC, id) AS rank, id, title, artist_credit, debut_position AS value FROM {_kind}_stats JOIN {_items} ON id = entity_id QUALIFY rank <= 25"),
+    )
+    _add(
+        f"fastest_to_number_one_{_items}", lambda t, k=_kind, c=_chart: records.fastest_to_number_one(t, c, k),
+        board(f"SELECT entity_id AS id, (MIN(chart_date) FILTER (rank = 1) - MIN(chart_date)) // 7 + 1 AS value FROM chart_entries WHERE chart_id = {_chart} GROUP BY 1 HAVING MIN(rank) = 1", _items, 25, "ASC"),
+    )
+    _add(
+        f"drilldown_number_one_{_items}", lambda t, k=_kind: records.number_one_items(t, k, ARTIST),
+        board(f"SELECT entity_id AS id, weeks_at_number_one AS value FROM {_kind}_stats WHERE value > 0 AND entity_id IN (SELECT entity_id FROM {_kind}_artists WHERE artist_id = {ARTIST})", _items, None),
+    )
+    _add(
+        f"drilldown_artist_{_items}", lambda t, k=_kind: records.artist_items(t, k, ARTIST),
+        board(f"SELECT entity_id AS id, total_weeks AS value FROM {_kind}_stats WHERE entity_id IN (SELECT entity_id FROM {_kind}_artists WHERE artist_id = {ARTIST})", _items, None),
+    )
+_add("most_top10_weeks", lambda t: records.top10_weeks(t, 1, "song"), board("SELECT entity_id AS id, COUNT(*) AS value FROM ve WHERE chart_id = 1 AND rank <= 10 GROUP BY 1", "songs"))
+_add("most_top10_weeks_genre", lambda t: records.preset(t, "top10_weeks", vw.chart_named(t, "rock-songs")), board("SELECT entity_id AS id, COUNT(*) AS value FROM ve WHERE chart_id = 4 AND rank <= 10 GROUP BY 1", "songs"))
+_add(
+    "most_number_one_songs_by_lead_artist", lambda t: records.number_ones_by_artist(t, "song", "lead"),
+    board("SELECT artist_id AS id, COUNT(DISTINCT entity_id) AS value FROM song_stats JOIN song_artists USING (entity_id) WHERE weeks_at_number_one > 0 AND role = 'primary' GROUP BY 1", "people"),
+)
+_WEEKLY = "(SELECT artist_id, chart_date, COUNT(*) AS value FROM ve JOIN song_artists USING (entity_id) WHERE chart_id = 1 GROUP BY ALL)"
+_add(
+    "most_simultaneous_entries", lambda t: records.simultaneous_entries(t, 1),
+    sql(f"SELECT row_number() OVER (ORDER BY value DESC, chart_date DESC, name, id) AS rank, id, name AS title, value, chart_date FROM {_WEEKLY} JOIN artists ON id = artist_id QUALIFY rank <= 50"),
+)
+_add(
+    "most_simultaneous_entries_personal_max", lambda t: records.simultaneous_personal_bests(t, 1),
+    sql(f"SELECT row_number() OVER (ORDER BY value DESC, name, chart_date, id) AS rank, id, name AS title, value, chart_date FROM (SELECT * FROM {_WEEKLY} QUALIFY value = MAX(value) OVER (PARTITION BY artist_id)) JOIN artists ON id = artist_id QUALIFY rank <= 50"),
+)
+_add(
+    "drilldown_simultaneous", lambda t: records.simultaneous_weeks(t, 1, ARTIST),
+    sql(f"""SELECT chart_date, COUNT(*) OVER w AS week_value, row_number() OVER (PARTITION BY chart_date ORDER BY rank) AS week_rank, rank AS entry_rank, id, title, artist_credit
+FROM ve JOIN songs ON id = entity_id WHERE chart_id = 1 AND entity_id IN (SELECT entity_id FROM song_artists WHERE artist_id = {ARTIST}) WINDOW w AS (PARTITION BY chart_date)"""),
+)
+_add("paged_records", lambda t: records.paged(records.longest_chart_runs(t, "song", 200), 2), board("SELECT entity_id AS id, total_weeks AS value FROM song_stats", "songs", 200) + " AND rank BETWEEN 21 AND 30")
+_GENDER = "(SELECT a.id AS artist_id, name, coalesce(gender, 'unknown') AS gender, COUNT(*) AS value FROM ve JOIN song_artists USING (entity_id) JOIN artists a ON a.id = artist_id WHERE chart_id = 1 GROUP BY ALL)"
+_COVER = f"(SELECT COUNT(*) AS total_artists, COUNT(*) FILTER (gender <> 'unknown') AS matched_artists, COUNT(*) FILTER (gender = 'unknown') AS unknown_artists, COUNT(*) FILTER (gender <> 'unknown') / COUNT(*) AS coverage FROM {_GENDER})"
+_add("gender_leaderboard", lambda t: records.gender_leaderboard(t, 1, "song", "female"), sql(f"SELECT *, row_number() OVER (ORDER BY value DESC, name, artist_id) AS rank FROM {_GENDER}, {_COVER} WHERE gender = 'female' QUALIFY rank <= 50"))
+_add("gender_leaderboard_coverage", lambda t: records.gender_coverage_of(records.weeks_by_gender(t, 1, "song")), sql(f"SELECT * FROM {_COVER}"))
+
+# -- custom records -----------------------------------------------------------------------------
+
+_add("custom_total_weeks", lambda t: records.custom(t, Custom("songs", 1, "song", peak=(2, 20), weeks_min=2)), board("SELECT entity_id AS id, total_weeks AS value FROM song_stats WHERE peak_position BETWEEN 2 AND 20 AND total_weeks >= 2", "songs"))
+_add("custom_weeks_at_number_one", lambda t: records.custom(t, Custom("albums", 2, "album", "weeks-at-number-one", artist_names=["build", "house"])), board("SELECT entity_id AS id, weeks_at_number_one AS value FROM album_stats JOIN albums ON id = entity_id WHERE weeks_at_number_one > 0 AND (artist_credit ILIKE '%build%' OR artist_credit ILIKE '%house%')", "albums"))
+_add("custom_weeks_at_position", lambda t: records.custom(t, Custom("songs", 1, "song", "weeks-at-position", 3)), board("SELECT entity_id AS id, COUNT(*) AS value FROM ve JOIN song_stats USING (entity_id) WHERE chart_id = 1 AND rank = 3 GROUP BY 1", "songs"))
+_add("custom_weeks_in_top_n", lambda t: records.custom(t, Custom("songs", 4, "song", "weeks-in-top-n", 5, debut=(5, 40))), board("SELECT entity_id AS id, COUNT(*) AS value FROM ve JOIN song_stats USING (entity_id) WHERE chart_id = 4 AND rank <= 5 AND debut_position BETWEEN 5 AND 40 GROUP BY 1", "songs"))
+_add("custom_fewest_weeks", lambda t: records.custom(t, Custom("songs", 1, "song", ascending=True, limit=20)), board("SELECT entity_id AS id, total_weeks AS value FROM song_stats", "songs", 20, "ASC"))
+_add("custom_year_total_weeks", lambda t: records.custom(t, Custom("songs", 1, "song", years=(1996, 1998), peak=(None, 10))), board(f"SELECT entity_id AS id, total_weeks AS value FROM {years(1996, 1998)} WHERE peak_position <= 10", "songs"))
+_add("custom_year_top_n", lambda t: records.custom(t, Custom("songs", 1, "song", "weeks-in-top-n", 10, years=(1997, None))), board("SELECT entity_id AS id, COUNT(*) AS value FROM ve WHERE chart_id = 1 AND rank <= 10 AND year(chart_date) >= 1997 GROUP BY 1", "songs"))
+_SUM_ARTISTS = "SELECT artist_id AS id, {0} AS value FROM {1} s JOIN {2} USING (entity_id) {3} GROUP BY 1 HAVING value > 0"
+_add("custom_artists", lambda t: records.custom(t, Custom("artists", 1, "song")), board(_SUM_ARTISTS.format("SUM(total_weeks)", "song_stats", "song_artists", ""), "people"))
+_add("custom_artists_entries", lambda t: records.custom(t, Custom("artists", 1, "song", "most-entries", scope="lead")), board(_SUM_ARTISTS.format("COUNT(DISTINCT entity_id)", "song_stats", "song_artists", "WHERE role = 'primary'"), "people"))
+_add("custom_artists_year", lambda t: records.custom(t, Custom("artists", 2, "album", "number-one-entries", years=(None, 1999))), board(_SUM_ARTISTS.format("COUNT(*) FILTER (weeks_at_number_one > 0)", years(1900, 1999, 2), "album_artists", ""), "people"))
+
+# -- charts by week -----------------------------------------------------------------------------
+
+_DATES = "(SELECT w.chart_id, w.chart_date FROM chart_weeks w JOIN valid v ON v.week_id = w.id)"
+_add("available_dates", charts.available_dates, sql(f"SELECT * FROM {_DATES}"))
+_add("chart_week_navigation", charts.navigation, sql(f"SELECT *, lag(chart_date) OVER w AS previous_date, lead(chart_date) OVER w AS next_date FROM {_DATES} WINDOW w AS (PARTITION BY chart_id ORDER BY chart_date)"))
+_FIRST = "(SELECT entity_id, arg_min(artist_id, (CASE role WHEN 'primary' THEN 0 ELSE 1 END) * 1000000000 + artist_id) AS artist_id FROM {0} GROUP BY 1)"
+_add("primary_artist", lambda t: charts.primary_artist(t.song_artists), sql(f"SELECT * FROM {_FIRST.format('song_artists')}"))
+for _kind, _items, _chart in (("song", "songs", 1), ("album", "albums", 2), ("artist", "people", 3)):
+    _lead = _FIRST.format(f"{_kind}_artists") if _kind != "artist" else "(SELECT id AS entity_id, id AS artist_id FROM artists)"
+    _add(
+        f"weekly_chart_{_kind}", lambda t, k=_kind, c=_chart: charts.weekly_chart(t, c, k, "1998-05-16" if c == 1 else None),
+        sql(f"""SELECT rank, title, artist_credit, artist_id, peak_pos, last_pos, weeks_on_chart, is_new, e.entity_id, chart_date
+FROM ve e JOIN {_items} i ON i.id = e.entity_id LEFT JOIN {_lead} l ON l.entity_id = e.entity_id WHERE chart_id = {_chart}
+AND chart_date = (SELECT coalesce(MAX(chart_date) FILTER (chart_date = {"DATE '1998-05-16'" if _chart == 1 else 'NULL'}), MAX(chart_date)) FROM {_DATES} WHERE chart_id = {_chart})"""),
+    )
+_add("asof_chart_date", lambda t: charts.chart_date_for(t, 1, "1999-02-03"), sql(f"SELECT coalesce(MAX(chart_date) FILTER (chart_date <= DATE '1999-02-03'), MIN(chart_date)) AS chart_date FROM {_DATES} WHERE chart_id = 1"))
+_add("asof_chart_year", lambda t: charts.chart_date_for(t, 2, "1997"), sql(f"SELECT MAX(chart_date) AS chart_date FROM {_DATES} WHERE chart_id = 2 AND year(chart_date) = 1997"))
+_add(
+    "chart_movement", charts.moved_entries,
+    sql("""SELECT chart_id, chart_date, rank, entity_id,
+CASE WHEN is_new THEN 'NEW' WHEN last_pos <= 0 THEN 'RE' WHEN last_pos > rank THEN '▲' || (last_pos - rank) WHEN last_pos < rank THEN '▼' || (rank - last_pos) ELSE '•' END AS movement,
+CASE WHEN last_pos = 0 THEN CASE WHEN is_new THEN 'NEW' ELSE 'RE' END WHEN last_pos > rank THEN '+' || (last_pos - rank) WHEN last_pos < rank THEN '' || (last_pos - rank) ELSE '=' END AS signed FROM ve"""),
+)
+for _name, _gap in (("chart_runs_14d", 14), ("chart_run_segments", 10)):
+    _add(
+        _name, lambda t, g=_gap: charts.runs(t, g),
+        sql(f"""SELECT chart_id, entity_id, CAST(run AS INTEGER) AS run, MIN(chart_date) AS first_date, MAX(chart_date) AS last_date, COUNT(*) AS weeks, MIN(rank) AS best FROM (
+SELECT *, SUM(new) OVER (PARTITION BY chart_id, entity_id ORDER BY chart_date) AS run FROM (
+SELECT *, CASE WHEN chart_date - lag(chart_date) OVER (PARTITION BY chart_id, entity_id ORDER BY chart_date) > {_gap} THEN 1 ELSE 0 END AS new FROM ve)) GROUP BY chart_id, entity_id, run"""),
+    )
+for _kind, _id, _charts in (("song", SONG, "1, 4"), ("album", 5, "2")):
+    _add(
+        f"{_kind}_run_by_chart", lambda t, k=_kind, i=_id: charts.run_by_chart(t, k, i),
+        sql(f"SELECT sort_order, slug, chart_date, rank, last_pos, is_new, peak_pos, weeks_on_chart FROM ve JOIN charts c ON c.id = chart_id WHERE entity_id = {_id} AND chart_id IN ({_charts})"),
+    )
+    _add(f"{_kind}_detail", lambda t, k=_kind: charts.item_detail(t, k), sql(f"SELECT i.*, s.* EXCLUDE (entity_id) FROM {_kind}s i LEFT JOIN {_kind}_stats s ON s.entity_id = i.id"))
+    _add(
+        f"artist_{_kind}_catalog", lambda t, k=_kind: charts.catalog(t, k),
+        sql(f"""SELECT l.artist_id, l.entity_id, o.slug, i.title, peak_position, total_weeks, weeks_at_number_one, debut_date, debut_position
+FROM (SELECT DISTINCT artist_id, entity_id FROM {_kind}_artists) l JOIN (SELECT DISTINCT entity_id, slug FROM chart_entries JOIN charts c ON c.id = chart_id WHERE entity_kind = '{_kind}') o ON o.entity_id = l.entity_id
+JOIN {_kind}s i ON i.id = l.entity_id LEFT JOIN {_kind}_stats s ON s.entity_id = l.entity_id"""),
+    )
+_add("entity_artists", lambda t: charts.entity_artists(t, "song"), sql("SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY role, name, artist_id) AS position, artist_id, name, role FROM song_artists JOIN artists ON id = artist_id"))
+_add("entity_charts", charts.entity_charts, sql("SELECT DISTINCT entity_kind, entity_id, slug FROM chart_entries JOIN charts c ON c.id = chart_id"))
+_add("artist_timeline", lambda t: charts.artist_timeline(t, ARTIST), sql(f"SELECT chart_id, chart_date, rank, last_pos, is_new FROM linked WHERE artist_id = {ARTIST} AND chart_id IN (1, 2)"))
+_add("table_counts", charts.table_counts, sql(" UNION ALL ".join(f"SELECT '{n}' AS relation, COUNT(*) AS n FROM {n}" for n in ("chart_weeks", "chart_entries", "songs", "albums", "artists", "song_stats", "album_stats", "artist_stats"))))
+_add("latest_chart_dates", lambda t: charts.latest_dates(t, TARGET), sql(f"SELECT slug, MAX(chart_date) AS latest_date FROM chart_weeks JOIN charts c ON c.id = chart_id WHERE chart_date <= DATE '{TARGET}' AND dayofweek(chart_date) = 6 GROUP BY slug"))
+
+# -- analytics ----------------------------------------------------------------------------------
+
+_add(
+    "entity_comparison", lambda t: analytics.entity_metrics(t, "song", [SONG, OTHER_SONG]),
+    sql(f"""SELECT i.id AS entity_id, i.title AS label, coalesce(c.charts, '') AS charts, peak, coalesce(w, 0) AS weeks_on_chart, coalesce(o, 0) AS weeks_at_number_one, coalesce(n, 0) AS top_ten_weeks, a AS first_date, b AS last_date,
+CASE WHEN a IS NULL THEN '' WHEN year(a) = year(b) THEN '' || year(a) ELSE year(a) || '–' || year(b) END AS active_era FROM songs i
+LEFT JOIN (SELECT entity_id, string_agg(slug, ',' ORDER BY slug) AS charts FROM (SELECT DISTINCT entity_id, slug FROM chart_entries JOIN charts c ON c.id = chart_id WHERE entity_kind = 'song') GROUP BY 1) c ON c.entity_id = i.id
+LEFT JOIN (SELECT entity_id, MIN(rank) AS peak, COUNT(*) AS w, COUNT(*) FILTER (rank = 1) AS o, COUNT(*) FILTER (rank <= 10) AS n, MIN(chart_date) AS a, MAX(chart_date) AS b FROM ve WHERE chart_id IN (1, 4) GROUP BY 1) m ON m.entity_id = i.id
+WHERE i.id IN ({SONG}, {OTHER_SONG})"""),
+)
+_add("presence_by_year", analytics.presence_by_year, sql("SELECT chart_id, entity_id, year(chart_date) AS year, COUNT(*) AS weeks FROM ve GROUP BY ALL"))
+_SIDE = "(SELECT year(chart_date) AS year, COUNT(*) AS {1} FROM ve WHERE chart_id = 1 AND entity_id = {0} GROUP BY 1)"
+_add("presence_overlay", lambda t: analytics.presence_overlay(t, 1, SONG, OTHER_SONG), sql(f"SELECT year, left_weeks, right_weeks FROM {_SIDE.format(SONG, 'left_weeks')} FULL JOIN {_SIDE.format(OTHER_SONG, 'right_weeks')} USING (year)"))
+_add(
+    "this_week_in_history", lambda t: analytics.this_week_in_history(t, 1, "song", TARGET),
+    sql(f"""SELECT y.year, e.chart_date, e.rank, e.title, e.artist_credit, e.chart_date IS NOT NULL AS charted
+FROM (SELECT CAST(unnest(range((SELECT MIN(year(chart_date)) FROM {_DATES} WHERE chart_id = 1), year(DATE '{TARGET}'))) AS INTEGER) AS year) y
+LEFT JOIN (SELECT chart_date, rank, title, artist_credit FROM ve JOIN songs ON id = entity_id WHERE chart_id = 1 AND rank <= 10 AND week(chart_date) = week(DATE '{TARGET}') AND chart_date < DATE '{TARGET}') e ON year(e.chart_date) = y.year"""),
+)
+
+# -- search -------------------------------------------------------------------------------------
+
+_TRI = r"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def _similar(column: str, query: str) -> str:
+    a, b = _TRI.format(column), _TRI.format(f"'{query}'")
+    both = f"len(list_intersect({a}, {b}))"
+    return f"({both} / (len({a}) + len({b}) - {both}))"
+
+
+for _kind, _query in (("song", "small widget"), ("album", "customer 000000012")):
+    _add(
+        f"search_{_kind}s", lambda t, k=_kind, q=_query: search.search_items(t, k, q),
+        sql(f"""SELECT f.*, peak_position, total_weeks, weeks_at_peak FROM (SELECT *, row_number() OVER (ORDER BY sim DESC, title, id) AS rank FROM (SELECT *, {_similar('title', _query)} AS sim FROM {_kind}s) WHERE sim >= 0.3 QUALIFY rank <= 50) f LEFT JOIN {_kind}_stats s ON s.entity_id = f.id"""),
+    )
+_add(
+    "search_artists", lambda t: search.search_artists(t, "supplier 000000007"),
+    sql(f"""SELECT row_number() OVER (ORDER BY sim DESC, name, id) AS rank, name AS artist, id, total_songs, total_albums, song_number_ones, album_number_ones, sim
+FROM (SELECT id, name, {_similar('name', 'supplier 000000007')} AS sim FROM artists) JOIN artist_stats ON artist_id = id WHERE sim >= 0.3 QUALIFY rank <= 50"""),
+)
+_add("artist_identity", lambda t: search.identity_ids(t, ARTIST), sql(f"SELECT id, name, name AS canonical FROM artists WHERE id = {ARTIST}"))
+
+# -- quality ------------------------------------------------------------------------------------
+
+_MISSING = f"(SELECT chart_id, CAST(d AS DATE) AS chart_date FROM (SELECT chart_id, unnest(generate_series(MIN(chart_date), MAX(chart_date), INTERVAL 7 DAY)) AS d FROM {_DATES} GROUP BY 1) EXCEPT SELECT * FROM {_DATES})"
+_add("missing_weeks", quality.missing_weeks, sql(f"SELECT * FROM {_MISSING}"))
+_add(
+    "missing_week_ranges", lambda t: quality.week_ranges(quality.missing_weeks(t)),
+    sql(f"SELECT chart_id, MIN(chart_date) AS first_date, MAX(chart_date) AS last_date, COUNT(*) AS weeks FROM (SELECT *, chart_date - CAST(7 * row_number() OVER (PARTITION BY chart_id ORDER BY chart_date) AS INTEGER) AS island FROM {_MISSING}) GROUP BY chart_id, island"),
+)
+_add("chart_completeness", quality.completeness, sql(f"SELECT chart_id, n AS expected, n - p AS missing, p / n * 100 AS percent FROM (SELECT chart_id, COUNT(*) AS p, (MAX(chart_date) - MIN(chart_date)) // 7 + 1 AS n FROM {_DATES} GROUP BY 1)"))
+_add(
+    "integrity_counts", quality.integrity_counts,
+    sql("""SELECT unnest(['entries without a rank', 'ranks twice in a week', 'dates twice in a chart', 'entries without a week', 'song links without an artist', 'album links without an artist', 'artists of an unlisted gender']) AS rule, 0 AS n
+UNION ALL SELECT role || ' song links', COUNT(*) FROM song_artists GROUP BY 1"""),
+)
+_add("gender_coverage", quality.gender_coverage, sql("SELECT gender, COUNT(*) AS n, COUNT(*) / (SELECT COUNT(*) FROM artists) AS share FROM artists GROUP BY 1"))
+_add("gender_coverage_by_source", quality.gender_coverage_by_source, sql("SELECT coalesce(gender_source, 'none') AS source, COUNT(*) AS n, COUNT(*) / (SELECT COUNT(*) FROM artists) AS share FROM artists GROUP BY 1"))
+_add("gender_coverage_weighted", quality.gender_coverage_weighted, sql("SELECT CAST(SUM(total_weeks) AS BIGINT) AS total_weight, CAST(SUM(total_weeks) FILTER (gender <> 'unknown') AS BIGINT) AS matched_weight, SUM(total_weeks) FILTER (gender <> 'unknown') / SUM(total_weeks) AS share FROM artist_chart_stats JOIN artists ON id = artist_id"))
+_TYPES = ["Person", " group", "Orchestra", "character", "Other"]
+_SEXES = ["Female", "male ", "non-binary"]
+
+
+def _gender_rows(t: Tables) -> DataFrame:
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("id") % n + 1).cast("int"))
+    return t.artists.select("id", pick(_TYPES, 5).alias("type"), pick(_SEXES, 3).alias("sex"))
+
+
+_add(
+    "map_gender_mb", lambda t: _gender_rows(t).select("id", quality.gender_of_type(F.col("type"), F.col("sex")).alias("gender")),
+    sql("SELECT id, CASE WHEN id % 5 IN (1, 2) THEN 'group' WHEN id % 5 IN (0, 3) AND id % 3 = 0 THEN 'female' WHEN id % 5 IN (0, 3) AND id % 3 = 1 THEN 'male' ELSE 'unknown' END AS gender FROM artists"),
+)
+_add(
+    "map_gender_wikidata",
+    lambda t: t.artists.select("id", quality.gender_of_classes(F.when(F.col("id") % 4 == 0, F.array(F.lit("Q5"), F.lit("Q215380"))).when(F.col("id") % 4 == 3, F.array(F.lit("Q1"))).otherwise(F.array(F.lit("Q5"))), F.when(F.col("id") % 3 == 0, quality.MALE).when(F.col("id") % 3 == 1, quality.FEMALE), ["Q215380"]).alias("gender")),
+    sql("SELECT id, CASE WHEN id % 4 = 0 THEN 'group' WHEN id % 4 = 3 THEN 'unknown' WHEN id % 3 = 0 THEN 'male' WHEN id % 3 = 1 THEN 'female' ELSE 'unknown' END AS gender FROM artists"),
+)
+
+
+def _candidates(t: Tables) -> DataFrame:
+    """Two candidates for each artist, their scores and types by the id."""
+    rows = t.artists.select("name", F.col("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    kind = F.when((F.col("k") == 1) & (F.col("id") % 2 == 0), "Group").otherwise("Person")
+    score = F.lit(85) + (F.col("id") * (F.col("k") * 2 + 1)) % 16
+    return rows.select("name", F.concat_ws("-", F.col("id").cast("string"), F.col("k").cast("string")).alias("candidate_id"), score.cast("int").alias("score"), kind.alias("type"), F.lit("Male").alias("gender"))
+
+
+_add(
+    "mb_candidate_resolution", lambda t: quality.best_candidates(_candidates(t)).select("name", "candidate_id", "gender"),
+    sql("""SELECT name, candidate_id, CASE WHEN kind = 'Group' THEN 'group' ELSE 'male' END AS gender FROM (
+SELECT *, lead(score) OVER w AS s2, lead(kind) OVER w AS k2, row_number() OVER w AS n FROM (
+SELECT name, id || '-' || k AS candidate_id, 85 + (id * (k * 2 + 1)) % 16 AS score, CASE WHEN k = 1 AND id % 2 = 0 THEN 'Group' ELSE 'Person' END AS kind FROM artists, (VALUES (0), (1)) x(k))
+WINDOW w AS (PARTITION BY name ORDER BY score DESC, candidate_id DESC)) WHERE n = 1 AND score >= 90 AND NOT (s2 >= 90 AND score - s2 <= 5 AND kind <> k2)"""),
+)
+
+# -- calendar, credits, files, loading ----------------------------------------------------------
+
+_add("saturday_calendar", lambda t: saturdays(t.charts.sparkSession, "1999-11-01", "2000-03-01"), "SELECT CAST(d AS DATE) AS chart_date FROM (SELECT unnest(generate_series(DATE '1999-11-06', DATE '2000-02-26', INTERVAL 7 DAY)) AS d)")
+_add(
+    "week_calendar", lambda t: t.weeks.select("id", iso_week(F.col("chart_date")).alias("week"), saturday_on_or_before(F.date_sub("chart_date", 3)).alias("before")),
+    sql("SELECT id, week(chart_date) AS week, CAST(chart_date - 7 AS DATE) AS before FROM chart_weeks"),
+)
+
+
+def _typed_dates(t: Tables) -> DataFrame:
+    text = F.concat(F.date_format("chart_date", "yyyy-MM-"), F.lpad((F.col("id") % 40).cast("string"), 2, "0"))
+    return t.weeks.select("id", text.alias("text"), valid_iso_date(text).alias("valid"))
+
+
+_add("valid_iso_dates", _typed_dates, sql("SELECT id, text, TRY_CAST(text AS DATE) IS NOT NULL AS valid FROM (SELECT id, strftime(chart_date, '%Y-%m-') || lpad('' || id % 40, 2, '0') AS text FROM chart_weeks)"))
+
+
+def _credit_rows(t: Tables) -> DataFrame:
+    """Credits in four shapes, made of names and of an act whose name holds separators."""
+    n, i = F.col("name"), F.col("id") % 4
+    credit = F.when(i == 0, n).when(i == 1, F.concat(n, F.lit(" Featuring Blood, sweat & Tears"))).when(i == 2, F.concat(n, F.lit(" & Zed With  Hall & Oates and Ann"))).otherwise(F.concat(F.lit("Bo, "), n, F.lit(" X Cy ft. Di")))
+    return t.artists.select("id", credit.alias("artist_credit"))
+
+
+_add(
+    "parse_artist_credit", lambda t: parse_credits(_credit_rows(t), "id"),
+    sql("""SELECT id, CAST(p AS INTEGER) AS position, CASE WHEN n = '*' THEN name ELSE n END AS name, role FROM artists JOIN (VALUES
+(0, 0, '*', 'primary'), (1, 0, '*', 'primary'), (1, 1, 'Blood, Sweat & Tears', 'featured'), (2, 0, '*', 'primary'), (2, 1, 'Zed', 'primary'), (2, 2, 'Hall & Oates', 'with'), (2, 3, 'Ann', 'with'),
+(3, 0, 'Bo', 'primary'), (3, 1, '*', 'primary'), (3, 2, 'Cy', 'primary'), (3, 3, 'Di', 'featured')) x(i, p, n, role) ON i = id % 4"""),
+)
+
+
+def _links(t: Tables) -> DataFrame:
+    return t.artists.where("id % 3 <> 0").select(F.col("id").alias("entity_id"), F.col("id").alias("artist_id"), F.lit("primary").alias("role")).unionByName(
+        t.artists.where("id % 5 = 0").select(F.col("id").alias("entity_id"), F.when(F.col("id") == 1, 2).otherwise(1).cast("long").alias("artist_id"), F.lit("featured").alias("role"))
+    )
+
+
+_add(
+    "reconcile_link_diff", lambda t: quality.link_changes(_credit_rows(t), _links(t), t.artists).select("entity_id", "key", "role", "artist_id", "change"),
+    sql("""SELECT id AS entity_id, lower(CASE WHEN n = '*' THEN name ELSE n END) AS key, role, NULL AS artist_id, 'add' AS change FROM artists JOIN (VALUES
+(0, '*', 'primary'), (1, '*', 'primary'), (1, 'Blood, Sweat & Tears', 'featured'), (2, '*', 'primary'), (2, 'Zed', 'primary'), (2, 'Hall & Oates', 'with'), (2, 'Ann', 'with'),
+(3, 'Bo', 'primary'), (3, '*', 'primary'), (3, 'Cy', 'primary'), (3, 'Di', 'featured')) x(i, n, role) ON i = id % 4 WHERE n <> '*' OR id % 3 = 0
+UNION ALL SELECT a.id, lower(b.name), NULL, b.id, 'remove' FROM artists a JOIN artists b ON b.id = 1 WHERE a.id % 5 = 0"""),
+)
+_add("reconcile_orphans", lambda t: quality.orphans(t.artists, [(_credit_rows(t), _links(t))]), sql("SELECT id, name, false AS deletable FROM artists WHERE id % 3 = 0"))
+
+
+def _files(t: Tables) -> DataFrame:
+    """The genre chart as week files: a text for each week, of at most the chart's depth."""
+    rows = t.entries.where("chart_id = 4").join(t.songs.withColumnRenamed("id", "entity_id"), "entity_id")
+    entry = F.struct("rank", "title", F.col("artist_credit").alias("artist"), F.col("peak_pos").alias("peakPos"), F.col("last_pos").alias("lastPos"), F.col("weeks_on_chart").alias("weeks"), F.col("is_new").alias("isNew"), F.lit(" data:x").alias("image"))
+    return rows.groupBy("chart_date").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("text"))
+
+
+_add(
+    "parse_chart_json", lambda t: week_files.parse(_files(t)),
+    sql("SELECT chart_date, rank - 1 AS position, rank, title, artist_credit AS artist, peak_pos, last_pos, weeks_on_chart AS weeks, is_new, CAST(NULL AS VARCHAR) AS image FROM chart_entries JOIN songs ON id = entity_id WHERE chart_id = 4"),
+)
+_add(
+    "integrity_audit",
+    lambda t: week_files.audit(_files(t).select(F.concat(F.col("chart_date").cast("string"), F.when(F.month("chart_date") == 2, "x").otherwise(""), F.lit(".json")).alias("file_name"), F.length("text").alias("bytes"), F.when(F.month("chart_date") == 3, F.lit("[{")).when(F.month("chart_date") == 4, F.lit("[]")).otherwise(F.col("text")).alias("text")), "2001-01-06").select("chart_date", "verdict"),
+    sql("SELECT CASE WHEN month(chart_date) <> 2 THEN chart_date END AS chart_date, CASE WHEN month(chart_date) = 2 THEN 'bad name' WHEN chart_date > DATE '2001-01-06' THEN 'future' WHEN month(chart_date) = 3 THEN 'invalid json' WHEN month(chart_date) = 4 THEN 'invalid payload' ELSE 'ok' END AS verdict FROM chart_weeks WHERE chart_id = 4"),
+)
+_add(
+    "upsert_chart_weeks", lambda t: ingest.upsert_weeks(t.weeks.where("chart_date < '1999-01-01'"), t.weeks),
+    sql("""SELECT id, chart_id, chart_date FROM chart_weeks WHERE chart_date < DATE '1999-01-01'
+UNION ALL SELECT (SELECT MAX(id) FROM chart_weeks WHERE chart_date < DATE '1999-01-01') + row_number() OVER (ORDER BY chart_id, chart_date), chart_id, chart_date FROM chart_weeks WHERE chart_date >= DATE '1999-01-01'"""),
+)
+_add(
+    "load_chart_entries", lambda t: ingest.load_entries(t.entries.where("rank % 2 = 0").select("week_id", "rank", "entity_id"), t.entries.select("week_id", (F.col("rank") / 3).cast("int").alias("rank"), "entity_id", F.col("rank").alias("position"))),
+    sql("""SELECT week_id, rank, entity_id FROM chart_entries WHERE rank % 2 = 0
+UNION ALL SELECT week_id, rank // 3, entity_id FROM (SELECT * FROM chart_entries QUALIFY row_number() OVER (PARTITION BY week_id, rank // 3 ORDER BY rank) = 1) n
+WHERE NOT EXISTS (SELECT 1 FROM chart_entries e WHERE e.rank % 2 = 0 AND e.week_id = n.week_id AND e.rank = n.rank // 3)"""),
+)
+_add("incremental_new_weeks", lambda t: ingest.new_weeks(t.weeks, t.weeks.where("chart_date < '2000-01-01' and chart_id <> 3"), TARGET).select("chart_id", "chart_date"), sql(f"SELECT chart_id, chart_date FROM chart_weeks WHERE chart_id <> 3 AND chart_date >= DATE '2000-01-01' AND chart_date <= DATE '{TARGET}'"))
+_add("new_artist_delta", lambda t: ingest.upsert_artists(t.artists.where("id % 2 = 0").select("id", "name"), t.artists), sql("SELECT id, name FROM artists WHERE id % 2 = 0 UNION ALL SELECT (SELECT MAX(id) FROM artists WHERE id % 2 = 0) + row_number() OVER (ORDER BY name), name FROM artists WHERE id % 2 = 1"))
+
+_QUERIES["weekly_activity"] = lambda spark, sf_dir: weekly_activity(spark.read.parquet(f"{sf_dir}/events.parquet"))
+_ORACLES["weekly_activity"] = "SELECT CAST(CAST(ts AS DATE) + CAST(6 - dayofweek(CAST(ts AS DATE)) AS INTEGER) AS DATE) AS week, event_type, COUNT(*) AS n, SUM(CAST(value AS DECIMAL(18, 2))) AS total FROM events GROUP BY 1, 2"
