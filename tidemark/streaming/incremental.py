@@ -34,6 +34,7 @@ def weekly_activity(events: DataFrame, late: str = "7 days") -> DataFrame:
 
     As a stream, a week is closed when events are ``late`` later than its end.
     """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     week = F.window("ts", "7 days", "7 days", "3 days")  # from 1970-01-04, a Sunday
     sums = marked.groupBy(week.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
