@@ -84,10 +84,11 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         verdicts.join(mixed, verdicts["doc_id"].eqNullSafe(mixed["_id"]), "left_semi")
         .where("kept").groupBy(F.col("doc_id").alias("_kid"), F.col("text_key").alias("_kkey")).agg(F.count("*").alias("_stay"))
     )
-    rows = docs.withColumn("_key", text_key())
-    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_kid"]) & (rows["_key"] == stay["_kkey"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0)))
-    return whole.unionByName(rows.withColumn("_nth", nth).where("_nth <= _stay").select(docs.columns))
+    # A row travels as a struct, so none of its columns can clash with those of the verdicts.
+    rows = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.join(stay, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_key") == F.col("_kkey")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    return whole.unionByName(rows.withColumn("_nth", nth).where("_nth <= _stay").select("_row.*"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

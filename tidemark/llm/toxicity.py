@@ -34,8 +34,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Words and prefixes of fewer training texts carry no weight: a rare word tells one text, not a kind of text.
 LEAST_TEXTS, SMOOTHING = 4, 8
 #: Passes over the sample: enough of them for LEAST_STEPS batches, within these bounds.
-EPOCHS, LEAST_STEPS, BATCH, RATE, TOXIC_WEIGHT = (4, 12), 500, 32, 0.003, 2.0
-#: One training row in so many only calibrates; a language needs so many toxic ones for an own threshold.
+EPOCHS, LEAST_STEPS, BATCH, RATE, TOXIC_WEIGHT = (4, 60), 500, 32, 0.003, 2.0
+#: One training row in so many only calibrates; the model and a language need so many toxic ones for an own threshold.
 CALIBRATION, LEAST_TOXIC = 5, 10
 #: Words of a part of a text; words that a worker remembers.
 PART_WORDS, MEMO_WORDS = 1 << 15, 150_000
@@ -241,7 +241,7 @@ class ToxicityModel:
         held = np.arange(len(rows)) % CALIBRATION == 0
         probe = TextCNN().train([t for t, h in zip(texts, held, strict=True) if not h], labels[~held])
         self.default, self.thresholds = 0.5, {}
-        if held.any() and probe.constant is None:
+        if labels[held].sum() >= LEAST_TOXIC and probe.constant is None:  # a threshold from fewer would be a guess
             of_held = [" ".join(t) for t, h in zip(texts, held, strict=True) if h]
             texts.clear()
             best = _best_threshold(probe.scorer().score(of_held), labels[held])
