@@ -91,5 +91,15 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return whole.unionByName(rows.withColumn("_nth", nth).where("_nth <= _stay").select("_row.*"))
 
 
+def keep_one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (doc_id, text_key, component_id: a row for each)."""
+    names_it = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    one = Window.partitionBy("component_id", "doc_id").orderBy("text_key")  # several rows only if an id is repeated
+    first = found.where(names_it).withColumn("kept", F.row_number().over(one) == 1)
+    rest = found.where(~names_it).withColumn("kept", F.lit(False))
+    verdicts = first.unionByName(rest).select("doc_id", "text_key", "kept")
+    return keep_rows(docs, staged(verdicts, "verdicts"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

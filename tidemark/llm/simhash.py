@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import keep_rows, staged, text_key
+from tidemark.llm.common import keep_one_of_each, staged, text_key
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Bit groups; RADIUS of them can differ, so GROUPS - RADIUS agree.
@@ -333,12 +333,4 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one whose doc_id names it."""
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs)
-    names_it = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    one = Window.partitionBy("component_id", "doc_id").orderBy("text_key")  # several rows only if an id is repeated
-    first = found.where(names_it).withColumn("kept", F.row_number().over(one) == 1)
-    rest = found.where(~names_it).withColumn("kept", F.lit(False))
-    verdicts = first.unionByName(rest).select("doc_id", "text_key", "kept")
-    return keep_rows(docs, staged(verdicts, "verdicts"))
+    return keep_one_of_each(docs, near_duplicates(docs))
