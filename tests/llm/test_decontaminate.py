@@ -72,3 +72,26 @@ def test_edge_cases(spark, make_docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(make_docs(rows), empty).count() == 0 and dc.contaminated(make_docs([]), bench).count() == 0
     assert dc.drop_contaminated(make_docs(rows), empty).count() == len(rows)
+
+
+def test_texts_shorter_than_an_item(spark, make_docs):
+    """Items less some words at either end, with and without edits, as whole documents."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+    rows, items, want = [], [], set()
+    for i in range(120):
+        item = [word() for _ in range(rng.randrange(6, 70))]
+        front, back = rng.randrange(0, 1 + len(item) // 8), rng.randrange(1, 2 + len(item) // 8)
+        text = item[front : len(item) - back]
+        if i % 3 == 0:
+            text[-1] = word()
+        a, b = grams(text), grams(item)
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(text)))
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            want.add((i, i, len(text)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in dc.contaminated(make_docs(rows), bench).collect()} == want
+    assert 20 < len(want) < 100
+    assert {r["doc_id"] for r in dc.drop_contaminated(make_docs(rows), bench).collect()} == set(range(120)) - {i for i, _, _ in want}

@@ -5,6 +5,7 @@
 2. A window of an item's number of words gets the bitwise majority of its shingle hashes as a
    fingerprint; prefix sums of the votes give all windows of a text at once.  A window without any
    shingle of an item has similarity zero with it, so only windows around shared shingles are formed.
+   A text with fewer words than an item is one window, if its length allows the similarity.
 3. A multi-index over the items' fingerprints (eight blocks of eight bits; within radius 22 at least
    one block differs in at most two bits) yields all items within the radius: no loss, no scan.
 4. Candidates are verified by exact weighted-shingle similarity: shared multiplicity over total
@@ -133,17 +134,19 @@ class Items:
                     continue
                 items = np.unique(np.concatenate([owner[a:b] for a, b in zip(left, right, strict=True)]))
                 for n in np.unique([self.words[i] for i in items]):
-                    for found in self._windows(hashes, hit, int(n), int(n) - size + 1):
+                    for found in self._windows(hashes, hit, int(n), int(n) - size + 1, len(words) < n):
                         item, distance, at, score = found
                         if item not in best or (distance, start + at) < (best[item][2], best[item][3]):
-                            best[item] = (self.ids[item], score, distance, start + at, int(n))
+                            best[item] = (self.ids[item], score, distance, start + at, min(int(n), len(words)))
         return [best[i] for i in sorted(best)]
 
-    def _windows(self, hashes: np.ndarray, hit: np.ndarray, n: int, shingles: int) -> Iterator[tuple[int, int, int, float]]:
-        """(item, distance, first word, similarity) for the items of n words, from the windows around hits."""
+    def _windows(self, hashes: np.ndarray, hit: np.ndarray, n: int, shingles: int, whole: bool) -> Iterator[tuple[int, int, int, float]]:
+        """(item, distance, first word, similarity) for the items of n words, from the windows around hits; ``whole``: the text is shorter."""
         last = len(hashes) - shingles
         if last < 0:
-            return
+            if not whole or len(hashes) / shingles < SIMILARITY:
+                return
+            shingles, last = len(hashes), 0
         edges = np.zeros(last + 2, np.int64)
         np.add.at(edges, np.clip(hit - shingles + 1, 0, last + 1), 1)
         np.add.at(edges, np.minimum(hit + 1, last + 1), -1)
