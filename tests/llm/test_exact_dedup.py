@@ -41,7 +41,7 @@ def test_heavy_hitters_are_verified(make_docs):
 
     digested = staged(ed.digests(make_docs(ROWS)), "d")
     found = ed.heavy_hitters(digested, 0.2).collect()
-    assert [(r["keep_id"], r["group_size"]) for r in found] == [(1, 40)]
+    assert [(r["first"]["doc_id"], r["group_size"]) for r in found] == [(1, 40)]
 
 
 def test_drop(make_docs):
@@ -51,3 +51,16 @@ def test_drop(make_docs):
     want = sorted((i for i, _, _, k, _ in brute(ROWS) if k), key=str)
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == want
     assert ed.drop_exact_duplicates(make_docs([])).count() == 0 and ed.exact_duplicates(make_docs([])).count() == 0
+
+
+def test_large_groups_join_map_side(make_docs, monkeypatch):
+    """Half of the rows are copies without an id, and no table of groups is small enough to be broadcast whole."""
+    from tidemark.llm import common
+
+    rows = [(None, "hot row")] * 400 + ROWS
+    monkeypatch.setattr(common, "LARGE_GROUP", 2)
+    monkeypatch.setattr(common, "small_enough", lambda df, row_bytes, limit=0: "group_size" in df.columns and df.count() < 20)
+    assert rows_of(ed.exact_duplicates(make_docs(rows), 0.9)) == brute(rows)
+    kept = ed.drop_exact_duplicates(make_docs(rows), 0.9).collect()
+    assert sorted(((r["doc_id"] for r in kept)), key=str) == sorted((i for i, _, _, k, _ in brute(rows) if k), key=str)
+    assert sum(r["text"] == "hot row" for r in kept) == 1

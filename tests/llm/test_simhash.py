@@ -93,3 +93,10 @@ def test_edge_cases(make_docs):
     assert kept.columns == make_docs(rows).columns
     assert simhash.near_duplicates(make_docs([])).count() == 0
     assert simhash.drop_near_duplicates(make_docs([])).count() == 0
+
+
+def test_rows_without_an_id_or_with_one_id_stay_apart(make_docs):
+    """Components without any id, and unrelated texts of one id, are groups of their own."""
+    rows = [(None, "one two three four"), (None, "five six seven eight"), (None, "five six seven eight"), (6, "nine ten eleven twelve"), (6, "red green blue white"), (6, "red green blue white"), (8, "nine ten eleven twelve")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(make_docs(rows)).collect()), key=str)
+    assert kept == sorted([(None, "one two three four"), (None, "five six seven eight"), (6, "nine ten eleven twelve"), (6, "red green blue white")], key=str)

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, keep_one_of_each, staged, text_key
-from tidemark.llm.simhash import _bits, _majority, _mixed, connected, links, references, text_hashes
+from tidemark.llm.common import broadcast_if_small, join_groups, keep_one_of_each, staged, text_key
+from tidemark.llm.simhash import _bits, _majority, _mixed, components, connected, links, references, text_hashes
 
 WORDS = 5
 #: Similarity as a fraction, so that no bound is rounded.
@@ -284,7 +284,7 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_key, component_id (the smallest doc_id that near copies reach)."""
+    """One row per document: doc_id, text_key, root, component_id (the smallest doc_id that near copies reach)."""
     marked = staged(marked_texts(docs), "marked")
     shared = staged(buckets(marked), "buckets")
 
@@ -299,11 +299,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rest = staged(unconnected(shared, connected(found)), "rest_pairs")
     roots = connected(found.unionByName(verified(rest, marked, docs)))
 
-    rooted = marked.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(named, "root").select("doc_id", "text_key", "component_id")
+    of_node = staged(marked.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "of_node")
+    by_node = staged(components(of_node, roots, "node"), "components")
+    return join_groups(marked, by_node, "node").select("doc_id", "text_key", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one whose doc_id names it."""
+    """``docs`` with one row of each component: that of the smallest doc_id, one without any only if no other has one."""
     return keep_one_of_each(docs, near_copies(docs))

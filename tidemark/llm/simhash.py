@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import keep_one_of_each, staged, text_key
+from tidemark.llm.common import join_groups, keep_one_of_each, staged, text_key
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Bit groups; RADIUS of them can differ, so GROUPS - RADIUS agree.
@@ -320,17 +320,25 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def components(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, n, root, component_id) of nodes (node, n, first_id): the smallest first_id of the nodes of a root."""
+    rooted = staged(nodes.join(roots, node, "left").select(node, "n", "first_id", F.coalesce("root", node).alias("root")), "rooted")
+    named = staged(rooted.groupBy("root").agg(F.count("*").alias("nodes"), F.min("first_id").alias("component_id")), "named")
+    return join_groups(rooted.drop("first_id"), named, "root", "nodes").select(node, "n", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """One row per document: doc_id, text_key, fp, component_id (the smallest doc_id that links reach)."""
+    """One row per document: doc_id, text_key, fp, root, component_id (the smallest doc_id that links reach).
+
+    ``root`` names the component by a fingerprint, so components without any id stay apart.
+    """
     marked = staged(fingerprints(docs), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    nodes = staged(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "nodes")
     roots = connected(links(nodes, hot_bucket)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "text_key", "fp", "component_id")
+    by_fp = staged(components(nodes, roots, "fp"), "components")
+    return join_groups(marked, by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one whose doc_id names it."""
+    """``docs`` with one row of each component: that of the smallest doc_id, one without any only if no other has one."""
     return keep_one_of_each(docs, near_duplicates(docs))
