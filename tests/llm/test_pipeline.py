@@ -9,8 +9,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_decontaminate import brute
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_decontaminate import brute as similarity_in
+from tests.llm.test_near_copies import brute
 from tidemark.llm import toxicity
 from tidemark.llm.common import staged, table
 
@@ -68,15 +68,21 @@ def test_exact_dedup(spark, docs):
 
 
 def test_near_dedup(spark, docs):
-    single = stage("exact_dedup", spark, docs).where("doc_id is not null and doc_id <> -6")
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in single.collect()}
-    assert {i for i, _ in rows(stage("near_dedup", spark, single))} == set(brute_components(fps).values())
-    assert rows(stage("near_dedup", spark, docs.where("doc_id is null or doc_id in (-5, -6)")))  # repeated ids and none
+    """All rows, those without an id, of a repeated id and of one id with two texts too, against all pairs of shingle sets."""
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    groups = brute([(k, t) for k, (_, t) in enumerate(given)])
+    want = {}
+    for k, (i, t) in enumerate(given):
+        want.setdefault(groups[k], []).append((i is None, i or 0, i))
+    kept = rows(stage("near_dedup", spark, docs))
+    assert sorted((i for i, _ in kept), key=str) == sorted((min(g)[2] for g in want.values()), key=str)
+    group_of = {row: groups[k] for k, row in enumerate(given)}
+    assert len({group_of[row] for row in kept}) == len(kept) == len(want)
 
 
 def test_decontaminate(spark, docs):
     items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
-    want = [(r["doc_id"], r["text"]) for r in docs.where("length(text) < 100000 or text is null").collect() if not any(brute(r["text"], x) >= 0.8 for x in items)]
+    want = [(r["doc_id"], r["text"]) for r in docs.where("length(text) < 100000 or text is null").collect() if not any(similarity_in(r["text"], x) >= 0.8 for x in items)]
     assert [x for x in rows(stage("decontaminate", spark, docs)) if len(x[1] or "") < 100_000] == sorted(want, key=str)
 
 
