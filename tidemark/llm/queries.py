@@ -5,18 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, table
+from tidemark.llm.common import fresh_path, staged, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' tokens by source, language and tokenizer version, from committed batches."""
+    """All documents' tokens by source, language and tokenizer version, from committed batches.
+
+    The totals come out of every kind of change, each over the whole table: two loads, a revision to another version
+    of the word counter, a withdrawal of the documents with a source and their return, replays, and two folds.
+    """
     from tidemark.llm.bpe import public_vocabulary
-    from tidemark.llm.token_counts import TokenRollup, bpe_counts, inserts, word_counts
+    from tidemark.llm.token_counts import TokenRollup, bpe_counts, deletes, inserts, revisions, word_counts
 
     docs = table(spark, sf_dir, "documents")
     rollup = TokenRollup(spark, fresh_path(spark, "token_counts"))
-    rollup.commit("load-words", inserts(word_counts(docs)))
+    # Counted once: the later batches read these counts, not the texts.
+    words = staged(word_counts(docs, "words-0", r"\x20").unionByName(word_counts(docs)), "words")
+    draft, final = words.where("tokenizer = 'words-0'"), words.where("tokenizer = 'words-1'")
+    placed = final.where("source is not null")
+    rollup.commit("load-words", inserts(draft))
     rollup.commit("load-bpe", inserts(bpe_counts(docs, public_vocabulary(spark), "byte_bpe_50k")))
+    rollup.commit("words-1", revisions(draft, final))
+    rollup.compact()
+    rollup.commit("withdraw", deletes(placed))
+    for _ in range(2):
+        rollup.commit("return", inserts(placed))
+        rollup.commit("load-words", inserts(draft))
+    rollup.compact()
+    return rollup.totals()
+
+
+def token_counts_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of op1's word counter, which SQL can count too."""
+    from tidemark.llm.token_counts import TokenRollup, deletes, inserts, revisions, word_counts
+
+    counts = staged(word_counts(table(spark, sf_dir, "documents")), "words")
+    rollup = TokenRollup(spark, fresh_path(spark, "token_counts"))
+    rollup.commit("load", inserts(counts))
+    rollup.commit("correct", revisions(counts, counts.withColumn("tokens", F.col("tokens") + 1)))
+    rollup.compact()
+    rollup.commit("put-back", revisions(counts.withColumn("tokens", F.col("tokens") + 1), counts))
+    rollup.commit("withdraw", deletes(counts.where("lang = 'de'")))
     return rollup.totals()
 
 
@@ -100,6 +129,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: every URL's host, path and rule."""
+    from tidemark.llm.urls import with_rules
+
+    return with_rules(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "ruled")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontaminate": op2_decontaminate,
@@ -111,9 +147,25 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "token_counts_by_words": token_counts_by_words,
+    "url_rules": url_rules,
 }
 
 ORACLE_SQL = {
+    "token_counts_by_words": r"""
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS documents,
+       CAST(sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS BIGINT) AS tokens
+FROM documents WHERE lang IS DISTINCT FROM 'de' GROUP BY source, lang""",
+    "url_rules": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(ruled, rule, own, prefix) AS (VALUES
+  ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+  ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/'))
+SELECT page_id, host, path, rule, ruled FROM p LEFT JOIN r ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, prefix)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1""",
     "op8_warc": r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),

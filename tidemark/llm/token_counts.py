@@ -1,16 +1,18 @@
 """Token counts as delta-maintained rollups.
 
-A change of a document carries its token count before and after: an insert has none before, a delete
-none after, a revision (a new text or a corrected count) has both.  A batch of changes is summed to
-signed deltas by source, language and tokenizer version, and committed as one folder of the rollup.
-Totals are the sums over the committed batches, so they never re-read a document.
+A change adds a document's token count (an insert), takes it away (a delete) or does both (a revision: a new
+text, a corrected count, another tokenizer version).  A batch of changes is summed to signed deltas by source,
+language and tokenizer version, and committed as one folder of the rollup.  Totals are the sums over the
+committed batches, so they never re-read a document.
 
 A batch is written once under its identifier: Spark's writer leaves its success marker last, a batch
 that has it is skipped on replay, and one that failed half-way is written anew.  ``compact`` folds all
 batches into one; their identifiers stay known, so a replay after it still changes nothing.
 
-Defined results: null texts have no tokens; null sources and languages are groups of their own; groups
-whose documents and tokens have all gone vanish from the totals; an empty batch is committed too.
+Defined results: null texts have no tokens and long ones are counted whole; a null count is a document without
+tokens; null sources and languages are groups of their own; repeated rows and repeated or null ids count once for
+each row; further columns are not looked at, whatever their names; groups whose documents and tokens have all gone
+vanish from the totals; an empty table or batch is committed too and changes nothing.
 """
 
 from __future__ import annotations
@@ -47,9 +49,9 @@ def bpe_counts(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str) -> DataF
     return counted.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "tokens")
 
 
-def word_counts(docs: DataFrame, tokenizer: str = "words-1") -> DataFrame:
-    """The same by white space (space, tab, LF, VT, FF, CR)."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def word_counts(docs: DataFrame, tokenizer: str = "words-1", separator: str = r"[\x20\x09-\x0D]+") -> DataFrame:
+    """The same by white space (space, tab, LF, VT, FF, CR) or another separator."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), separator), lambda w: w != "")
     return docs.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.size(words).cast("long").alias("tokens"))
 
 
@@ -57,45 +59,43 @@ def word_counts(docs: DataFrame, tokenizer: str = "words-1") -> DataFrame:
 
 
 def inserts(counts: DataFrame) -> DataFrame:
-    return counts.select(*KEY, F.lit(None).cast("long").alias("before"), F.col("tokens").alias("after"))
+    """Signed changes (source, lang, tokenizer, documents, tokens) that add the documents of ``counts``."""
+    return _signed(counts, 1)
 
 
 def deletes(counts: DataFrame) -> DataFrame:
-    return counts.select(*KEY, F.col("tokens").alias("before"), F.lit(None).cast("long").alias("after"))
+    """Signed changes that take the documents of ``counts`` away."""
+    return _signed(counts, -1)
 
 
 def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changes that lead from the counts ``old`` to the counts ``new``, matched by doc_id and tokenizer.
+    """Changes that lead from the counts ``old`` to the counts ``new``: the one go, the others come.
 
-    A document that moves to another source or language leaves the one group and enters the other.
+    Nothing is matched, so repeated and null ids need no rule; what stays the same cancels out in the sums, and a
+    document that moves to another source, language or tokenizer leaves the one group and enters the other.
     """
-    a = old.select(F.col("doc_id").alias("_a"), F.struct(*KEY).alias("was"), F.col("tokens").alias("before"))
-    b = new.select(F.col("doc_id").alias("_b"), F.struct(*KEY).alias("now"), F.col("tokens").alias("after"))
-    both = a.join(b, F.col("_a").eqNullSafe(F.col("_b")) & F.col("was.tokenizer").eqNullSafe(F.col("now.tokenizer")), "full")
-    same = F.col("was").eqNullSafe(F.col("now"))
-    none = F.lit(None).cast("long")
-    parts = F.when(same, F.array(F.struct(F.col("now").alias("key"), "before", "after"))).otherwise(
-        F.filter(
-            F.array(F.struct(F.col("was").alias("key"), "before", none.alias("after")), F.struct(F.col("now").alias("key"), none.alias("before"), "after")),
-            lambda c: c["key"].isNotNull(),
-        )
-    )
-    changed = both.where(~same | ~F.col("before").eqNullSafe(F.col("after")))
-    return changed.select(F.explode(parts).alias("c")).select("c.key.*", "c.before", "c.after")
+    return deletes(old).unionByName(inserts(new))
+
+
+def _signed(counts: DataFrame, sign: int) -> DataFrame:
+    tokens = F.coalesce(F.col("tokens"), F.lit(0)).cast("long") * sign
+    return counts.select(*KEY, F.lit(sign).cast("long").alias("documents"), tokens.alias("tokens"))
 
 
 def deltas(changes: DataFrame) -> DataFrame:
     """Signed sums by group: one map-side combine and a shuffle of a row for each group and task."""
-    documents = F.col("after").isNotNull().cast("long") - F.col("before").isNotNull().cast("long")
-    tokens = F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))
-    return changes.groupBy(*KEY).agg(F.sum(documents).alias("documents"), F.sum(tokens).alias("tokens"))
+    sums = changes.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    return sums.where("documents <> 0 or tokens <> 0")
 
 
 # -- the rollup -------------------------------------------------------------------------------
 
 
 class TokenRollup:
-    """Committed batches of deltas in a folder that driver and executors share."""
+    """Committed batches of deltas in a folder that driver and executors share.
+
+    ``batch-<id>`` holds a batch, ``fold-<number>`` the sums of all batches that ``covers-fold-<number>`` names.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -105,29 +105,42 @@ class TokenRollup:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._jvm_path(f"{self.path}/{name}"))
 
-    def _folders(self) -> list[str]:
-        if not self._fs.exists(self._jvm_path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._jvm_path(self.path))]
-        return sorted(n for n in names if n.startswith(("batch-", "fold-")) and self._exists(f"{n}/_SUCCESS"))
+    def _named(self, pattern: str) -> list[str]:
+        """Folders that are whole, by one listing."""
+        found = self._fs.globStatus(self._jvm_path(f"{self.path}/{pattern}/_SUCCESS"))
+        return sorted(s.getPath().getParent().getName() for s in found or [])
 
-    def _folded(self) -> tuple[str | None, set[str]]:
-        """The latest fold and the batches that it covers."""
-        folds = [n for n in self._folders() if n.startswith("fold-")]
+    def _folded(self) -> tuple[str | None, DataFrame]:
+        """The latest fold and a table (value) of the batches that it covers."""
+        folds = self._named("fold-*")
         if not folds:
-            return None, set()
-        covered = self.spark.read.text(f"{self.path}/covers-{folds[-1]}").collect()
-        return folds[-1], {r["value"] for r in covered}
+            return None, self.spark.createDataFrame([], "value string")
+        return folds[-1], self.spark.read.text(f"{self.path}/covers-{folds[-1]}")
 
-    def committed(self) -> set[str]:
-        """The identifiers of all batches that count."""
-        return {n.removeprefix("batch-") for n in {*self._folders(), *self._folded()[1]} if n.startswith("batch-")}
+    def _live(self, covered: DataFrame) -> list[str]:
+        """The folders of the batches that no fold covers yet."""
+        batches = self._named("batch-*")
+        if not batches:
+            return []
+        gone = {r["value"] for r in covered.where(F.col("value").isin(batches)).collect()}  # of the folders just listed
+        return [b for b in batches if b not in gone]
+
+    def is_committed(self, batch_id: str) -> bool:
+        """Looks for this batch alone: its own folder, then the list of the latest fold."""
+        name = f"batch-{batch_id}"
+        return self._exists(f"{name}/_SUCCESS") or not self._folded()[1].where(F.col("value") == name).isEmpty()
+
+    def committed(self) -> DataFrame:
+        """(batch_id) of all batches that count."""
+        _, covered = self._folded()
+        live = self.spark.createDataFrame([(b,) for b in self._live(covered)], "value string")
+        return covered.unionByName(live).select(F.regexp_replace("value", "^batch-", "").alias("batch_id"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch of changes; False if this batch had been committed before."""
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError(f"not a batch identifier: {batch_id!r}")
-        if batch_id in self.committed():
+        if self.is_committed(batch_id):
             return False
         deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
         return True
@@ -135,17 +148,22 @@ class TokenRollup:
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) over all committed batches."""
         fold, covered = self._folded()
-        live = [n for n in self._folders() if n.startswith("batch-") and n not in covered] + [fold] * bool(fold)
+        live = [*self._live(covered), *[fold] * bool(fold)]
         if not live:
             return self.spark.createDataFrame([], _DELTA)
-        rows = self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/{n}" for n in live))
-        sums = rows.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 or tokens <> 0")
+        return deltas(self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/{n}" for n in live)))
 
     def compact(self) -> None:
         """Folds all batches into one; the fold counts from the moment its success marker is there."""
         fold, covered = self._folded()
-        batches = sorted(covered | {n for n in self._folders() if n.startswith("batch-")})
+        live = self.spark.createDataFrame([(b,) for b in self._live(covered)], "value string")
         name = f"fold-{int(fold.split('-')[1]) + 1 if fold else 0:09d}"
-        self.spark.createDataFrame([(b,) for b in batches], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/covers-{name}")
+        covered.unionByName(live).write.mode("overwrite").text(f"{self.path}/covers-{name}")
         self.totals().write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def clean(self) -> None:
+        """Removes the folders that the latest fold has made superfluous, once nobody reads older totals any more."""
+        fold, covered = self._folded()
+        live = set(self._live(covered))
+        for name in [n for n in (*self._named("batch-*"), *self._named("fold-*"), *self._named("covers-*")) if fold and n not in live | {fold, f"covers-{fold}"}]:
+            self._fs.delete(self._jvm_path(f"{self.path}/{name}"), True)
