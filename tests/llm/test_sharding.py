@@ -33,6 +33,35 @@ def test_hot_and_odd_rows(make_docs):
     assert sharding.shard(make_docs([])).count() == 0
 
 
+def brute(rows, shards):
+    """Shards and slots by a plain loop: rows in the order of the hash of their text and their id, cut by the bytes before them."""
+    order = sorted(rows, key=lambda r: (r["k"], r["doc_id"] is not None, r["doc_id"] or 0))
+    total, at, slots, out = sum(r["size"] for r in order), 0, defaultdict(int), []
+    for r in order:
+        s = min(shards - 1, at * shards // max(1, total))
+        out.append((r["doc_id"], r["size"], r["text_crc32"], s, slots[s]))
+        slots[s] += 1
+        at += r["size"]
+    return sorted(out, key=str)
+
+
+def test_placement_matches_brute_force(spark, make_docs):
+    """Every record's shard and slot, with half of the rows one text without an id."""
+    real = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    docs = make_docs(real + [(None, "hot row")] * len(real) + [(5, "é" * 30_000), (6, None)])
+    want = brute(sharding.records(docs).collect(), 40)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(docs).collect()), key=str) == want
+
+
+def test_repeated_rows_are_cut_apart(make_docs, monkeypatch):
+    """Rows that are equal in all columns spread over many ranges."""
+    found = {}
+    monkeypatch.setattr(sharding, "range_of", lambda bounds, f=sharding.range_of: found.update(n=len(bounds)) or f(bounds))
+    rows = [(None, "hot row")] * 2000 + [(i, f"t{i}") for i in range(200)]
+    check(sharding.shard(make_docs(rows), 5).collect(), rows, 5)
+    assert found["n"] > 100
+
+
 def test_overfull_ranges_are_subdivided(make_docs, monkeypatch):
     monkeypatch.setattr(sharding, "splitters", lambda keys, n, f=sharding.splitters: f(keys, min(n, 3)))
     rows = [(i, f"t{i}") for i in range(800)]

@@ -1,19 +1,22 @@
 """Sharding by sampled splitters: shards of nearly equal bytes.
 
-1. Every record gets a sort key (hash of the text, doc_id), so equal texts lie side by side while a hot
-   text can still be cut between two of its copies.
+1. Every record gets a sort key (hash of the text, doc_id, row number), so equal texts lie side by side while
+   any two records, repeated rows too, can still be cut apart.
 2. A size-weighted sample of keys is drawn: a record of s bytes is drawn floor(s / step) times and once
    more with probability frac(s / step), by a hash of its key, so a retried task draws the same sample.
    Its expected length is a parameter, whatever the input's size.
 3. Quantiles of the sample become range boundaries; each record finds its range by binary search.
 4. Ranges are measured; those of more than twice the mean bytes are subdivided by a denser sample of
-   their own keys until none is left or their keys are all alike.
+   their own keys until none is left (but a record that is larger than that by itself).
 5. Running bytes inside each range plus the bytes of the ranges before it give each record its place
-   in the whole order, and the place gives the shard and the slot.  So the ranges only spread the
-   work: the shards differ by less than one record's size.
+   in the whole order, and the place gives the shard and the slot.  The splitters decide which records
+   follow each other in a range and what a task holds; a shard is a run of whole ranges, and the range
+   at its end is cut where its bytes are full.  So shards differ by less than one record's size, which
+   boundaries from a sample alone cannot promise.
 
 Only DataFrame functions run here.  A null text has no bytes and the CRC of an empty text; a null
-``doc_id`` sorts first; repeated rows follow each other in any order; an empty table gives no rows.
+``doc_id`` sorts first; repeated rows follow each other in any order; long texts are one record; columns
+besides doc_id (a whole number) and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,34 +35,37 @@ RECORD_BYTES = 16
 SAMPLES_A_RANGE = 64
 #: Ranges are sized for tasks, and bounded because their boundaries are held by the driver.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 256 << 20, 160, 2048
-_REFINEMENTS = 3
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, k): k is the hash part of the sort key."""
+    """(doc_id, size, text_crc32, k, row): k is the hash part of the sort key, row differs for each once this is staged."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
 def _key():
-    return F.struct(F.col("k"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"))
+    return F.struct(F.col("k"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.col("row"))
 
 
-def sample_keys(sized: DataFrame, step: float, round_no: int = 0) -> list[tuple[int, int]]:
+Key = tuple[int, int, int]
+
+
+def sample_keys(sized: DataFrame, step: float, round_no: int = 0) -> list[Key]:
     """Keys drawn about once every ``step`` bytes; returns the sorted list."""
-    chance = F.pmod(F.xxhash64("k", "doc_id", F.lit(round_no)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("k", "doc_id", "row", F.lit(round_no)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(F.col("size") / F.lit(step) + chance).cast("int")
     drawn = sized.withColumn("_times", times).where("_times > 0")
     rows = drawn.select(_key().alias("key"), F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_one")).select("key.*")
-    return sorted((r["k"], r["id"]) for r in rows.collect())
+    return sorted((r["k"], r["id"], r["row"]) for r in rows.collect())
 
 
-def splitters(keys: list[tuple[int, int]], ranges: int) -> list[tuple[int, int]]:
+def splitters(keys: list[Key], ranges: int) -> list[Key]:
     """At most ``ranges`` - 1 different boundaries at the quantiles of the sample."""
     n = len(keys)
     return sorted({keys[i * n // ranges] for i in range(1, ranges)}) if n else []
@@ -70,11 +76,11 @@ def _constants(structs: list[str]):
     return F.expr(f"array({', '.join(structs)})")
 
 
-def range_of(bounds: list[tuple[int, int]]):
+def range_of(bounds: list[Key]):
     """The number of boundaries at or below the key, by binary search in an array of constants."""
     if not bounds:
         return F.lit(0)
-    array = _constants([f"named_struct('k', {k}L, 'id', {i}L)" for k, i in bounds])
+    array = _constants([f"named_struct('k', {k}L, 'id', {i}L, 'row', {r}L)" for k, i, r in bounds])
     n = len(bounds)
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
     return F.aggregate(
@@ -98,13 +104,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, samples_a_range: int = SAMPLES_
         return {r["range"]: (r["b"], r["n"]) for r in found.collect()}  # a row for each range
 
     sizes = measured()
-    for round_no in range(1, _REFINEMENTS + 1):
-        over = [r for r, (b, n) in sizes.items() if b > 2 * max(1, total // ranges) and n > 1]
-        room = 2 * MOST_RANGES - len(bounds)
-        if not over or room <= 0:
-            break
+    round_no = 0
+    while over := [r for r, (b, n) in sizes.items() if b > 2 * max(1, total // ranges) and n > 1]:
+        round_no += 1
         inside = sized.withColumn("range", range_of(bounds)).where(F.col("range").isin(over))
-        more = splitters(sample_keys(inside, step / 8, round_no), min(room, 4 * len(over) + 1))
+        more = splitters(sample_keys(inside, step / 8, round_no), 4 * len(over) + 1)  # fewer than half of the ranges are over
         if set(more) <= set(bounds):
             break
         bounds = sorted({*bounds, *more})
@@ -117,7 +121,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, samples_a_range: int = SAMPLES_
         bytes_before, rows_before = bytes_before + b, rows_before + n
     start = F.get(_constants([f"named_struct('b', {b}L, 'n', {n}L)" for b, n in starts]), F.col("range"))
 
-    in_range = Window.partitionBy("range").orderBy("k", F.col("doc_id").asc_nulls_first())
+    in_range = Window.partitionBy("range").orderBy("k", F.col("doc_id").asc_nulls_first(), "row")
     running = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         sized.withColumn("range", range_of(bounds))
