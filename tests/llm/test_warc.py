@@ -74,3 +74,9 @@ def test_fragments_join_and_part():
     assert list(warc._whole_records(iter([archive]))) == whole
     missed = archive.split(mark)
     assert list(warc._whole_records(iter([mark.join(missed[:2]), *missed[2:]]))) == whole
+
+
+def test_urls_are_encoded_not_cut():
+    record = next(warc.page_records(1, "http://x/\r\nWARC-Type: a\x85é", b"", None))
+    assert b"WARC-Target-URI: http://x/%0D%0AWARC-Type: a%C2%85" + "é".encode() + b"\r\n" in record
+    assert warc.target_uri(None) == "" and warc.target_uri("http://a/b c?d=%20") == "http://a/b c?d=%20"

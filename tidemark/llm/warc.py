@@ -13,7 +13,9 @@ their origin, ordered by segment number and checked against the total length; th
 framing is decoded and the payload is checked against its digest.
 
 Defined results: a null html is an empty payload; a null page_id loses against any other, and pages
-without any id never revisit; repeated rows give equal records; an empty table gives no records.
+without any id never revisit; repeated rows give equal records; long payloads are cut into segments; control
+characters of a URL are percent-encoded; columns besides page_id, url and html are not looked at; an empty table
+gives no records.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,10 +82,15 @@ def _urn(page_id: object, digest: str, segment: int = 1) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}:{digest}:{segment}>"
 
 
+def target_uri(url: str | None) -> str:
+    """A URL for a header line: characters that no header may hold are percent-encoded, all others stay."""
+    return "".join(c if c.isprintable() else quote(c) for c in url or "")
+
+
 def page_records(page_id: object, url: str | None, payload: bytes, first_id: object) -> Iterator[bytes]:
     """The records of one page; ``first_id`` is the page that it revisits, or None."""
     digest = digest_of(payload)
-    target = "".join(c for c in url or "" if c.isprintable())
+    target = target_uri(url)
     common = [("WARC-Target-URI", target), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if first_id is not None:
         named = [("WARC-Type", "revisit"), ("WARC-Record-ID", _urn(page_id, digest)), ("WARC-Refers-To", _urn(first_id, digest))]
