@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled rows are collected to train a model; the same rows for the same labels.
 TRAINING_ROWS = 8000
+#: Texts of more UTF-8 bytes are scored but not learnt from, so a sample has at most TRAINING_ROWS times as many.
+TRAINING_TEXT_BYTES = 1 << 15
 
 
 def held_out():
@@ -17,9 +19,12 @@ def held_out():
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = TRAINING_ROWS) -> list:
     """(text, lang, label) of at most ``limit`` labelled rows outside the held-out fold, in a fixed order.
 
+    The sample is bounded in rows and in bytes; neither bound holds for what is scored.
+
     A null label or id teaches nothing; an id with contradicting labels counts as its larger one.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
+    short = docs.select("doc_id", "text", "lang").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAINING_TEXT_BYTES)
+    rows = short.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).select("text", "lang", "y").collect()
