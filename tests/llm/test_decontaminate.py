@@ -56,9 +56,11 @@ def test_edited_passages(spark, make_docs):
             want.add((i, i))
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(make_docs(rows), bench).collect()} == want
-    old, dc.ITEM_BYTES, dc.TEXT_WORDS = dc.ITEM_BYTES, 9000, 40
-    try:  # several blocks of items, texts in several parts
+    old, dc.ITEM_BYTES, dc.TEXT_WORDS = dc.ITEM_BYTES, 4500, 40
+    try:  # several blocks of items in two passes, texts in several parts
+        assert dc.BLOCKS_A_PASS < len(list(dc.item_blocks(bench))) < 2 * dc.BLOCKS_A_PASS + 9
         assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(make_docs(rows), bench).collect()} == want
+        assert {r["doc_id"] for r in dc.drop_contaminated(make_docs(rows), bench).collect()} == set(range(150)) - {d for d, _ in want}
     finally:
         dc.ITEM_BYTES, dc.TEXT_WORDS = old, 1 << 18
 

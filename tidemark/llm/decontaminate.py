@@ -12,18 +12,21 @@
    multiplicity, at least 0.8.
 
 The benchmark is indexed in blocks of bounded size, each broadcast; every document meets every block,
-so the documents are never shuffled.  Defined results: null or wordless texts and items match nothing;
-repeated items count once; repeated documents give repeated rows; empty tables give no rows.
+several in one pass, so the documents are never shuffled.  Defined results: null or wordless texts and items
+match nothing; repeated items count once; of an item's windows with the same distance the first counts; repeated
+documents give repeated rows; long texts are taken in overlapping parts; further columns are not looked at,
+whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
@@ -32,8 +35,9 @@ from tidemark.llm.simhash import _bits, _majority, _mixed
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 22
 BLOCKS, BLOCK_BITS = 8, 8
-#: UTF-8 bytes of the items that are indexed and broadcast at a time.
-ITEM_BYTES = 8 << 20
+#: UTF-8 bytes of the items in one block, and blocks that meet the documents in one pass over them.  Besides its shingles
+#: (about its text's size) an item stands in about 300 lists of the multi-index (2.4 KB): some 35 MB a block of 300-byte items.
+ITEM_BYTES, BLOCKS_A_PASS = 4 << 20, 4
 #: Words of a text that are looked at together; blocks overlap by the longest item.
 TEXT_WORDS = 1 << 18
 
@@ -116,9 +120,8 @@ class Items:
             fps = np.concatenate([_majority(_bits(self.shingles[i]).sum(axis=0, dtype=np.int64)[None, :], np.array([len(self.shingles[i])])) for i in own])
             self.index[n], self.of_length[n] = MultiIndex(fps), own
 
-    def matches(self, text: bytes) -> list[tuple[object, float, int, int, int]]:
-        """(item id, similarity, distance, first word, words) of each item found, at its closest window."""
-        words = word_hashes(text)
+    def matches(self, words: np.ndarray) -> list[tuple[object, float, int, int, int]]:
+        """(item id, similarity, distance, first word, words) of each item found in a text of these words, at its closest window."""
         best: dict[int, tuple] = {}
         overlap = max(self.words, default=0)
         for start in range(0, max(1, len(words)), TEXT_WORDS):
@@ -176,6 +179,19 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])
 
 
+def passes(spark: SparkSession, benchmark: DataFrame) -> Iterator[list[Broadcast]]:
+    """Broadcast blocks, as many as meet the documents together."""
+    blocks = item_blocks(benchmark)
+    while some := [spark.sparkContext.broadcast(items) for items in islice(blocks, BLOCKS_A_PASS)]:  # bounded by ITEM_BYTES of text each
+        yield some
+
+
+def _found(some: list[Broadcast], text: bytes) -> Iterator[tuple]:
+    words = word_hashes(text)
+    for items in some:
+        yield from items.value.matches(words)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, hamming, first_word, n_words): a row for each document and item in it."""
     spark = docs.sparkSession
@@ -183,14 +199,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, hamming int, first_word long, n_words int"
     out = spark.createDataFrame([], schema)
-    for items in item_blocks(benchmark):
-        held = spark.sparkContext.broadcast(items)  # bounded by ITEM_BYTES of text
+    for some in passes(spark, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, found = [], []
                 for i, text in enumerate(batch.column("text")):
-                    for match in held.value.matches(text.as_py() or b""):
+                    for match in _found(some, text.as_py() or b""):
                         rows.append(i)
                         found.append(match)
                 ids, score, distance, at, n = zip(*found, strict=True) if found else ((),) * 5
@@ -205,13 +220,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; decided where each row is."""
-    spark = docs.sparkSession
-    for items in item_blocks(benchmark):
-        held = spark.sparkContext.broadcast(items)  # bounded by ITEM_BYTES of text
+    for some in passes(docs.sparkSession, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not held.value.matches((text.as_py() or "").encode()) for text in batch.column("text")]
+                clean = [not any(True for _ in _found(some, (text.as_py() or "").encode())) for text in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
