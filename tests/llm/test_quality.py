@@ -31,3 +31,50 @@ def test_edge_cases(spark, make_docs):
         got = quality.score_quality(make_docs(rows), model).collect()
         assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
         assert quality.score_quality(make_docs([]), model).count() == 0
+
+
+def plain_features(text):
+    """The 18 features by plain loops over bytes, words and lines."""
+    text = text or ""
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    count = lambda test: sum(1 for b in raw if test(chr(b), b))
+    size, n = max(1, len(raw)), max(1, len(words))
+    spaces, letters = count(lambda c, b: c in " \t\n\r\v\f"), count(lambda c, b: (b < 128 and c.isalpha()) or b >= 192)
+    stops, marks = count(lambda c, b: c in ".,;:"), count(lambda c, b: c in "!?")
+    often = {w: words.count(w) for w in set(words)}
+    alone = sum(1 for w in words if len(w) == 1 and not w.isalnum())
+    return [
+        np.log(1 + len(words)), (size - spaces) / n, len(often) / n, max(often.values(), default=0) / n,
+        sum(1 for a, b in zip(words, words[1:]) if a == b) / n, sum(1 for w in words if len(w) <= 3) / n,
+        count(lambda c, b: "A" <= c <= "Z") / max(1, letters), count(lambda c, b: "0" <= c <= "9") / size, spaces / size, stops / size, marks / size,
+        count(lambda c, b: 32 < b < 127 and not c.isalnum() and c not in ".,;:!?'\"-()") / size, count(lambda c, b: b > 127) / size,
+        n / len(lines), 1 - len(set(lines)) / len(lines), n / (stops + marks + 1), alone / n, np.log(1 + max(map(len, words), default=0)),
+    ]
+
+
+def plain_score(model, text):
+    x = plain_features(text)
+    bin_of = lambda edges, v: sum(1 for e in edges if e <= v)
+    z = model.bias
+    for f, lookup in enumerate(model.tables):
+        z += lookup[bin_of(model.edges[f], x[f])]
+    for (i, j), lookup in model.pairs.items():
+        z += lookup[bin_of(model.coarse[i], x[i]), bin_of(model.coarse[j], x[j])]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_match_brute_force(spark, make_docs):
+    """The registered query's scores, and those of odd texts, by plain loops."""
+    from tidemark.llm.queries import op6_quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    assert model.constant is None and model.pairs
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = [r for r in op6_quality(spark, sf).collect() if len(texts[r["doc_id"]] or "") < 20_000]
+    assert len(got) > 100
+    off = [r["doc_id"] for r in got if abs(r["score"] - plain_score(model, texts[r["doc_id"]])) > 1e-6 or r["predicted"] != int(r["score"] >= 0.3)]
+    assert not off
+    odd = {1: None, 2: "", 3: "\n\n", 4: "É É É !! ?", 5: "A,b;c " * 500, 6: "{}<>= 1 2 3\n{}<>= 1 2 3"}
+    assert all(abs(r["score"] - plain_score(model, odd[r["doc_id"]])) < 1e-6 for r in quality.score_quality(make_docs(list(odd.items())), model).collect())

@@ -46,3 +46,49 @@ def test_edge_cases(spark, make_docs):
         assert tox.score_toxicity(make_docs([]), model).count() == 0
     kept = tox.drop_toxic(docs, tox.fit(docs, none))
     assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
+def plain_score(model, text):
+    """The model's answer by loops over words, filters and widths."""
+    if model.constant is not None:
+        return model.constant
+    words = tox.words_of(text)
+    vector = lambda i: sum((model.embedding[b].astype(float) for b in tox.features(words[i])), np.zeros(tox.DIMENSIONS)) if i < len(words) else np.zeros(tox.DIMENSIONS)
+    vectors = [vector(i) for i in range(len(words) + max(tox.WIDTHS))]
+    total, unit = float(model.out_bias), 0
+    for width, kernel in zip(tox.WIDTHS, model.filters):
+        for f in range(tox.FILTERS):
+            best = max(sum(float(vectors[i + k] @ kernel[k][:, f]) for k in range(width)) for i in range(max(1, len(words))))
+            total += max(0.0, best + float(model.bias[unit])) * float(model.out[unit])
+            unit += 1
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_match_brute_force(spark, make_docs):
+    """The registered query's scores of short real texts, and odd ones, by plain loops."""
+    from tidemark.llm.queries import op5_toxicity
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = tox.fit(docs, table(spark, sf, "labels"))
+    assert model.cnn.constant is None
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    seen = 0
+    for r in op5_toxicity(spark, sf).collect():
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if len(texts[r["doc_id"]] or "") < 2500:
+            assert abs(r["score"] - plain_score(model.cnn, texts[r["doc_id"]])) < 1e-4
+            seen += 1
+    assert seen > 100
+    odd = [(1, None), (2, ""), (3, "123 !!"), (4, "a"), (5, "two words"), (6, "É" * 50)]
+    assert all(abs(r["score"] - plain_score(model.cnn, dict(odd)[r["doc_id"]])) < 1e-4 for r in tox.score_toxicity(make_docs(odd), model).collect())
+
+
+def test_long_texts_are_scored_but_not_learnt_from(spark, make_docs):
+    from tidemark.llm import labels
+
+    rows = [(i, "short") for i in range(40)] + [(50 + i, "w " * 20_000) for i in range(20)]
+    marks = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    sample = labels.training_rows(make_docs(rows), marks, "toxic")
+    assert sample and {r["text"] for r in sample} == {"short"}
+    assert tox.score_toxicity(make_docs(rows), tox.fit(make_docs(rows), marks)).count() == len(rows)

@@ -54,3 +54,55 @@ def test_edge_cases(spark):
     assert urls.judge(empty, model).count() == 0
     rows = spark.createDataFrame([(1, "http://a.net/", ""), (1, "http://a.net/", ""), (2, "http://a.net/" + "x" * 100_000, "")], empty.schema)
     assert [r["verdict"] for r in urls.judge(rows, model).collect()] == ["allow"] * 3
+
+
+def plain_score(model, url, host, path):
+    """The trees' answer by plain loops: features one by one, one node after another."""
+    import math
+    import re
+
+    text = url or ""
+    n, query = max(1, len(text)), text.split("?", 1)[1] if "?" in text else ""
+    shares = [text.count(c) / n for c in set(text)]
+    x = [
+        len(text), len(host), len(path), path.count("/"), host.count("."), sum("0" <= c <= "9" for c in text) / n, -sum(p * math.log2(p) for p in shares),
+        query.count("="), query.count("&"), text.count("-"), text.count("_"), text.count("%"), "#" in text, text[:5] == "https", path[-1:] == "/",
+        "." in path.split("/")[-1], max(len(part) for part in re.split("[^0-9a-z]+", text.lower())), sum(host.count(c) for c in "aeiou") / max(1, len(host)),
+    ]
+    labels = host.split(".")
+    for suffix in (labels[-1], ".".join(labels[-2:])):
+        seen, blocked = model.stats.get(suffix, (0, 0))
+        x += [math.log(1 + seen), (blocked + 5 * model.share) / (seen + 5)]
+    bins = [sum(1 for e in edges if e <= v) for edges, v in zip(model.edges, x)]
+    z = model.bias
+    for feature, cut, value in model.trees:
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if bins[feature[at]] > cut[at] else 1)
+        z += value[at - len(feature)]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_trees_match_brute_force(spark):
+    """The registered query's scores and verdicts."""
+    from tidemark.llm.queries import op10_url_filter
+
+    pages = table(spark, SF, "pages")
+    model = urls.fit(pages)
+    assert model.trees
+    given = {r["page_id"]: r["url"] for r in pages.collect()}
+    got = op10_url_filter(spark, SF).collect()
+    assert len(got) == len(given)
+    for r in got:
+        host, path, rule, verdict = brute(given[r["page_id"]])
+        score = plain_score(model, given[r["page_id"]], host, path)
+        assert abs(score - r["score"]) < 1e-9 and r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
+
+
+def test_clashing_columns_and_long_urls(spark):
+    rows = [(1, "http://a.com/fr/" + "x" * 5000, "h", "r", 0.5), (2, "http://b.com/de/", "h", "r", 0.5), (3, None, "h", "r", 0.5), (4, "http://c.net/", "h", "r", 0.5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, score double")
+    model = urls.fit(pages)
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in urls.judge(pages, model).collect()}
+    assert got[1] == ("a.com", "com/fr/", "allow") and got[2] == ("b.com", "com/de/", "block") and got[3][:2] == ("", None)
+    assert model.share == 1.0  # the long one is judged but teaches nothing

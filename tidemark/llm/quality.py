@@ -5,8 +5,9 @@ Features are cut into quantile bins; in turn, each feature's lookup table gets t
 shallow tree grown on the histogram of the current residuals over its own bins; then the same for the
 pairs of features with the largest gain.  A score is the logistic of a sum of bin lookups.
 
-Defined results: null and empty texts score by the features of an empty text; without labels of both
-kinds the score is the share of good labels (0.5 without any); repeated rows score alike.
+Defined results: null and empty texts score by the features of an empty text; long texts are scored whole, one
+at a time; without labels of both kinds the score is the share of good labels (0.5 without any); repeated rows
+score alike; columns besides doc_id and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ word once and a text costs lookups, additions and a maximum.  Texts are cut into
 memory does not grow with the longest text.
 
 Defined results: null and empty texts score as a blank word; without labels of both kinds the score is
-the share of toxic labels (0 without any); repeated rows score alike.
+the share of toxic labels (0 without any); repeated rows score alike; columns besides doc_id, text and lang are not
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ counts and suffix statistics, trained on a bounded sample of the URLs that the r
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; without
 labelled URLs of both kinds the trees answer with the share of blocked ones (allow without any);
-repeated rows are judged alike; an empty table gives no rows.
+repeated rows are judged alike; long URLs are taken whole, but none of more than ``TRAINING_URL_CHARS`` characters is
+learnt from; columns besides page_id and url are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ RULES = (
 )
 #: At most so many URLs that a rule labels are collected for training.
 TRAINING_ROWS = 20_000
+#: Longer URLs are judged but not learnt from, which bounds the sample in bytes too.
+TRAINING_URL_CHARS = 2048
 TREES, DEPTH, RATE, BINS, SHRINK, LEAST_WEIGHT = 80, 3, 0.15, 32, 1.0, 2.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -160,7 +163,7 @@ class UrlModel:
 
 def fit(pages: DataFrame, rules=RULES, limit: int = TRAINING_ROWS) -> UrlModel:
     """Trains on at most ``limit`` different URLs that a rule labels, the same ones for the same table."""
-    labelled = with_rules(pages, rules).where(F.col("rule").isNotNull()).select("url", "host", "path", "ruled").distinct()
+    labelled = with_rules(pages, rules).where(F.col("rule").isNotNull() & (F.length("url") <= TRAINING_URL_CHARS)).select("url", "host", "path", "ruled").distinct()
     return UrlModel(labelled.orderBy(F.xxhash64("url"), "url").limit(limit).collect())
 
 
