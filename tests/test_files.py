@@ -69,6 +69,31 @@ def test_publishing_swaps_all_tables(spark, tmp_path):
     assert ingest.published(spark, str(tmp_path / "p"), "a").count() == 2 and ingest.published(spark, str(tmp_path / "p"), "b").count() == 12
 
 
+def test_a_version_counts_once_it_is_marked(spark, tmp_path):
+    """A writer that stops half-way leaves readers where they were; numbers, not clocks, order the versions."""
+    folder = str(tmp_path / "p")
+    assert ingest.publish(spark, {"a": spark.range(3)}, folder) == 1
+    (tmp_path / "p" / "claimed" / "2").touch()
+    spark.range(9).write.parquet(f"{folder}/versions/2/a")
+    assert ingest.published(spark, folder, "a").count() == 3
+    assert ingest.publish(spark, {"a": spark.range(5)}, folder) == 3 and ingest.published(spark, folder, "a").count() == 5
+
+
+def test_listing_and_failed_downloads(spark, folder):
+    listed = week_files.list_chart_files(spark, folder).collect()
+    assert [str(r["chart_date"]) for r in listed] == ["2022-08-06", "2022-08-20", "2022-08-27", "2022-09-03", "2030-01-05"]
+    failed = {str(r["chart_date"]) for r in week_files.failed_downloads(spark, week_files.list_chart_files(spark, folder), 2022, 2022).collect()}
+    assert len(failed) == 53 - 3 and "2022-08-20" in failed and "2022-08-06" not in failed
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        week_files.list_chart_files(spark, folder + "/nowhere").collect()
+
+
+def test_rebuilt_once_and_only_after_a_load():
+    done = []
+    assert ingest.load_and_rebuild([lambda: 0, lambda: 0], lambda: done.append(1)) == 0 and not done
+    assert ingest.load_and_rebuild([lambda: 2, lambda: 0, lambda: 1], lambda: done.append(1)) == 3 and done == [1]
+
+
 def test_a_stream_of_files_loads_each_once(spark, folder, tmp_path):
     seen = []
     run = lambda: incremental.load_new(incremental.stream_folder(spark, folder), lambda rows, n: seen.extend(map(tuple, rows.select("chart_date", "rank").collect())), str(tmp_path / "c")).awaitTermination()
@@ -85,3 +110,32 @@ def test_streamed_weeks_equal_batch(spark, tmp_path):
     query = incremental.weekly_activity(stream).writeStream.format("memory").queryName("weeks").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("weeks").collect())) == sorted(map(tuple, incremental.weekly_activity(events).collect()))
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_million_new_items_get_gapless_ids(spark, adaptive):
+    """Whatever the sizes of partitions, and without shared exchanges: each item once, ids 1 to n in order."""
+    from pyspark.sql import functions as F
+
+    keys = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.exchange.reuse": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        n = 1_000_000 if adaptive == "true" else 200_000
+        parsed = spark.range(n).select(F.lit(dt.date(2020, 1, 4)).alias("chart_date"), F.col("id").alias("position"), F.concat(F.lit("t"), "id").alias("title"), F.lit("a").alias("artist"), F.lit(None).cast("string").alias("image"))
+        empty = spark.createDataFrame([], "id long, title string, artist_credit string, image string")
+        r = ingest.upsert_items(empty, parsed).agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id"), F.count_if(F.col("title") != F.concat(F.lit("t"), F.col("id") - 1))).first()
+        assert tuple(r) == (n, n, 1, n, 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_casefolded_names(spark):
+    from tidemark.functions.names import name_key
+    from pyspark.sql import functions as F
+
+    names = ["Straße", "STRASSE", "ΣΊΣΥΦΟΣ", "σίσυφος", " Ke$ha  B ", "ﬁn", "İ"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", name_key(F.col("n")).alias("k")).collect()
+    assert [r["k"] for r in got] == [" ".join(n.split()).casefold() for n in names]

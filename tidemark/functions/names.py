@@ -16,9 +16,20 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+#: Letters whose case folding is not their lower case, and what they fold to.
+FOLDED = {"ß": "ss", "ẞ": "ss", "ς": "σ", "ſ": "s", "ŉ": "ʼn", "ǰ": "ǰ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def casefolded(text: Column) -> Column:
+    """Case folding: lower case, but for the letters of ``FOLDED``; Greek and Armenian ligatures are left as they are."""
+    for letter, folded in FOLDED.items():
+        text = F.replace(text, F.lit(letter), F.lit(folded))
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))  # lower case writes a final Σ as ς
+
+
 def name_key(name: Column) -> Column:
-    """Lower case, single spaces."""
-    return F.lower(F.regexp_replace(stripped(name), r"\s+", " "))
+    """Case folded, single spaces."""
+    return casefolded(F.regexp_replace(stripped(name), r"\s+", " "))
 
 
 def canonical_name(name: Column) -> Column:

@@ -7,22 +7,14 @@ range, never from one task that sorts all of them.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.credits import parse_credits
-
-
-def numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
-    """With ``id``: start + 1, start + 2 … in this order, without a window over all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))
-    return ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn("id", F.col("_local") + F.col("_before") + start).drop("_part", "_local", "_before")
+from tidemark.operators.numbering import numbered
+from tidemark.sources.week_files import LEAST_BYTES
 
 
 def _largest(rows: DataFrame) -> int:
@@ -81,16 +73,64 @@ def new_weeks(files: DataFrame, weeks: DataFrame, latest: str) -> DataFrame:
     return files.join(marks, "chart_id").where((F.col("chart_date") > F.col("_mark")) & (F.col("chart_date") <= F.lit(latest).cast("date"))).drop("_mark")
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> str:
-    """Writes all tables into a new version and then points to it: readers see all of it or nothing."""
-    version = uuid.uuid4().hex
+def register_charts(charts: DataFrame, curated: DataFrame) -> DataFrame:
+    """``charts`` with the curated ones (slug, title, entity_kind, category) whose slug it lacks; new ones are active and come last."""
+    new = curated.dropDuplicates(["slug"]).join(charts.select("slug"), "slug", "left_anti")
+    last = charts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"), F.coalesce(F.max("sort_order"), F.lit(0)).alias("at")).first()
+    added = numbered(new.select("slug", "title", "entity_kind", "category"), ["slug"], last["id"])
+    filled = added.withColumns({"is_active": F.lit(True), "sort_order": F.lit(last["at"])})
+    kinds = {f.name: f.dataType for f in charts.schema}
+    return charts.unionByName(filled.select(*[F.col(c).cast(kinds[c]).alias(c) if c in filled.columns else F.lit(None).cast(kinds[c]).alias(c) for c in charts.columns]))
+
+
+def set_genders(artists: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``artists`` (id, gender, gender_source, …) with the genders of ``resolved`` (name, gender, source) in place of the unknown ones."""
+    found = resolved.select(F.col("name").alias("_name"), F.col("gender").alias("_gender"), F.col("source").alias("_source")).dropDuplicates(["_name"])
+    open_ = F.coalesce("gender", F.lit("unknown")) == "unknown"
+    joined = artists.join(found, (F.col("name") == F.col("_name")) & open_, "left")
+    return joined.withColumns({"gender": F.coalesce("_gender", "gender"), "gender_source": F.coalesce("_source", "gender_source")}).select(artists.columns)
+
+
+def repaired_weeks(files: DataFrame, weeks: DataFrame, core: list[int], since_year: int, latest: str) -> DataFrame:
+    """Of dated files (chart_id, chart_date, bytes) those that fill a gap: weeks of core charts that are not loaded, from a year on.
+
+    Only whole files count; a week may be older than the chart's last one, which is why an older date can have a larger id.
+    """
+    whole = files.where(F.col("chart_id").isin(core) & (F.col("bytes") >= LEAST_BYTES))
+    in_time = (F.year("chart_date") >= since_year) & (F.col("chart_date") <= F.lit(latest).cast("date"))
+    return whole.where(in_time).join(weeks, ["chart_id", "chart_date"], "left_anti")
+
+
+def load_and_rebuild(load: list[Callable[[], int]], rebuild: Callable[[], None]) -> int:
+    """Runs all loads (each tells how many weeks it has added) and rebuilds what depends on them once, only if any was added."""
+    added = sum(step() for step in load)
+    if added:
+        rebuild()
+    return added
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> int:
+    """Writes all tables into a new version and then marks it by one empty file: readers see all of it or nothing.
+
+    A writer claims the next free number before it writes; no clock decides which version is the latest.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    version = max(_numbers(spark, folder, "claimed"), default=0) + 1
+    while not fs.createNewFile(path(f"{folder}/claimed/{version}")):
+        version += 1
     for name, df in tables.items():
         df.write.parquet(f"{folder}/versions/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{folder}/published")
+    fs.createNewFile(path(f"{folder}/published/{version}"))
     return version
 
 
+def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{folder}/{kind}/*"))
+    return [int(f.getPath().getName()) for f in found or []]
+
+
 def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the version that was published last."""
-    newest = spark.read.schema("version string, at timestamp").json(f"{folder}/published").agg(F.max_by("version", "at").alias("version")).first()
-    return spark.read.parquet(f"{folder}/versions/{newest['version']}/{name}")
+    return spark.read.parquet(f"{folder}/versions/{max(_numbers(spark, folder, 'published'))}/{name}")

@@ -95,6 +95,22 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(doubtful, F.lit(False))).select("name", "candidate_id", "type", gender_of_type(F.col("type"), F.col("gender")).alias("gender"))
 
 
+def resolved_genders(names: DataFrame, primary: DataFrame, fallback: DataFrame, ensembles: list[str]) -> DataFrame:
+    """(name, gender, source, source_id) of the names that a catalogue settles.
+
+    ``primary``: candidates as in ``best_candidates``.  A sure candidate ends the search, also one whose type and gender
+    say nothing: the name stays unknown, but its source is kept.  Only names without one are looked up in ``fallback``
+    (name, source_id, classes, sex), where an unknown gender settles nothing.
+    """
+    wanted = names.select("name").distinct()
+    first = wanted.join(best_candidates(primary), "name").select("name", "gender", F.lit("first").alias("source"), F.col("candidate_id").alias("source_id"))
+    mapped = gender_of_classes(F.col("classes"), F.col("sex"), ensembles)
+    other = fallback.select("name", mapped.alias("gender"), "source_id").where("gender <> 'unknown'")
+    other = other.groupBy("name").agg(F.min_by("gender", "source_id").alias("gender"), F.min("source_id").alias("source_id"))
+    second = wanted.join(first.select("name"), "name", "left_anti").join(other, "name")
+    return first.unionByName(second.select("name", "gender", F.lit("second").alias("source"), "source_id"))
+
+
 def gender_coverage(t: Tables) -> DataFrame:
     """(gender, n, percent) of the five genders, those without artists too."""
     vocabulary = t.artists.sparkSession.createDataFrame([(g,) for g in GENDERS], "gender string")
@@ -161,3 +177,36 @@ def orphans(artists: DataFrame, plans: list[tuple[DataFrame, DataFrame]]) -> Dat
     produced = named.distinct().withColumn("_named", F.lit(True))
     marked = gone.join(produced, "key", "left")
     return marked.select("id", "name", F.col("_named").isNull().alias("deletable"))
+
+
+def reconciled_links(items: DataFrame, links: DataFrame, artists: DataFrame) -> DataFrame:
+    """(entity_id, key): the links as ``link_changes`` leaves them."""
+    changes = link_changes(items, links, artists)
+    named = artists.select(F.col("id").alias("artist_id"), name_key(F.col("name")).alias("key"))
+    removed = changes.where("change = 'remove'").select("entity_id", "artist_id")
+    stay = links.select("entity_id", "artist_id").distinct().join(removed, ["entity_id", "artist_id"], "left_anti").join(named, "artist_id")
+    return stay.select("entity_id", "key").unionByName(changes.where("change = 'add'").select("entity_id", "key")).distinct()
+
+
+def broken_invariants(items: DataFrame, before: DataFrame, after: DataFrame, deleted: DataFrame, artists: DataFrame) -> DataFrame:
+    """(rule, entity_id, key): what a reconciliation has broken; no row if it is right.
+
+    ``before`` and ``after``: links (entity_id, key); ``deleted``: keys of artists that are gone.  No item may lose all its
+    artists; an item whose credit names artists has exactly these; no artist whom a credit names may be gone.
+    """
+    target = target_links(items, artists).select("entity_id", "key").distinct()
+    lost = before.select("entity_id").distinct().join(after.select("entity_id"), "entity_id", "left_anti")
+    missing = target.join(after.select("entity_id", "key"), ["entity_id", "key"], "left_anti")
+    judged = after.select("entity_id", "key").distinct().join(target.select("entity_id"), "entity_id", "left_semi")
+    surplus = judged.join(target, ["entity_id", "key"], "left_anti")
+    gone = deleted.select("key").distinct().join(target.select("key"), "key", "left_semi")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    item = items.schema["id"].dataType
+    parts = [
+        lost.select(F.lit("without artists").alias("rule"), "entity_id", none("key", "string")), missing.select(F.lit("missing").alias("rule"), "entity_id", "key"),
+        surplus.select(F.lit("unexpected").alias("rule"), "entity_id", "key"), gone.select(F.lit("deleted").alias("rule"), none("entity_id", item), "key"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

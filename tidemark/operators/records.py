@@ -1,7 +1,7 @@
 """Leaderboards: the fixed records, custom ones, genders, and what stands behind an artist's record.
 
-Every list is ordered by value, then name, then id, and numbered from one; only the listed rows are
-numbered, so no window ever sorts more than ``limit`` rows in one task.
+Every list is ordered by value, then name, then id, and numbered from one; of a limited list only the listed rows
+are numbered, and a list without a limit is numbered by ranges, so no window sorts more than ``limit`` rows in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.numbering import numbered
 from tidemark.operators.stats import album_stats, artist_stats, item_stats, song_stats
 from tidemark.operators.valid_weeks import valid_entries
 from tidemark.sources.projection import Tables
@@ -42,11 +43,36 @@ def unsupported(record: str, entity_kind: str, category: str) -> str | None:
 
 def listed(rows: DataFrame, order: list[Column], limit: int | None = LIMIT) -> DataFrame:
     """The first rows in this order, numbered by ``rank``."""
-    if limit is not None:
-        rows = rows.orderBy(*order).limit(max(1, min(limit, MOST_ROWS)))
+    if limit is None:
+        return numbered(rows, order, name="rank")
+    rows = rows.orderBy(*order).limit(max(1, min(limit, MOST_ROWS)))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def split_names(text: str | None) -> list[str]:
+    """The names of a filter written as one text: cut at commas, blanks dropped."""
+    return [name for part in (text or "").split(",") if (name := part.strip())]
+
+
+#: Columns that a catalog can be sorted by.
+CATALOG_ORDER = ("title", "peak_position", "total_weeks", "weeks_at_number_one", "debut_date", "last_date")
+
+
+def sorted_catalog(rows: DataFrame, by: str, ascending: bool = True) -> DataFrame:
+    """(position, …) by any column: no number counts as endless and no date as the earliest; ties of numbers go by title."""
+    if by not in CATALOG_ORDER:
+        raise ValueError(f"a catalog can't be sorted by {by!r}")
+    absent = F.asc(F.col(by).isNull()) if ascending else F.desc(F.col(by).isNull())
+    value = F.asc(by) if ascending else F.desc(by)
+    if by == "title":
+        order = [value]
+    elif by.endswith("_date"):
+        order = [F.desc(F.col(by).isNull()) if ascending else F.asc(F.col(by).isNull()), value]
+    else:
+        order = [absent, value, F.asc("title")]
+    return numbered(rows, [*order, F.asc("entity_id")], name="position")
+
+
 def _best(rows: DataFrame, limit: int | None = LIMIT, ascending: bool = False) -> DataFrame:
     value = F.asc("value") if ascending else F.desc("value")
     return listed(rows, [value, F.asc("title"), F.asc("id")], limit).select("rank", "id", "title", "artist_credit", "value")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import SIMILAR, canonical_name, similarity, trigrams
 from tidemark.operators.records import listed
-from tidemark.operators.stats import album_stats, artist_stats, song_stats
-from tidemark.sources.projection import Tables
+from tidemark.operators.stats import artist_stats, item_stats
+from tidemark.operators.valid_weeks import valid_entries
+from tidemark.sources.projection import CORE_ALBUMS, CORE_SONGS, Tables
+from tidemark.sources.shared import staged
 
 LIMIT, LEAST_LETTERS = 50, 2
 
@@ -23,9 +25,12 @@ def alike(rows: DataFrame, column: str, query: str) -> DataFrame:
 
 
 def search_items(t: Tables, kind: str, query: str, limit: int = LIMIT) -> DataFrame:
-    stats = (song_stats(t) if kind == "song" else album_stats(t)).select(F.col("entity_id").alias("id"), "peak_position", "total_weeks", "weeks_at_peak")
-    found = listed(alike(t.by_kind[kind][0], "title", query), [F.desc("sim"), F.asc("title"), F.asc("id")], limit)
-    return F.broadcast(found).join(stats, "id", "left") if limit <= LIMIT else found.join(stats, "id", "left")
+    """Items with a title like the query, and the career of these alone: their ids reduce the entries before any sum."""
+    found = staged(listed(alike(t.by_kind[kind][0], "title", query), [F.desc("sim"), F.asc("title"), F.asc("id")], limit), "found")  # compared once
+    ids = F.broadcast(found.select(F.col("id").alias("entity_id")))  # at most records.MOST_ROWS
+    entries = valid_entries(t, [CORE_SONGS if kind == "song" else CORE_ALBUMS]).join(ids, "entity_id", "left_semi")
+    stats = item_stats(entries).select(F.col("entity_id").alias("id"), "peak_position", "total_weeks", "weeks_at_peak")
+    return found.join(F.broadcast(stats), "id", "left")  # at most a row for each one found
 
 
 def search_artists(t: Tables, query: str, limit: int = LIMIT) -> DataFrame:

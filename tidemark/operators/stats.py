@@ -58,23 +58,26 @@ def credits(t: Tables) -> DataFrame:
     return links.join(charts, "entity_kind").select("chart_id", "entity_id", "artist_id", "role")
 
 
-def artist_chart_stats(t: Tables, scope: str = "all") -> DataFrame:
-    """(artist_id, chart_id, …) over all charts in one pass.
+def artist_chart_stats(t: Tables, scope: str = "all", charts: list[int] | None = None) -> DataFrame:
+    """(artist_id, chart_id, …) over all charts, or some of them, in one pass.
 
-    Entries are first summed to (chart, item, week) links by artist and week - a week has at most a chart's
-    depth of entries - and those to the artist.
+    Items are summed first (by artist, chart and item), so different items are counted without expanding rows; links
+    by artist and week give the most entries at once - a week has at most a chart's depth of entries.
     """
     links = credits(t) if scope == "all" else credits(t).where("role = 'primary'")
-    linked = valid_entries(t).join(links, ["chart_id", "entity_id"])
+    linked = valid_entries(t, charts).join(links, ["chart_id", "entity_id"])
     weekly = linked.groupBy("artist_id", "chart_id", "week_id").agg(F.count("*").alias("n"))
     at_once = weekly.groupBy("artist_id", "chart_id").agg(F.max("n").cast("int").alias("max_simultaneous"))
-    whole = linked.groupBy("artist_id", "chart_id").agg(
-        F.count_distinct("entity_id").cast("int").alias("total_entries"),
-        F.count("*").cast("int").alias("total_weeks"),
-        F.count_distinct(F.when(F.col("rank") == 1, F.col("entity_id"))).cast("int").alias("number_ones"),
-        F.min("rank").alias("best_peak"),
-        F.min("chart_date").alias("first_date"),
-        F.max("chart_date").alias("last_date"),
+    by_item = linked.groupBy("artist_id", "chart_id", "entity_id").agg(
+        F.count("*").alias("n"), F.min("rank").alias("best"), F.min("chart_date").alias("first"), F.max("chart_date").alias("last")
+    )
+    whole = by_item.groupBy("artist_id", "chart_id").agg(
+        F.count("*").cast("int").alias("total_entries"),
+        F.sum("n").cast("int").alias("total_weeks"),
+        F.count_if(F.col("best") == 1).cast("int").alias("number_ones"),
+        F.min("best").alias("best_peak"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
     )
     return whole.join(at_once, ["artist_id", "chart_id"])
 
@@ -84,7 +87,7 @@ def artist_stats(t: Tables) -> DataFrame:
 
     The numbers of songs and albums count credits of any chart; all else counts valid core weeks.
     """
-    rollup = artist_chart_stats(t).where(F.col("chart_id").isin(CORE_SONGS, CORE_ALBUMS))
+    rollup = artist_chart_stats(t, charts=[CORE_SONGS, CORE_ALBUMS])
 
     def side(chart_id: int, column: str):
         return F.max(F.when(F.col("chart_id") == chart_id, F.col(column)))
@@ -138,13 +141,14 @@ def artist_chart_rollups(t: Tables, names: list[str]) -> DataFrame:
     )
 
 
-def rollup_parity(t: Tables) -> DataFrame:
-    """Artists whose rollup by chart disagrees with their career statistics; none should come back."""
-    rollup = artist_chart_stats(t)
-    found = t.artists.select(F.col("id").alias("artist_id"))
-    for chart_id, side in ((CORE_SONGS, "song"), (CORE_ALBUMS, "album")):
-        own = rollup.where(F.col("chart_id") == chart_id).select("artist_id", F.col("total_weeks").alias(f"{side}_rollup"))
-        found = found.join(own, "artist_id", "left")
-    both = found.join(artist_stats(t), "artist_id")
+def rollup_parity(t: Tables, rollup: DataFrame | None = None, career: DataFrame | None = None) -> DataFrame:
+    """Artists whose rollup by chart disagrees with their career statistics; none should come back.
+
+    Both sides may be given as they are stored; by default they are computed.
+    """
+    rollup = artist_chart_stats(t, charts=[CORE_SONGS, CORE_ALBUMS]) if rollup is None else rollup
+    by_side = [F.max(F.when(F.col("chart_id") == c, F.col("total_weeks"))).alias(f"{s}_rollup") for c, s in ((CORE_SONGS, "song"), (CORE_ALBUMS, "album"))]
+    sums = rollup.groupBy("artist_id").agg(*by_side)
+    both = t.artists.select(F.col("id").alias("artist_id")).join(sums, "artist_id", "left").join(artist_stats(t) if career is None else career, "artist_id")
     differs = [F.coalesce(F.col(f"{s}_rollup"), F.lit(0)) != F.col(f"{s}_total_weeks") for s in ("song", "album")]
     return both.where(differs[0] | differs[1]).select("artist_id", "song_rollup", "album_rollup", "song_total_weeks", "album_total_weeks")

@@ -19,7 +19,7 @@ def judged_weeks(entries: DataFrame, percent: int = PHANTOM_PERCENT) -> DataFram
     """(chart_id, week_id, entries, fresh, phantom, first_real, valid)."""
     fresh = F.count_if(F.col("is_new") & (F.col("weeks_on_chart") == 1))
     weekly = entries.groupBy("chart_id", "week_id").agg(F.count("*").alias("entries"), fresh.alias("fresh"))
-    weekly = weekly.withColumn("phantom", F.col("fresh") >= F.floor(F.col("entries") * percent / 100))
+    weekly = weekly.withColumn("phantom", F.expr(f"fresh >= entries * {percent} div 100"))
     of_chart = Window.partitionBy("chart_id")
     first = F.min(F.when(F.col("phantom"), F.col("week_id"))).over(of_chart)
     weekly = weekly.withColumn("first_real", F.coalesce(F.col("week_id") == first, F.lit(False)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tidemark.operators.records import Custom
 from tidemark.plans.oracle import board, sql, years
 from tidemark.sources import week_files
 from tidemark.sources.projection import Tables, project
+from tidemark.sources.shared import fresh_path
 from tidemark.streaming.incremental import weekly_activity
 
 #: Parameters of the registered queries.
@@ -49,10 +51,25 @@ _add("valid_weeks", lambda t: vw.valid_weeks(t.entries), sql("SELECT * FROM vali
 _add("valid_weeks_multi", lambda t: vw.valid_weeks(t.entries, [1, 4]), sql("SELECT * FROM valid WHERE chart_id IN (1, 4)"))
 _add("active_charts", charts.active_charts, sql("SELECT slug, title, entity_kind, category, CASE id WHEN 3 THEN 'Artist' WHEN 4 THEN 'Rock' ELSE 'Core' END AS family, sort_order FROM charts"))
 _add("registry_last_loaded", charts.last_loaded, sql("SELECT c.id, slug, entity_kind, MAX(chart_date) AS last_loaded, sort_order FROM charts c LEFT JOIN chart_weeks w ON w.chart_id = c.id GROUP BY ALL"))
+_KNOWN_CHARTS = [("album-core", "album", 30, "Core Albums"), ("artist-core", "artist", 20, "Core Artists"), ("rock-songs", "song", 20, "Rock Songs")]
+
+
+def _slugs(t: Tables) -> DataFrame:
+    """The registry's slugs, and for each two others that only their end says something about."""
+    return t.charts.select(F.explode(F.array("slug", F.concat("slug", F.lit("-albums")), F.concat("slug", F.lit("-songs")))).alias("slug"))
+
+
 _add(
     "chart_metadata",
-    lambda t: t.charts.select("slug", registry.kind_of(F.col("slug")).alias("kind"), registry.depth_of(F.col("slug")).alias("top"), registry.family_position(registry.family(F.col("slug"), F.col("category"))).cast("int").alias("place")),
-    sql("SELECT slug, 'song' AS kind, CASE WHEN slug LIKE '%-songs' THEN 50 ELSE 100 END AS top, CASE id WHEN 3 THEN 2 WHEN 4 THEN 6 ELSE 1 END AS place FROM charts"),
+    lambda t: registry.chart_metadata(_slugs(t), t.charts.sparkSession.createDataFrame(_KNOWN_CHARTS, "slug string, kind string, depth int, title string")),
+    sql("""SELECT slug, CASE slug WHEN 'album-core' THEN 'album' WHEN 'artist-core' THEN 'artist' ELSE CASE WHEN slug LIKE '%-albums' THEN 'album' ELSE 'song' END END AS kind,
+CASE slug WHEN 'album-core' THEN 30 WHEN 'artist-core' THEN 20 WHEN 'rock-songs' THEN 20 ELSE CASE WHEN slug LIKE '%-songs' OR slug LIKE '%-albums' THEN 50 ELSE 100 END END AS depth,
+CASE slug WHEN 'album-core' THEN 'Core Albums' WHEN 'artist-core' THEN 'Core Artists' WHEN 'rock-songs' THEN 'Rock Songs' ELSE 'this chart' END AS title
+FROM (SELECT unnest([slug, slug || '-albums', slug || '-songs']) AS slug FROM charts)"""),
+)
+_add(
+    "chart_families", lambda t: t.charts.select("slug", registry.family_position(registry.family(F.col("slug"), F.col("category"))).cast("int").alias("place")),
+    sql("SELECT slug, CASE id WHEN 3 THEN 2 WHEN 4 THEN 6 ELSE 1 END AS place FROM charts"),
 )
 
 # -- statistics ---------------------------------------------------------------------------------
@@ -64,11 +81,33 @@ _add("artist_chart_stats", stats.artist_chart_stats, sql("SELECT * FROM artist_c
 _add("artist_stats", stats.artist_stats, sql("SELECT * FROM artist_stats"))
 _SUMS = "CAST(SUM(total_entries) AS INTEGER) AS total_entries, CAST(SUM(total_weeks) AS INTEGER) AS total_weeks, CAST(SUM(number_ones) AS INTEGER) AS number_ones, MIN(best_peak) AS best_peak, MAX(max_simultaneous) AS max_simultaneous, MIN(first_date) AS first_date, MAX(last_date) AS last_date"
 _add("artist_career_totals", stats.artist_career_totals, sql(f"SELECT name, {_SUMS}, COUNT(*) AS chart_count FROM artist_chart_stats s JOIN artists a ON a.id = s.artist_id GROUP BY name"))
+
+
+def _with_aliases(t: Tables) -> Tables:
+    """The artists 5 to 8 under two names of one artist, in different writing."""
+    name = F.when(F.col("id").isin(5, 7), "janet").when(F.col("id").isin(6, 8), "Janet  Jackson").otherwise(F.col("name"))
+    return replace(t, artists=t.artists.withColumn("name", name))
+
+
+_ALIASED = "(SELECT id FROM artists WHERE id BETWEEN 5 AND 8)"
+_add(
+    "artist_chart_rollups", lambda t: stats.artist_chart_rollups(_with_aliases(t), names.identity_group("Janet")),
+    sql(f"SELECT slug AS chart_slug, sort_order, {_SUMS} FROM artist_chart_stats s JOIN charts c ON c.id = chart_id WHERE artist_id IN {_ALIASED} GROUP BY slug, sort_order"),
+)
+# Disagreements are planted on both sides: every seventh rollup has a week more, every eleventh career row a week less.
 _add(
-    "artist_chart_rollups", lambda t: stats.artist_chart_rollups(t, names.identity_group("Supplier#000000006")),
-    sql(f"SELECT slug AS chart_slug, sort_order, {_SUMS} FROM artist_chart_stats s JOIN artists a ON a.id = s.artist_id JOIN charts c ON c.id = chart_id WHERE name = 'Supplier#000000006' GROUP BY slug, sort_order"),
+    "rollup_parity",
+    lambda t: stats.rollup_parity(
+        t, stats.artist_chart_stats(t).withColumn("total_weeks", F.col("total_weeks") + F.when(F.col("artist_id") % 7 == 0, 1).otherwise(0)),
+        stats.artist_stats(t).withColumn("album_total_weeks", F.col("album_total_weeks") - F.when(F.col("artist_id") % 11 == 0, 1).otherwise(0)),
+    ),
+    sql("""SELECT artist_id, song_rollup, album_rollup, song_total_weeks, album_total_weeks FROM (
+SELECT a.artist_id, x.total_weeks + CASE WHEN a.artist_id % 7 = 0 THEN 1 ELSE 0 END AS song_rollup, y.total_weeks + CASE WHEN a.artist_id % 7 = 0 THEN 1 ELSE 0 END AS album_rollup,
+song_total_weeks, album_total_weeks - CASE WHEN a.artist_id % 11 = 0 THEN 1 ELSE 0 END AS album_total_weeks
+FROM artist_stats a LEFT JOIN (SELECT * FROM artist_chart_stats WHERE chart_id = 1) x ON x.artist_id = a.artist_id LEFT JOIN (SELECT * FROM artist_chart_stats WHERE chart_id = 2) y ON y.artist_id = a.artist_id)
+WHERE coalesce(song_rollup, 0) <> song_total_weeks OR coalesce(album_rollup, 0) <> album_total_weeks"""),
 )
-_add("rollup_parity", stats.rollup_parity, sql("SELECT artist_id, 0 AS song_rollup, 0 AS album_rollup, song_total_weeks, album_total_weeks FROM artist_stats WHERE false"))
+_add("rollup_parity_of_own", stats.rollup_parity, sql("SELECT artist_id, total_weeks AS song_rollup, total_weeks AS album_rollup, song_total_weeks, album_total_weeks FROM artist_stats JOIN artist_chart_stats USING (artist_id) WHERE chart_id = 1 AND total_weeks <> song_total_weeks"))
 
 # -- records ------------------------------------------------------------------------------------
 
@@ -224,7 +263,7 @@ _add(
     sql(f"""SELECT row_number() OVER (ORDER BY sim DESC, name, id) AS rank, name AS artist, id, total_songs, total_albums, song_number_ones, album_number_ones, sim
 FROM (SELECT id, name, {_similar('name', 'supplier 000000007')} AS sim FROM artists) JOIN artist_stats ON artist_id = id WHERE sim >= 0.3 QUALIFY rank <= 50"""),
 )
-_add("artist_identity", lambda t: search.identity_ids(t, ARTIST), sql(f"SELECT id, name, name AS canonical FROM artists WHERE id = {ARTIST}"))
+_add("artist_identity", lambda t: search.identity_ids(_with_aliases(t), ARTIST), sql("SELECT id, CASE WHEN id % 2 = 1 THEN 'janet' ELSE 'Janet  Jackson' END AS name, 'Janet Jackson' AS canonical FROM artists WHERE id BETWEEN 5 AND 8"))
 
 # -- quality ------------------------------------------------------------------------------------
 
@@ -324,7 +363,41 @@ _add(
 (3, 'Bo', 'primary'), (3, '*', 'primary'), (3, 'Cy', 'primary'), (3, 'Di', 'featured')) x(i, n, role) ON i = id % 4 WHERE n <> '*' OR id % 3 = 0
 UNION ALL SELECT a.id, lower(b.name), NULL, b.id, 'remove' FROM artists a JOIN artists b ON b.id = 1 WHERE a.id % 5 = 0"""),
 )
-_add("reconcile_orphans", lambda t: quality.orphans(t.artists, [(_credit_rows(t), _links(t))]), sql("SELECT id, name, false AS deletable FROM artists WHERE id % 3 = 0"))
+# Credits of every second artist only: whom no link keeps and no credit names can be deleted.
+_add(
+    "reconcile_orphans", lambda t: quality.orphans(t.artists, [(_credit_rows(t).where("id % 2 = 0"), _links(t).where("entity_id % 2 = 0"))]),
+    sql("SELECT id, name, id % 2 = 1 AS deletable FROM artists WHERE id % 3 = 0 OR id % 2 = 1"),
+)
+
+
+def _reconciled(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, their links by key before a reconciliation, and after it."""
+    items, links = _credit_rows(t), _links(t)
+    before = links.join(t.artists.select(F.col("id").alias("artist_id"), names.name_key(F.col("name")).alias("key")), "artist_id").select("entity_id", "key")
+    return items, before, quality.reconciled_links(items, links, t.artists)
+
+
+_PARTS = """(VALUES (0, '*'), (1, '*'), (1, 'blood, sweat & tears'), (2, '*'), (2, 'zed'), (2, 'hall & oates'), (2, 'ann'), (3, 'bo'), (3, '*'), (3, 'cy'), (3, 'di')) x(i, n)"""
+_add("reconciled_links", lambda t: _reconciled(t)[2], sql(f"SELECT id AS entity_id, CASE WHEN n = '*' THEN lower(name) ELSE n END AS key FROM artists JOIN {_PARTS} ON i = id % 4"))
+
+
+def _broken(t: Tables) -> DataFrame:
+    """What the invariants say of a reconciliation that loses the items of every tenth artist, names, and deletes artists."""
+    items, before, after = _reconciled(t)
+    wrong = after.where("entity_id % 10 <> 0 and not (key = 'zed' and entity_id % 3 = 0)").unionByName(t.artists.where("id % 9 = 1").select(F.col("id").alias("entity_id"), F.lit("stranger").alias("key")))
+    deleted = t.artists.where("id % 25 = 3").select(names.name_key(F.col("name")).alias("key")).unionByName(t.artists.where("id = 1").select(F.lit("nobody").alias("key")))
+    return quality.broken_invariants(items, before, wrong, deleted, t.artists)
+
+
+_TARGET = f"(SELECT id, CASE WHEN n = '*' THEN lower(name) ELSE n END AS key FROM artists JOIN {_PARTS} ON i = id % 4)"
+_add("reconcile_invariants_hold", lambda t: (lambda r: quality.broken_invariants(r[0], r[1], r[2], t.artists.where("false").select(F.lit("").alias("key")), t.artists))(_reconciled(t)), sql("SELECT '' AS rule, id AS entity_id, name AS key FROM artists WHERE false"))
+_add(
+    "reconcile_invariants", _broken,
+    sql(f"""SELECT 'without artists' AS rule, id AS entity_id, NULL AS key FROM artists WHERE id % 10 = 0 AND (id % 3 <> 0 OR id % 5 = 0) AND NOT id % 9 = 1
+UNION ALL SELECT 'missing', id, key FROM {_TARGET} WHERE id % 10 = 0 OR (key = 'zed' AND id % 3 = 0)
+UNION ALL SELECT 'unexpected', id, 'stranger' FROM artists WHERE id % 9 = 1
+UNION ALL SELECT 'deleted', NULL, lower(name) FROM artists WHERE id % 25 = 3"""),
+)
 
 
 def _files(t: Tables) -> DataFrame:
@@ -357,5 +430,152 @@ WHERE NOT EXISTS (SELECT 1 FROM chart_entries e WHERE e.rank % 2 = 0 AND e.week_
 _add("incremental_new_weeks", lambda t: ingest.new_weeks(t.weeks, t.weeks.where("chart_date < '2000-01-01' and chart_id <> 3"), TARGET).select("chart_id", "chart_date"), sql(f"SELECT chart_id, chart_date FROM chart_weeks WHERE chart_id <> 3 AND chart_date >= DATE '2000-01-01' AND chart_date <= DATE '{TARGET}'"))
 _add("new_artist_delta", lambda t: ingest.upsert_artists(t.artists.where("id % 2 = 0").select("id", "name"), t.artists), sql("SELECT id, name FROM artists WHERE id % 2 = 0 UNION ALL SELECT (SELECT MAX(id) FROM artists WHERE id % 2 = 0) + row_number() OVER (ORDER BY name), name FROM artists WHERE id % 2 = 1"))
 
+
+
+# -- what a loader keeps ------------------------------------------------------------------------
+
+# The first load of all songs into an empty table, and one into a table that has every third of them.
+_PARSED = """(SELECT title, artist_credit, MIN(chart_date) AS d, arg_min(rank, chart_date) AS p FROM chart_entries JOIN songs ON id = entity_id WHERE chart_id = 1 GROUP BY title, artist_credit)"""
+
+
+def _parsed_songs(t: Tables) -> DataFrame:
+    rows = t.entries.where("chart_id = 1").join(t.songs.withColumnRenamed("id", "entity_id"), "entity_id")
+    return rows.select("chart_date", F.col("rank").alias("position"), "title", F.col("artist_credit").alias("artist"), F.when(F.col("rank") % 2 == 0, F.concat(F.lit("i"), F.col("rank").cast("string"))).alias("image"))
+
+
+def _stored_songs(t: Tables) -> DataFrame:
+    return t.songs.where("id % 3 = 0").select("id", "title", "artist_credit", F.lit("old").alias("image"))
+
+
+_add(
+    "upsert_entities", lambda t: ingest.upsert_items(_stored_songs(t), _parsed_songs(t)),
+    sql(f"""SELECT s.id, s.title, s.artist_credit, coalesce(CASE WHEN p % 2 = 0 THEN 'i' || p END, 'old') AS image FROM songs s LEFT JOIN {_PARSED} n ON n.title = s.title AND n.artist_credit = s.artist_credit WHERE s.id % 3 = 0
+UNION ALL SELECT (SELECT MAX(id) FROM songs WHERE id % 3 = 0) + row_number() OVER (ORDER BY d, p, n.title, n.artist_credit), n.title, n.artist_credit, CASE WHEN p % 2 = 0 THEN 'i' || p END
+FROM {_PARSED} n JOIN songs s ON s.title = n.title AND s.artist_credit = n.artist_credit WHERE s.id % 3 <> 0"""),
+)
+_add(
+    "artist_links", lambda t: ingest.artist_links(_credit_rows(t), t.artists),
+    sql("SELECT id AS entity_id, id AS artist_id, 'primary' AS role FROM artists"),
+)
+
+
+def _double_credits(t: Tables) -> DataFrame:
+    """Items that credit an artist twice, first as featured after the neighbour, so the first role counts."""
+    after = t.artists.select((F.col("id") - 1).alias("id"), F.col("name").alias("_next"))
+    return t.artists.join(after, "id").select("id", F.concat("name", F.lit(" Featuring "), "_next", F.lit(", "), "name").alias("artist_credit"))
+
+
+_add(
+    "artist_links_first_role", lambda t: ingest.artist_links(_double_credits(t), t.artists),
+    sql("SELECT id AS entity_id, id AS artist_id, 'primary' AS role FROM artists WHERE id < (SELECT MAX(id) FROM artists) UNION ALL SELECT id, id + 1, 'featured' FROM artists WHERE id < (SELECT MAX(id) FROM artists)"),
+)
+_CURATED = [("rock-songs", "Other title", "song", "genre"), ("latin-songs", "Latin Songs", "song", "genre"), ("artist-top", "Top Artists", "artist", "artist"), ("latin-songs", "Latin Songs", "song", "genre")]
+_add(
+    "register_charts", lambda t: ingest.register_charts(ingest.register_charts(t.charts, _curated(t)), _curated(t)),
+    sql("SELECT * FROM charts UNION ALL SELECT * FROM (VALUES (5, 'artist-top', 'Top Artists', 'artist', 'artist', true, 40, NULL), (6, 'latin-songs', 'Latin Songs', 'song', 'genre', true, 40, NULL))"),
+)
+
+
+def _curated(t: Tables) -> DataFrame:
+    return t.charts.sparkSession.createDataFrame(_CURATED, "slug string, title string, entity_kind string, category string")
+
+
+def _fallback(t: Tables) -> DataFrame:
+    """What the second catalogue says: an ensemble, a woman or nothing, by the id."""
+    classes = F.when(F.col("id") % 3 == 0, F.array(F.lit("Q215380"))).when(F.col("id") % 3 == 1, F.array(F.lit("Q5"))).otherwise(F.array(F.lit("Q1")))
+    return t.artists.select("name", F.concat(F.lit("Q"), F.col("id").cast("string")).alias("source_id"), classes.alias("classes"), F.lit(quality.FEMALE).alias("sex"))
+
+
+def _first_candidates(t: Tables) -> DataFrame:
+    """The candidates of ``_candidates``; every fourth artist's have a sex that is no gender of the model."""
+    return _candidates(t).withColumn("gender", F.when(F.regexp_extract("candidate_id", r"^(\d+)-", 1).cast("long") % 4 == 1, "non-binary").otherwise(F.col("gender")))
+
+
+_RESOLVED = """(SELECT a.id, a.name, CASE WHEN c.id IS NOT NULL THEN c.gender WHEN a.id % 3 = 0 THEN 'group' WHEN a.id % 3 = 1 THEN 'female' END AS gender,
+CASE WHEN c.id IS NOT NULL THEN 'first' WHEN a.id % 3 < 2 THEN 'second' END AS source, coalesce(c.candidate_id, 'Q' || a.id) AS source_id
+FROM artists a LEFT JOIN (SELECT id, candidate_id, CASE WHEN kind = 'Group' THEN 'group' WHEN id % 4 = 1 THEN 'unknown' ELSE 'male' END AS gender FROM (
+SELECT *, lead(score) OVER w AS s2, lead(kind) OVER w AS k2, row_number() OVER w AS n FROM (
+SELECT id, id || '-' || k AS candidate_id, 85 + (id * (k * 2 + 1)) % 16 AS score, CASE WHEN k = 1 AND id % 2 = 0 THEN 'Group' ELSE 'Person' END AS kind FROM artists, (VALUES (0), (1)) x(k))
+WINDOW w AS (PARTITION BY id ORDER BY score DESC, candidate_id DESC)) WHERE n = 1 AND score >= 90 AND NOT (s2 >= 90 AND score - s2 <= 5 AND kind <> k2)) c ON c.id = a.id)"""
+_add("gender_resolution", lambda t: quality.resolved_genders(t.artists, _first_candidates(t), _fallback(t), ["Q215380"]), sql(f"SELECT name, gender, source, source_id FROM {_RESOLVED} WHERE source IS NOT NULL"))
+_add(
+    "gender_update", lambda t: ingest.set_genders(t.artists, quality.resolved_genders(t.artists.where("gender = 'unknown'"), _first_candidates(t), _fallback(t), ["Q215380"])),
+    sql(f"SELECT a.id, a.name, CASE WHEN a.gender = 'unknown' THEN coalesce(r.gender, 'unknown') ELSE a.gender END AS gender, CASE WHEN a.gender = 'unknown' THEN coalesce(r.source, a.gender_source) ELSE a.gender_source END AS gender_source FROM artists a JOIN {_RESOLVED} r ON r.id = a.id"),
+)
+_add(
+    "gap_repair", lambda t: ingest.repaired_weeks(t.weeks.select("chart_id", "chart_date", (F.col("id") % 300).alias("bytes")), t.weeks.where("id % 2 = 0"), [1, 2], 1997, TARGET),
+    sql(f"SELECT chart_id, chart_date, id % 300 AS bytes FROM chart_weeks WHERE id % 2 = 1 AND id % 300 >= 100 AND chart_id IN (1, 2) AND year(chart_date) >= 1997 AND chart_date <= DATE '{TARGET}'"),
+)
+
+
+def _audited(t: Tables) -> DataFrame:
+    """Audited files of the core album chart, of which some weeks have none, and some a bad name or text."""
+    kept = t.weeks.where("chart_id = 2 and id % 5 <> 0").select("chart_date", F.concat(F.col("chart_date").cast("string"), F.when(F.month("chart_date") == 2, "x").otherwise(""), F.lit(".json")).alias("file_name"))
+    text = F.when(F.month("chart_date") == 3, F.lit("[]")).otherwise(F.lit('[{"rank": 1, "title": "t", "artist": "a"}]'))
+    size = F.when(F.month("chart_date") == 4, 20).otherwise(500).cast("long")
+    return week_files.audit(kept.select("file_name", size.alias("bytes"), text.alias("text")), TARGET)
+
+
+_NAMED = "(SELECT chart_date, month(chart_date) AS m FROM chart_weeks WHERE chart_id = 2 AND id % 5 <> 0)"
+_SPAN = f"(SELECT CAST(unnest(generate_series((SELECT MIN(chart_date) FROM {_NAMED} WHERE m <> 2), (SELECT least(MAX(chart_date), DATE '{TARGET}') FROM {_NAMED} WHERE m <> 2 AND chart_date <= DATE '{TARGET}'), INTERVAL 7 DAY)) AS DATE) AS chart_date)"
+_add(
+    "repair_dates", lambda t: week_files.repair_dates(_audited(t), TARGET),
+    sql(f"SELECT chart_date FROM {_SPAN} WHERE chart_date NOT IN (SELECT chart_date FROM {_NAMED} WHERE m <> 2) UNION SELECT chart_date FROM {_NAMED} WHERE m IN (3, 4) AND chart_date <= DATE '{TARGET}'"),
+)
+_add("repair_skipped_files", lambda t: week_files.skipped_files(_audited(t)), sql(f"SELECT chart_date || 'x.json' AS file_name FROM {_NAMED} WHERE m = 2"))
+_add(
+    "failed_downloads", lambda t: week_files.failed_downloads(t.charts.sparkSession, t.weeks.where("chart_id = 1").select("chart_date", (F.col("id") % 300).alias("bytes")), 1996, 1999),
+    sql("SELECT CAST(d AS DATE) AS chart_date FROM (SELECT unnest(generate_series(DATE '1996-01-06', DATE '1999-12-25', INTERVAL 7 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT chart_date FROM chart_weeks WHERE chart_id = 1 AND id % 300 >= 100)"),
+)
+
+
+def _outcomes(t: Tables) -> DataFrame:
+    """How each chart's weeks came out: three weeks without data in a row stand where a chart's id says."""
+    hole = F.date_add(F.lit("1996-06-01").cast("date"), F.col("chart_id") * 70)
+    outcome = F.when(F.col("id") % 7 == 0, "failed").when(F.col("id") % 3 == 0, "skipped").otherwise("saved")
+    return t.weeks.where((F.col("chart_date") < hole) | (F.col("chart_date") >= F.date_add(hole, 21))).select("chart_id", "chart_date", outcome.alias("outcome"))
+
+
+_add(
+    "debut_walk", lambda t: week_files.debut_walk(_outcomes(t).where("chart_id <> 4 or chart_date > '1996-01-01'"), "2000-12-30", "1995-07-01", 3),
+    sql("""SELECT c.chart_id, MIN(chart_date) FILTER (o IN ('saved', 'skipped')) AS earliest, COUNT(*) FILTER (o = 'saved') AS saved, COUNT(*) FILTER (o = 'skipped') AS skipped, COUNT(*) FILTER (o = 'failed') AS failed, 'debut' AS reason
+FROM (SELECT chart_id, chart_date, CASE WHEN id % 7 = 0 THEN 'failed' WHEN id % 3 = 0 THEN 'skipped' ELSE 'saved' END AS o FROM chart_weeks
+WHERE chart_date >= CAST(DATE '1996-06-01' + CAST(chart_id * 70 + 21 AS INTEGER) AS DATE) AND chart_date <= DATE '2000-12-30') c GROUP BY 1"""),
+)
+for _by, _up in (("total_weeks", True), ("total_weeks", False), ("debut_date", True), ("title", False)):
+    _nulls = {("total_weeks", True): "NULLS LAST", ("total_weeks", False): "NULLS FIRST", ("debut_date", True): "NULLS FIRST"}.get((_by, _up), "")
+    _add(
+        f"catalog_by_{_by}_{'up' if _up else 'down'}", lambda t, b=_by, u=_up: records.sorted_catalog(charts.item_detail(t, "song").withColumnRenamed("id", "entity_id").select("entity_id", *records.CATALOG_ORDER), b, u),
+        sql(f"SELECT row_number() OVER (ORDER BY {_by} {'ASC' if _up else 'DESC'} {_nulls}{', title' if _by == 'total_weeks' else ''}, id) AS position, id AS entity_id, title, peak_position, total_weeks, weeks_at_number_one, debut_date, last_date FROM songs LEFT JOIN song_stats ON id = entity_id"),
+    )
+_add(
+    "custom_name_list", lambda t: records.custom(t, Custom("songs", 1, "song", artist_names=records.split_names(" brand#11, ,BRAND#23 ,"))),
+    board("SELECT entity_id AS id, total_weeks AS value FROM song_stats JOIN songs ON id = entity_id WHERE artist_credit ILIKE '%brand#11%' OR artist_credit ILIKE '%brand#23%'", "songs"),
+)
+
+
+def _round_trip(t: Tables) -> DataFrame:
+    """All charts' songs written as week files and parsed again."""
+    rows = t.entries.where("chart_id = 4").join(t.songs.withColumnRenamed("id", "entity_id"), "entity_id")
+    folder = fresh_path(t.charts.sparkSession, "week_files")
+    week_files.write_week_files(rows.select("chart_date", "rank", "title", F.col("artist_credit").alias("artist"), F.col("weeks_on_chart").alias("weeks")), folder)
+    found = week_files.parse(week_files.with_dates(week_files.read_week_folders(t.charts.sparkSession, folder)))
+    return found.select("chart_date", "position", "rank", "title", "artist", "weeks")
+
+
+_add("week_file_round_trip", _round_trip, sql("SELECT chart_date, rank - 1 AS position, rank, title, artist_credit AS artist, weeks_on_chart AS weeks FROM chart_entries JOIN songs ON id = entity_id WHERE chart_id = 4"))
+
+
+def _sidecar(t: Tables) -> DataFrame:
+    """The registry's first weeks, written as a sidecar file and read again."""
+    first = t.weeks.groupBy("chart_id").agg(F.min("chart_date").cast("string").alias("first_date")).join(t.charts.select(F.col("id").alias("chart_id"), "slug"), "chart_id")
+    text = first.agg(F.to_json(F.collect_list(F.struct("slug", "first_date"))).alias("value"))  # a registry
+    folder = fresh_path(t.charts.sparkSession, "sidecar")
+    text.coalesce(1).write.text(folder)
+    return week_files.verified_charts(t.charts.sparkSession, folder)
+
+
+_add("verified_charts", _sidecar, sql("SELECT slug, MIN(chart_date) AS first_date FROM chart_weeks JOIN charts c ON c.id = chart_id GROUP BY slug"))
+
 _QUERIES["weekly_activity"] = lambda spark, sf_dir: weekly_activity(spark.read.parquet(f"{sf_dir}/events.parquet"))
 _ORACLES["weekly_activity"] = "SELECT CAST(CAST(ts AS DATE) + CAST(6 - dayofweek(CAST(ts AS DATE)) AS INTEGER) AS DATE) AS week, event_type, COUNT(*) AS n, SUM(CAST(value AS DECIMAL(18, 2))) AS total FROM events GROUP BY 1, 2"

@@ -2,7 +2,8 @@
 
 A chart publishes ranked entries (songs, albums or artists) for a Saturday.  The projection ranks parts,
 customers and suppliers by their weekly units, so every operator can run on any star-schema tables;
-``FIXTURES.md`` has its definition.  All relations are lazy: a query reads only the columns it needs.
+``FIXTURES.md`` has its definition.  The entries are stored once a session, as a loader would; all other relations
+are lazy, and a query reads only the columns it needs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import saturday_on_or_after
+from tidemark.sources.shared import file_marks, staged
 
 #: id, slug, title, entity_kind, category, is_active, sort_order, depth: the registry of the projection.
 CHARTS = [
@@ -52,43 +54,69 @@ class Tables:
             getattr(self, f.name).createOrReplaceTempView(prefix + f.name)
 
 
-def _weekly(rows: DataFrame, chart_id: int, day: str, key: str, units: Column) -> DataFrame:
-    weekly = rows.groupBy(saturday_on_or_after(F.col(day).cast("date")).alias("chart_date"), (F.col(key) + 1).alias("entity_id"))
-    return weekly.agg(units.alias("units")).select(F.lit(chart_id).alias("chart_id"), "chart_date", "entity_id", "units")
+def ranked_units(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """(chart_id, chart_date, entity_id, rank) within each chart's depth.
 
-
-def project(spark: SparkSession, sf_dir: str) -> Tables:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lineitem, orders = read("lineitem"), read("orders")
-    charts = spark.createDataFrame(CHARTS, CHART_COLUMNS)
-    sold = F.sum(F.col("l_quantity").cast("long"))
+    One scan of each table: a line counts for its part's chart, its supplier's and, if returned, the genre chart, and
+    is summed in its task before anything is shuffled.
+    """
+    chart = lambda i, key: F.struct(F.lit(i).alias("chart_id"), (F.col(key) + 1).alias("entity_id"))
+    lines = F.array(chart(1, "l_partkey"), chart(3, "l_suppkey"), F.when(F.col("l_returnflag") == "R", chart(4, "l_partkey")))
+    week = lambda day: saturday_on_or_after(F.col(day).cast("date")).alias("chart_date")
+    sold = lineitem.select(week("l_shipdate"), F.col("l_quantity").cast("long").alias("n"), F.explode(lines).alias("c")).where("c is not null")
     units = (
-        _weekly(lineitem, 1, "l_shipdate", "l_partkey", sold)
-        .unionByName(_weekly(orders, 2, "o_orderdate", "o_custkey", F.count("*")))
-        .unionByName(_weekly(lineitem, 3, "l_shipdate", "l_suppkey", sold))
-        .unionByName(_weekly(lineitem.where("l_returnflag = 'R'"), 4, "l_shipdate", "l_partkey", sold))
+        sold.groupBy("c.chart_id", "chart_date", "c.entity_id").agg(F.sum("n").alias("units"))
+        .unionByName(orders.groupBy(F.lit(2).alias("chart_id"), week("o_orderdate"), (F.col("o_custkey") + 1).alias("entity_id")).agg(F.count("*").alias("units")))
     )
-    depth = F.create_map(*[F.lit(x) for c in CHARTS for x in (c[0], c[7])])[F.col("chart_id")]
     in_week = Window.partitionBy("chart_id", "chart_date").orderBy(F.desc("units"), "entity_id")
-    ranked = units.withColumn("rank", F.row_number().over(in_week)).where(F.col("rank") <= depth)
+    depth = F.create_map(*[F.lit(x) for c in CHARTS for x in (c[0], c[7])])[F.col("chart_id")]
+    # The constant bound lets each task drop what no chart lists before the shuffle; the chart's own depth follows.
+    ranked = units.withColumn("rank", F.row_number().over(in_week)).where(F.col("rank") <= max(c[7] for c in CHARTS))
+    return ranked.where(F.col("rank") <= depth).select("chart_id", "chart_date", "entity_id", "rank")
+
 
+def history(ranked: DataFrame) -> DataFrame:
+    """The entries with what each item has done so far, in numbered weeks."""
     # One row for each chart and date: numbering them needs the calendar of a chart, never its entries.
     in_chart = Window.partitionBy("chart_id").orderBy("chart_date")
-    dates = units.select("chart_id", "chart_date").distinct()
+    dates = ranked.where("rank = 1").select("chart_id", "chart_date")
     number = F.row_number().over(in_chart) - 1
-    weeks = dates.select((F.col("chart_id") * 10000 + (number * 7919) % 10000).cast("int").alias("id"), "chart_id", "chart_date")
+    weeks = dates.select((F.col("chart_id") * 10000 + (number * 7919) % 10000).cast("int").alias("week_id"), "chart_id", "chart_date")
 
     so_far = Window.partitionBy("chart_id", "entity_id").orderBy("chart_date")
     week_before = F.lag("chart_date").over(so_far)
-    entries = (
+    return (
         ranked.withColumn("weeks_on_chart", F.row_number().over(so_far))
         .withColumn("peak_pos", F.min("rank").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("last_pos", F.when(F.datediff("chart_date", week_before) == 7, F.lag("rank").over(so_far)).otherwise(0))
         .withColumn("is_new", F.col("weeks_on_chart") == 1)
-        .join(F.broadcast(weeks.withColumnRenamed("id", "week_id")), ["chart_id", "chart_date"])  # charts x weeks since the first: a calendar
+        .join(F.broadcast(weeks), ["chart_id", "chart_date"])  # charts x weeks since the first: a calendar
         .select("chart_id", "week_id", "chart_date", "entity_id", "rank", "peak_pos", "last_pos", "weeks_on_chart", "is_new")
     )
 
+
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a folder, written to the shared folder once a session: the fact table that a loader keeps.
+
+    They are written anew if a file of the two tables changes.
+    """
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders")]
+    key = (spark.sparkContext.applicationId, sf_dir, *(file_marks(spark, p) for p in paths))
+    if key not in _STORED:
+        lineitem, orders = map(spark.read.parquet, paths)
+        _STORED[key] = staged(history(staged(ranked_units(lineitem, orders), "ranked")), "entries")
+    return _STORED[key]
+
+
+def project(spark: SparkSession, sf_dir: str) -> Tables:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    charts = spark.createDataFrame(CHARTS, CHART_COLUMNS)
+    entries = stored_entries(spark, sf_dir)
+    weeks = entries.where("rank = 1").select(F.col("week_id").alias("id"), "chart_id", "chart_date")  # every week has a first one
+
     supplier, part, customer = read("supplier"), read("part"), read("customer")
     suppliers = F.broadcast(supplier.agg(F.count("*").alias("n")))  # one row
     gender = F.element_at(F.array(*map(F.lit, GENDERS)), (F.col("s_suppkey") % 5 + 1).cast("int"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import saturday_on_or_after, valid_iso_date
+from tidemark.functions.calendar import saturday_on_or_after, saturdays, valid_iso_date
 from tidemark.functions.names import stripped
 
 #: All fields are read as text: files mix numbers, texts and nulls.
@@ -20,6 +20,35 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("text"))
 
 
+def list_chart_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(chart_date, path, bytes) of the week files of a folder, by date; an error if there is no such folder.  No file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", F.col("length").alias("bytes"))
+    dated = with_dates(files.withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1)))
+    return dated.where("chart_date is not null").select("chart_date", "path", "bytes").orderBy("chart_date", "path")
+
+
+def verified_charts(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, first_date) of the charts that a sidecar file names: a JSON array; an error if there is no such file."""
+    rows = spark.read.schema("slug string, first_date string").option("multiLine", True).json(path)
+    return rows.select("slug", F.try_to_date("first_date").alias("first_date")).where("slug is not null")
+
+
+def write_week_files(entries: DataFrame, folder: str) -> None:
+    """Writes entries (chart_date and the fields of a file) as one JSON array for each week, into a folder for each date.
+
+    A week has at most a chart's depth of entries; weeks are dealt out by their date.
+    """
+    fields = F.struct(*[F.col(c) for c in entries.columns if c != "chart_date"])
+    weeks = entries.groupBy("chart_date").agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("text"))
+    weeks.repartition("chart_date").write.partitionBy("chart_date").option("lineSep", "\n").text(folder)
+
+
+def read_week_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, bytes, text) of what ``write_week_files`` has written: a file name for each date."""
+    files = spark.read.schema("text string, chart_date date").text(folder)
+    return files.select(F.concat(F.col("chart_date").cast("string"), F.lit(".json")).alias("file_name"), F.octet_length("text").cast("long").alias("bytes"), "text")
+
+
 def with_dates(files: DataFrame) -> DataFrame:
     """With ``chart_date``, null for a name that is not a date."""
     stem = F.regexp_extract("file_name", r"^(.*)\.json$", 1)
@@ -78,3 +107,38 @@ def repair_dates(audited: DataFrame, latest: str) -> DataFrame:
     """(chart_date): weeks to fetch again: missing ones and those of broken files."""
     broken = audited.where(F.col("verdict").isin("empty", "invalid json", "invalid payload")).select("chart_date")
     return missing_weeks(audited, latest).unionByName(broken).distinct()
+
+
+def skipped_files(audited: DataFrame) -> DataFrame:
+    """(file_name): files that can't be fetched again, as their name is no date."""
+    return audited.where("verdict = 'bad name'").select("file_name")
+
+
+def failed_downloads(spark: SparkSession, files: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """(chart_date): Saturdays of the years whose file (chart_date, bytes) is absent or too small to hold a chart."""
+    calendar = saturdays(spark, f"{first_year}-01-01", f"{last_year}-12-31")
+    whole = files.where(F.col("bytes") >= LEAST_BYTES).select("chart_date")
+    return calendar.join(whole, "chart_date", "left_anti")
+
+
+def debut_walk(outcomes: DataFrame, last: str, floor: str, tolerance: int, by: str = "chart_id") -> DataFrame:
+    """(by, earliest, saved, skipped, failed, reason): a walk back from ``last`` week by week, for each chart.
+
+    ``outcomes``: by, chart_date, outcome (saved, skipped, failed or empty; a week without a row is empty).  The walk ends
+    at the first run of ``tolerance`` empty weeks (reason debut) or at ``floor`` (reason floor).  It is a cumulative
+    count over a chart's calendar: an empty week's run is its distance from the last week that was not empty.
+    """
+    spark, back = outcomes.sparkSession, Window.partitionBy(by).orderBy(F.desc("chart_date"))
+    weeks = saturdays(spark, floor, last).crossJoin(F.broadcast(outcomes.select(by).distinct()))  # a registry of charts
+    walked = weeks.join(outcomes, [by, "chart_date"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("empty")))
+    walked = walked.withColumn("_n", F.row_number().over(back))
+    last_full = F.coalesce(F.max(F.when(F.col("outcome") != "empty", F.col("_n"))).over(back), F.lit(0))
+    walked = walked.withColumn("_ends", F.col("_n") - last_full >= tolerance)
+    ended = F.max("_ends").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = walked.withColumn("_ended", ended).where("not _ended or _ends")
+    count = lambda name: F.count_if((F.col("outcome") == name) & ~F.col("_ended")).cast("int").alias(name)
+    kept = F.col("outcome").isin("saved", "skipped") & ~F.col("_ended")
+    return seen.groupBy(by).agg(
+        F.min(F.when(kept, F.col("chart_date"))).alias("earliest"), count("saved"), count("skipped"), count("failed"),
+        F.when(F.bool_or("_ends"), "debut").otherwise("floor").alias("reason"),
+    )
