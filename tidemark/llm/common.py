@@ -7,12 +7,13 @@ clashing names cannot reach a join.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import fresh_path, staged
+
+__all__ = ["fresh_path", "staged"]  # the other modules here take them from this one
+
 #: A side of a join is broadcast only when its counted rows times their width stay below this.
 BROADCAST_BYTES = 16 << 20
 
@@ -23,36 +24,6 @@ LARGE_GROUP = 100_000
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Only where it is unset and all tasks run in this process' JVM a local one is made; a cluster without it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage (a lost executor costs a re-read, not a re-run) and gives the optimizer file
-    statistics, so that it can choose a broadcast by measured size.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Counts a staged table (from its footers) against the broadcast bound."""
     return df.count() * row_bytes <= limit
