@@ -100,3 +100,22 @@ def test_rows_without_an_id_or_with_one_id_stay_apart(make_docs):
     rows = [(None, "one two three four"), (None, "five six seven eight"), (None, "five six seven eight"), (6, "nine ten eleven twelve"), (6, "red green blue white"), (6, "red green blue white"), (8, "nine ten eleven twelve")]
     kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(make_docs(rows)).collect()), key=str)
     assert kept == sorted([(None, "one two three four"), (None, "five six seven eight"), (6, "nine ten eleven twelve"), (6, "red green blue white")], key=str)
+
+
+def test_connected_across_tasks(spark, monkeypatch):
+    """Chains that no task holds whole, repeated edges, negative nodes; with pieces of a few edges as well."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(-40, 60)] + [(1000 + i, 1000) for i in range(50)] * 2
+    edges += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(150)]
+    edges = [(a, b) for a, b in edges if a != b]
+    rng.shuffle(edges)
+    low = {n: n for e in edges for n in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    want = {n: r for n, r in low.items() if n != r}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for held in (simhash.HELD_EDGES, 1):
+        monkeypatch.setattr(simhash, "HELD_EDGES", held)
+        assert {r["node"]: r["root"] for r in simhash.connected(df).collect()} == want
+    assert simhash.connected(df.limit(0)).count() == 0

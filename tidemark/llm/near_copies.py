@@ -295,9 +295,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pivots = tied.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = staged(represented(shared).unionByName(pivots).distinct(), "first_pairs")
 
-    found = staged(verified(first, marked, docs), "verified")
-    rest = staged(unconnected(shared, connected(found)), "rest_pairs")
-    roots = connected(found.unionByName(verified(rest, marked, docs)))
+    roots = connected(verified(first, marked, docs))
+    rest = staged(unconnected(shared, roots), "rest_pairs")
+    if not rest.isEmpty():
+        roots = connected(roots.toDF("a", "b").unionByName(verified(rest, marked, docs)))
 
     of_node = staged(marked.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "of_node")
     by_node = staged(components(of_node, roots, "node"), "components")

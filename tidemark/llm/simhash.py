@@ -42,6 +42,8 @@ BAND_PIVOTS, WIDE_PIVOTS = 20, 16
 HOT_BUCKET = 2048
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Edges of a task that are contracted at a time.
+HELD_EDGES = 1 << 20
 
 _U = np.uint64
 
@@ -289,8 +291,33 @@ def links(nodes: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 # -- components -------------------------------------------------------------------------------
 
 
+def _contracted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) that a task holds as the stars (a, smallest) of their connected parts, ``most`` at a time."""
+
+    def settle(held: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        label = _roots(len(nodes), a, b)
+        member = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.record_batch([pa.array(nodes[member]), pa.array(nodes[label[member]])], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]))
+        n += batch.num_rows
+        if n >= most:
+            yield settle(held)
+            held, n = [], 0
+    if n:
+        yield settle(held)
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected part, for the nodes that have an edge (a, b)."""
+    """(node, root): the smallest node of each connected part, for the nodes that have an edge (a, b).
+
+    Each task first replaces the edges that it holds by stars; the rounds join the stars of different tasks and end
+    once every node has one root and no root has another.
+    """
 
     def nearest(directed: DataFrame) -> DataFrame:
         """u, v and the smallest of u and all its v."""
@@ -307,17 +334,15 @@ def connected(edges: DataFrame) -> DataFrame:
         own = near.select(F.col("u").alias("a"), F.col("m").alias("b"))
         return near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(own).where("a <> b").distinct()
 
-    def mark(stars: DataFrame):
-        return stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+    def settled(stars: DataFrame) -> bool:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        of_node = stars.select(ends.alias("end")).groupBy("end.node").agg(F.sum("end.up").alias("ups"), F.max("end.down").alias("down"))
+        return not of_node.agg(F.bool_or((F.col("ups") > 1) | (F.col("ups") + F.col("down") > 1))).first()[0]
 
-    stars = staged(edges, "edges")
-    seen = mark(stars)
-    while True:
+    stars = staged(edges.mapInArrow(lambda batches: _contracted(batches, HELD_EDGES), "a long, b long").distinct(), "edges")
+    while not settled(stars):
         stars = staged(small_star(large_star(stars)), "stars")
-        now = mark(stars)
-        if now == seen:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def components(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
