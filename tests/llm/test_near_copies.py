@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.llm import near_copies
 from tidemark.llm.common import table
 
@@ -81,3 +83,21 @@ def test_edge_cases(make_docs):
     kept = near_copies.drop_near_copies(make_docs(rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 7, 8] and kept.columns == make_docs(rows).columns
     assert near_copies.drop_near_copies(make_docs([])).count() == 0
+
+
+def test_meetings_match_all_pairs():
+    """The pairs that a bucket proposes are those of all its pairs whose roots differ, each once."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        key, node, root = np.sort(rng.integers(0, 4, n)), rng.permutation(1000)[:n], rng.integers(0, 5, n)
+        size, leads, sketch = rng.integers(0, 12, n).astype(np.int32), rng.random(n) < 0.7, [rng.integers(0, 4, n).astype(np.uint64)]
+
+        def proposed(a, b):
+            good = near_copies._may_be_similar(node, size, leads, sketch, a, b)
+            return [frozenset(p) for p in zip(a[good].tolist(), b[good].tolist(), strict=True)]
+
+        a, b = np.triu_indices(n, 1)
+        apart = (key[a] == key[b]) & (root[a] != root[b])
+        got = [p for a_, b_ in near_copies._meetings(key, node, size, leads, root) for p in proposed(a_, b_)]
+        assert len(got) == len(set(got)) and set(got) == set(proposed(a[apart], b[apart]))

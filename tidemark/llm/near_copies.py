@@ -89,8 +89,9 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("text"):
-                yield pa.record_batch([pa.array(shingle_set(text.as_py() or b"")[0].view(np.int64))], names=["key"])
+            for start in range(0, batch.num_rows, 256):
+                own = [shingle_set(t.as_py() or b"")[0] for t in batch.column("text").slice(start, 256)]
+                yield pa.record_batch([pa.array(np.concatenate(own).view(np.int64))], names=["key"])
 
     some = docs.where(F.pmod(text_key(), F.lit(every)) == 0).select(F.col("text").cast("binary").alias("text"))
     counted = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON_TEXTS)
@@ -221,23 +222,60 @@ def represented(shared: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _pairs(propose(batches)), "a long, b long").distinct()
 
 
+def _largest_parts(key: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by key, belong to the root of most rows of their key."""
+    order = np.lexsort((root, key))
+    k, r = key[order], root[order]
+    runs = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
+    rows = np.diff(np.r_[runs, len(k)])
+    firsts = np.flatnonzero(np.r_[True, k[runs][1:] != k[runs][:-1]])
+    chosen = np.zeros(len(runs), bool)
+    chosen[np.maximum.reduceat(rows * len(runs) + np.arange(len(runs)), firsts) % len(runs)] = True
+    largest = np.empty(len(key), bool)
+    largest[order] = np.repeat(chosen, rows)
+    return largest
+
+
+def _ranges(at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of ``at`` with all numbers of its range, about ``HELD_PAIRS`` pairs at a time."""
+    some = start < stop
+    at, start, n = at[some], start[some], (stop - start)[some]
+    ends = np.cumsum(n)
+    cuts = np.flatnonzero(np.diff(ends // HELD_PAIRS)) + 1
+    for first, last in zip(np.r_[0, cuts], np.r_[cuts, len(n)], strict=True):
+        m = n[first:last]
+        if len(m):
+            skipped = np.repeat(start[first:last] - (np.cumsum(m) - m), m)
+            yield np.repeat(at[first:last], m), np.arange(len(skipped)) + skipped
+
+
+def _meetings(key: np.ndarray, node: np.ndarray, size: np.ndarray, leads: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key and different roots, the smaller set first, as far as sizes and leads allow them.
+
+    The rows of a key's largest root meet only the others, so connected copies cost nothing.
+    """
+    order = np.lexsort((node, size, key))
+    bucket = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    sizes, root, largest = size[order].astype(np.int64), root[order], _largest_parts(key, root)[order]
+    stop = np.searchsorted((bucket << 32) | sizes, (bucket << 32) | (DEN * sizes // NUM), side="right")
+    rest, small = np.flatnonzero(~largest), leads[order]
+    others, own = np.flatnonzero(small & ~largest), np.flatnonzero(small & largest)
+    for a, b in _ranges(others, others + 1, stop[others]):
+        apart = root[a] != root[b]
+        yield order[a[apart]], order[b[apart]]
+    for a, b in _ranges(own, np.searchsorted(rest, own), np.searchsorted(rest, stop[own])):
+        yield order[a], order[rest[b]]
+
+
 def unconnected(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): all pairs of a bucket that ``roots`` (node, root) does not connect."""
 
     def propose(batches):
         for key, node, size, leads, root, *sketch in _whole_buckets(batches):
             sketch = [part.view(_U) for part in sketch]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-                parts, part = np.unique(root[s:e], return_inverse=True)
-                if len(parts) == 1:
-                    continue
-                order = s + np.argsort(np.bincount(part)[part], kind="stable")  # the largest part comes last and meets only the others
-                for i in range(e - s - int(np.bincount(part).max())):
-                    b = order[i + 1 :][root[order[i + 1 :]] != root[order[i]]]
-                    a = np.full(len(b), order[i])
-                    good = _may_be_similar(node, size, leads, sketch, a, b)
-                    yield node[a[good]], node[b[good]]
+            for a, b in _meetings(key, node, size, leads, root):
+                good = _may_be_similar(node, size, leads, sketch, a, b)
+                yield node[a[good]], node[b[good]]
 
     named = shared.join(roots, "node", "left").select("key", "node", "size", "leads", F.coalesce("root", "node").alias("root"), *SKETCH)
     dealt = named.repartition("key").sortWithinPartitions("key", "node")
