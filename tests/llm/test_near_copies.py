@@ -99,5 +99,7 @@ def test_meetings_match_all_pairs():
 
         a, b = np.triu_indices(n, 1)
         apart = (key[a] == key[b]) & (root[a] != root[b])
+        found = np.flatnonzero(near_copies._have_partners(key, node, size, leads))
+        assert frozenset().union(*proposed(a[key[a] == key[b]], b[key[a] == key[b]])) <= set(found.tolist())
         got = [p for a_, b_ in near_copies._meetings(key, node, size, leads, root) for p in proposed(a_, b_)]
         assert len(got) == len(set(got)) and set(got) == set(proposed(a[apart], b[apart]))

@@ -166,17 +166,34 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
         yield held
 
 
+def _by_size(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, sorted by key, in the order of key and size, and for each where the sets of its key get too large for it."""
+    order = np.lexsort((node, size, key))
+    bucket = np.cumsum(np.r_[False, key[1:] != key[:-1]]) << 32
+    sizes = size[order].astype(np.int64)
+    return order, np.searchsorted(bucket | sizes, bucket | (DEN * sizes // NUM), side="right")
+
+
+def _have_partners(key: np.ndarray, node: np.ndarray, size: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Which rows can be in a pair: those that lead and have larger sets in reach, and the rows of these sets."""
+    order, stop = _by_size(key, node, size)
+    at = np.flatnonzero(leads[order] & (stop > np.arange(len(key)) + 1))
+    reached = np.cumsum(np.bincount(at, minlength=len(key) + 1) - np.bincount(stop[at], minlength=len(key) + 1))[:-1] > 0
+    found = np.empty(len(key), bool)
+    found[order] = reached
+    return found
+
+
 def buckets(marked: DataFrame) -> DataFrame:
-    """(key, node, size, leads, sketch columns) of the shingles that several nodes have in their prefix."""
+    """(key, node, size, leads, sketch columns) of the nodes that share a shingle of their prefixes with one of a similar size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_buckets(batches):
             key, node = columns[:2]
             first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
             columns = [c[first] for c in columns]
-            same = columns[0][1:] == columns[0][:-1]
-            several = np.r_[False, same] | np.r_[same, False]
-            yield pa.record_batch([pa.array(c[several]) for c in columns], names=["key", "node", "size", "leads"])
+            found = _have_partners(*columns)
+            yield pa.record_batch([pa.array(c[found]) for c in columns], names=["key", "node", "size", "leads"])
 
     rows = marked.select("node", "size", "reach", F.posexplode("prefix").alias("at", "key"))
     rows = rows.select("key", "node", "size", (F.col("at") < F.col("reach")).alias("leads"))
@@ -264,10 +281,8 @@ def _meetings(key: np.ndarray, node: np.ndarray, size: np.ndarray, leads: np.nda
 
     The rows of a key's largest root meet only the others, so connected copies cost nothing.
     """
-    order = np.lexsort((node, size, key))
-    bucket = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-    sizes, root, largest = size[order].astype(np.int64), root[order], _largest_parts(key, root)[order]
-    stop = np.searchsorted((bucket << 32) | sizes, (bucket << 32) | (DEN * sizes // NUM), side="right")
+    order, stop = _by_size(key, node, size)
+    root, largest = root[order], _largest_parts(key, root)[order]
     rest, small = np.flatnonzero(~largest), leads[order]
     others, own = np.flatnonzero(small & ~largest), np.flatnonzero(small & largest)
     for a, b in _ranges(others, others + 1, stop[others]):
