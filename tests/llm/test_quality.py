@@ -78,3 +78,12 @@ def test_scores_match_brute_force(spark, make_docs):
     assert not off
     odd = {1: None, 2: "", 3: "\n\n", 4: "É É É !! ?", 5: "A,b;c " * 500, 6: "{}<>= 1 2 3\n{}<>= 1 2 3"}
     assert all(abs(r["score"] - plain_score(model, odd[r["doc_id"]])) < 1e-6 for r in quality.score_quality(make_docs(list(odd.items())), model).collect())
+
+
+def test_a_last_bit_changes_no_score(spark):
+    """Features one bit off, as another maths library may compute them, fall into the same bins."""
+    docs = table(spark, SF, "documents")
+    model = quality.fit(docs, table(spark, SF, "labels"))
+    x = quality.matrix([r["text"] for r in docs.where("doc_id % 7 = 0 and length(text) < 20000").collect()])
+    for towards in (-np.inf, np.inf):
+        assert (model.score(np.nextafter(x, towards)) == model.score(x)).all()

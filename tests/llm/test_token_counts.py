@@ -114,3 +114,25 @@ def test_query_goes_through_every_kind_of_change(spark):
         words[r["source"], r["lang"]] += len((r["text"] or "").encode().split())
     assert {k[:2]: v for k, v in got.items() if k[2] == "words-1"} == {k: (n[k], words[k]) for k in n}
     assert {k[2] for k in got} == {"words-1", "byte_bpe_50k"} and all(v[0] == n[k[:2]] for k, v in got.items())
+
+
+def test_batches_committed_during_a_fold_count_once(spark):
+    """A batch that comes after the fold has listed the live ones is in neither its list nor its sums."""
+    one, more = (spark.createDataFrame([(1, "a", "en", "t", k)] * n, COUNTS) for n, k in ((2, 5), (3, 10)))
+    rollup = tc.TokenRollup(spark, fresh_path(spark, "t"))
+    rollup.commit("first", tc.inserts(one))
+    listed = rollup._live
+
+    def commit_after_listing(covered):
+        found = listed(covered)
+        if not rollup.is_committed("between"):
+            rollup.commit("between", tc.inserts(more))
+        return found
+
+    rollup._live = commit_after_listing
+    rollup.compact()
+    rollup._live = listed
+    for _ in range(2):
+        assert totals(rollup) == {("a", "en", "t"): (5, 40)}
+        assert not rollup.commit("between", tc.inserts(more))
+        rollup.compact()

@@ -1,3 +1,5 @@
+import numpy as np
+
 from tidemark.llm import urls
 from tidemark.llm.common import table
 
@@ -106,3 +108,20 @@ def test_clashing_columns_and_long_urls(spark):
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in urls.judge(pages, model).collect()}
     assert got[1] == ("a.com", "com/fr/", "allow") and got[2] == ("b.com", "com/de/", "block") and got[3][:2] == ("", None)
     assert model.share == 1.0  # the long one is judged but teaches nothing
+
+
+def test_a_last_bit_changes_no_score(spark):
+    pages = table(spark, SF, "pages")
+    model = urls.fit(pages)
+    parts = [(r["url"], r["host"], r["path"]) for r in urls.with_rules(pages).collect()]
+    x = model._matrix(parts)
+    for towards in (-np.inf, np.inf):
+        assert (model._bins(np.nextafter(x, towards)) == model._bins(x)).all()
+
+
+def test_cuts_lie_between_values():
+    from tidemark.llm.labels import cuts
+
+    values = np.array([0.0, 0, 0, 1, 1, 2, 2 + 1e-13, 5])
+    assert [int(c) for c in cuts(values, 8)] == [0, 1, 3]
+    assert len(cuts(np.zeros(5), 8)) == len(cuts(np.array([3.0]), 8)) == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = T
     short = docs.select("doc_id", "text", "lang").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAINING_TEXT_BYTES)
     rows = short.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).select("text", "lang", "y").collect()
+
+
+#: Values of a feature count as different from this relative distance on: far above what maths libraries differ by.
+APART = 1e-9
+#: Where a cut lies between two values: at no simple fraction, so that no whole number or ratio unseen in the sample lies on it.
+WITHIN = (3 - 5**0.5) / 2
+
+
+def cuts(values: np.ndarray, bins: int) -> np.ndarray:
+    """At most ``bins - 1`` cuts at the quantiles of a feature, each between neighbouring values of the sample.
+
+    No cut lies on a value, so a feature that another machine computes with another last bit falls into the same bin.
+    """
+    found = np.unique(values)
+    apart = np.diff(found) > APART * np.maximum(1, np.abs(found[1:]))
+    gap = np.searchsorted(found[:-1][apart], np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1]), "left") - 1
+    return (found[:-1] + WITHIN * np.diff(found))[apart][np.unique(gap[gap >= 0])]

@@ -1,7 +1,7 @@
 """Quality: a generalised additive model with pairwise interactions, boosted cyclically.
 
 A text is described by shape features (lengths, character classes, repetition, line structure).
-Features are cut into quantile bins; in turn, each feature's lookup table gets the leaf values of a
+Features are cut into quantile bins whose cuts lie between values of the sample; in turn, each feature's lookup table gets the leaf values of a
 shallow tree grown on the histogram of the current residuals over its own bins; then the same for the
 pairs of features with the largest gain.  A score is the logistic of a sum of bin lookups.
 
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.labels import held_out, training_rows
+from tidemark.llm.labels import cuts, held_out, training_rows
 
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, SHRINK = 150, 60, 0.1, 1.0
@@ -108,8 +108,8 @@ class AdditiveModel:
         if self.constant is not None:
             return
         self.bias = float(np.log(share / (1 - share)))
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        self.coarse = [np.unique(np.quantile(c, np.linspace(0, 1, PAIR_BINS + 1)[1:-1])) for c in x.T]
+        self.edges = [cuts(c, BINS) for c in x.T]
+        self.coarse = [cuts(c, PAIR_BINS) for c in x.T]
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]
         bins, z = self._bins(x, self.edges), np.full(len(y), self.bias)
 

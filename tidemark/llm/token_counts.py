@@ -7,7 +7,9 @@ committed batches, so they never re-read a document.
 
 A batch is written once under its identifier: Spark's writer leaves its success marker last, a batch
 that has it is skipped on replay, and one that failed half-way is written anew.  ``compact`` folds all
-batches into one; their identifiers stay known, so a replay after it still changes nothing.
+batches into one; their identifiers stay known, so a replay after it still changes nothing.  Batches of different
+identifiers may be committed at the same time, beside a ``compact`` too; the same identifier, or two ``compact``, must not
+run at once.
 
 Defined results: null texts have no tokens and long ones are counted whole; a null count is a document without
 tokens; null sources and languages are groups of their own; repeated rows and repeated or null ids count once for
@@ -145,21 +147,27 @@ class TokenRollup:
         deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
         return True
 
+    def _sums(self, folders: list[str]) -> DataFrame:
+        """The deltas of some batches and folds, summed by group."""
+        if not folders:
+            return self.spark.createDataFrame([], _DELTA)
+        return deltas(self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/{n}" for n in folders)))
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) over all committed batches."""
         fold, covered = self._folded()
-        live = [*self._live(covered), *[fold] * bool(fold)]
-        if not live:
-            return self.spark.createDataFrame([], _DELTA)
-        return deltas(self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/{n}" for n in live)))
+        return self._sums([*self._live(covered), *[fold] * bool(fold)])
 
     def compact(self) -> None:
-        """Folds all batches into one; the fold counts from the moment its success marker is there."""
+        """Folds all batches into one; the fold counts from the moment its success marker is there.
+
+        The batches are listed once: a batch committed meanwhile is neither in the fold's list nor in its sums, and stays live.
+        """
         fold, covered = self._folded()
-        live = self.spark.createDataFrame([(b,) for b in self._live(covered)], "value string")
+        live = self._live(covered)
         name = f"fold-{int(fold.split('-')[1]) + 1 if fold else 0:09d}"
-        covered.unionByName(live).write.mode("overwrite").text(f"{self.path}/covers-{name}")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/{name}")
+        covered.unionByName(self.spark.createDataFrame([(b,) for b in live], "value string")).write.mode("overwrite").text(f"{self.path}/covers-{name}")
+        self._sums([*live, *[fold] * bool(fold)]).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def clean(self) -> None:
         """Removes the folders that the latest fold has made superfluous, once nobody reads older totals any more."""

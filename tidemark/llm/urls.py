@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.labels import cuts
+
 #: (verdict, rule): fixed values.
 RULES = (
     ("allow", "org/"),
@@ -109,7 +111,7 @@ class UrlModel:
         return np.array(out, np.float64).reshape(len(parts), -1)
 
     def _boost(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.edges = [cuts(c, BINS) for c in x.T]
         bins = self._bins(x)
         self.bias = float(np.log(self.share / (1 - self.share)))
         z = np.full(len(y), self.bias)
