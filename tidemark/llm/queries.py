@@ -129,6 +129,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finite embeddings, whitened by up to 16 components of the different ones."""
+    from tidemark.llm.whitening import whitened_embeddings
+
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op10 that SQL can express: every URL's host, path and rule."""
     from tidemark.llm.urls import with_rules
@@ -147,6 +154,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op13_whitening": op13_whitening,
     "token_counts_by_words": token_counts_by_words,
     "url_rules": url_rules,
 }
