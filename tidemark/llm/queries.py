@@ -129,6 +129,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of all conversations."""
+    from tidemark.llm.prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that is full of control strings, formatted and read back from the output."""
     from tidemark.llm.chat import formatted, read_back, turn_digest
@@ -169,6 +176,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_chat_format": op12_chat_format,
     "op13_whitening": op13_whitening,
     "token_counts_by_words": token_counts_by_words,
