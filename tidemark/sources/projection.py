@@ -2,12 +2,13 @@
 
 A chart publishes ranked entries (songs, albums or artists) for a Saturday.  The projection ranks parts,
 customers and suppliers by their weekly units, so every operator can run on any star-schema tables;
-``FIXTURES.md`` has its definition.  The entries are stored once a session, as a loader would; all other relations
+``FIXTURES.md`` has its definition.  The entries are stored once, as a loader would; all other relations
 are lazy, and a query reads only the columns it needs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, fields
 from functools import cached_property
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import saturday_on_or_after
-from tidemark.sources.shared import file_marks, staged
+from tidemark.sources.shared import exists, file_marks, shared_dir
 
 #: id, slug, title, entity_kind, category, is_active, sort_order, depth: the registry of the projection.
 CHARTS = [
@@ -25,6 +26,9 @@ CHARTS = [
     (4, "rock-songs", "Rock Songs", "song", "genre", True, 40, 20),
 ]
 CHART_COLUMNS = "id int, slug string, title string, entity_kind string, category string, is_active boolean, sort_order int, depth int"
+ENTRY_COLUMNS = "chart_id int, week_id int, chart_date date, entity_id long, rank int, peak_pos int, last_pos int, weeks_on_chart int, is_new boolean"
+#: To be raised with every change to what is stored, so that no later session finds entries of another making.
+LAYOUT = 2
 CORE_SONGS, CORE_ALBUMS = 1, 2
 GENDERS = ["female", "male", "group", "mixed", "unknown"]
 
@@ -54,35 +58,62 @@ class Tables:
             getattr(self, f.name).createOrReplaceTempView(prefix + f.name)
 
 
-def ranked_units(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """(chart_id, chart_date, entity_id, rank) within each chart's depth.
+def _week(day: str) -> Column:
+    return saturday_on_or_after(F.col(day).cast("date")).alias("chart_date")
+
+
+def _by_chart(rows: DataFrame, charts: dict[int, str], name: str) -> DataFrame:
+    """A row (chart_id, …) for each chart whose column is neither null nor false; the column's value as ``name``."""
+    kept = [c for c in rows.columns if c not in charts.values()]
+    of_chart = F.explode(F.array(*[F.struct(F.lit(i).alias("chart_id"), F.col(c).alias(name)) for i, c in charts.items()])).alias("_c")
+    out = rows.select(*kept, of_chart).select("_c.chart_id", *kept, f"_c.{name}")
+    return out.where(name) if dict(out.dtypes)[name] == "boolean" else out.where(f"{name} is not null")
+
+
+def weekly_units(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """(chart_id, chart_date, entity_id, units): a line counts for its part's chart, its supplier's and, if returned, the genre chart.
 
-    One scan of each table: a line counts for its part's chart, its supplier's and, if returned, the genre chart, and
-    is summed in its task before anything is shuffled.
+    Both song charts come out of one aggregate, summed in the tasks before anything is shuffled.
     """
-    chart = lambda i, key: F.struct(F.lit(i).alias("chart_id"), (F.col(key) + 1).alias("entity_id"))
-    lines = F.array(chart(1, "l_partkey"), chart(3, "l_suppkey"), F.when(F.col("l_returnflag") == "R", chart(4, "l_partkey")))
-    week = lambda day: saturday_on_or_after(F.col(day).cast("date")).alias("chart_date")
-    sold = lineitem.select(week("l_shipdate"), F.col("l_quantity").cast("long").alias("n"), F.explode(lines).alias("c")).where("c is not null")
-    units = (
-        sold.groupBy("c.chart_id", "chart_date", "c.entity_id").agg(F.sum("n").alias("units"))
-        .unionByName(orders.groupBy(F.lit(2).alias("chart_id"), week("o_orderdate"), (F.col("o_custkey") + 1).alias("entity_id")).agg(F.count("*").alias("units")))
-    )
+    sold = lineitem.select(_week("l_shipdate"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("n"), "l_returnflag")
+    songs = sold.groupBy("chart_date", (F.col("l_partkey") + 1).alias("entity_id")).agg(F.sum("n").alias("core"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("n"))).alias("genre"))
+    artists = sold.groupBy("chart_date", (F.col("l_suppkey") + 1).alias("entity_id")).agg(F.sum("n").alias("units"))
+    albums = orders.groupBy(_week("o_orderdate"), (F.col("o_custkey") + 1).alias("entity_id")).agg(F.count("*").alias("units"))
+    of_chart = lambda i, rows: rows.select(F.lit(i).alias("chart_id"), "chart_date", "entity_id", "units")
+    return _by_chart(songs, {1: "core", 4: "genre"}, "units").unionByName(of_chart(2, albums)).unionByName(of_chart(3, artists)).where("entity_id is not null")
+
+
+def ranked_units(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """(chart_id, chart_date, entity_id, rank) within each chart's depth."""
     in_week = Window.partitionBy("chart_id", "chart_date").orderBy(F.desc("units"), "entity_id")
     depth = F.create_map(*[F.lit(x) for c in CHARTS for x in (c[0], c[7])])[F.col("chart_id")]
     # The constant bound lets each task drop what no chart lists before the shuffle; the chart's own depth follows.
-    ranked = units.withColumn("rank", F.row_number().over(in_week)).where(F.col("rank") <= max(c[7] for c in CHARTS))
+    ranked = weekly_units(lineitem, orders).withColumn("rank", F.row_number().over(in_week)).where(F.col("rank") <= max(c[7] for c in CHARTS))
     return ranked.where(F.col("rank") <= depth).select("chart_id", "chart_date", "entity_id", "rank")
 
 
-def history(ranked: DataFrame) -> DataFrame:
-    """The entries with what each item has done so far, in numbered weeks."""
-    # One row for each chart and date: numbering them needs the calendar of a chart, never its entries.
-    in_chart = Window.partitionBy("chart_id").orderBy("chart_date")
-    dates = ranked.where("rank = 1").select("chart_id", "chart_date")
-    number = F.row_number().over(in_chart) - 1
-    weeks = dates.select((F.col("chart_id") * 10000 + (number * 7919) % 10000).cast("int").alias("week_id"), "chart_id", "chart_date")
+def calendar(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """(chart_id, chart_date) of every published week: the Saturdays of the rows that a chart counts.
 
+    Each task reduces its rows to days before anything is shuffled; nothing is ranked for it.
+    """
+    part, counts = F.col("l_partkey").isNotNull(), F.col("l_quantity").isNotNull()
+    of_day = lineitem.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(
+        F.bool_or(part).alias("core"), F.bool_or(F.col("l_suppkey").isNotNull()).alias("artist"), F.bool_or(part & counts & (F.col("l_returnflag") == "R")).alias("genre")
+    )
+    ordered = orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.bool_or(F.col("o_custkey").isNotNull()).alias("album"))
+    both = _by_chart(of_day, {1: "core", 3: "artist", 4: "genre"}, "published").unionByName(_by_chart(ordered, {2: "album"}, "published"))
+    return both.select("chart_id", _week("day")).distinct()
+
+
+def numbered_weeks(dates: DataFrame) -> DataFrame:
+    """(week_id, chart_id, chart_date): numbering needs the calendar of a chart, never its entries."""
+    number = F.row_number().over(Window.partitionBy("chart_id").orderBy("chart_date")) - 1
+    return dates.select((F.col("chart_id") * 10000 + (number * 7919) % 10000).cast("int").alias("week_id"), "chart_id", "chart_date")
+
+
+def history(ranked: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The entries with what each item has done so far, in numbered weeks (week_id, chart_id, chart_date)."""
     so_far = Window.partitionBy("chart_id", "entity_id").orderBy("chart_date")
     week_before = F.lag("chart_date").over(so_far)
     return (
@@ -95,20 +126,20 @@ def history(ranked: DataFrame) -> DataFrame:
     )
 
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
 def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of a folder, written to the shared folder once a session: the fact table that a loader keeps.
+    """The entries of a folder, written once to the shared folder: the fact table that a loader keeps.
 
-    They are written anew if a file of the two tables changes.
+    The table's name says which files it was made of, so later sessions find it again, and other contents get
+    another table; one that has been cleaned away is written anew.
     """
     paths = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders")]
-    key = (spark.sparkContext.applicationId, sf_dir, *(file_marks(spark, p) for p in paths))
-    if key not in _STORED:
+    marks = repr((LAYOUT, CHARTS, ENTRY_COLUMNS, sf_dir, *(file_marks(spark, p) for p in paths)))
+    path = f"{shared_dir(spark)}/tidemark-entries-{hashlib.sha256(marks.encode()).hexdigest()[:32]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
         lineitem, orders = map(spark.read.parquet, paths)
-        _STORED[key] = staged(history(staged(ranked_units(lineitem, orders), "ranked")), "entries")
-    return _STORED[key]
+        entries = history(ranked_units(lineitem, orders), numbered_weeks(calendar(lineitem, orders)))
+        entries.write.mode("overwrite").parquet(path)
+    return spark.read.schema(ENTRY_COLUMNS).parquet(path)
 
 
 def project(spark: SparkSession, sf_dir: str) -> Tables:

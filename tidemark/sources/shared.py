@@ -38,8 +38,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, make = file_system(spark, path)
+    return fs.exists(make(path))
+
+
 def file_marks(spark: SparkSession, path: str) -> tuple:
-    """Name, length and time of each file of a table: other marks, other contents."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    """Name, length and time of each file of a table, those in its folders too: other marks, other contents."""
+    fs, make = file_system(spark, path)
+    found, marks = fs.listFiles(make(path), True), []
+    while found.hasNext():
+        f = found.next()
+        marks.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(marks))
