@@ -6,6 +6,7 @@ import json
 import pytest
 
 from tidemark.operators import ingest
+from tidemark.sources.versions import Versions
 from tidemark.sources import week_files
 from tidemark.streaming import incremental
 
@@ -73,12 +74,30 @@ def test_a_version_counts_once_it_is_marked(spark, tmp_path):
     """A writer that stops half-way leaves readers where they were; numbers, not clocks, order the versions."""
     folder = str(tmp_path / "p")
     assert ingest.publish(spark, {"a": spark.range(3)}, folder) == 1
-    (tmp_path / "p" / "claimed" / "2").touch()
-    spark.range(9).write.parquet(f"{folder}/versions/2/a")
+    (tmp_path / "p" / "log" / f"{2:012d}").touch()
+    spark.range(9).write.parquet(f"{folder}/files/half/a")
     assert ingest.published(spark, folder, "a").count() == 3
     assert ingest.publish(spark, {"a": spark.range(5)}, folder) == 3 and ingest.published(spark, folder, "a").count() == 5
 
 
+def test_a_slow_writer_is_not_lost(spark, tmp_path):
+    """A builds on version 0 while B publishes: A's rows follow from B's, and both are there."""
+    folder, seen = str(tmp_path / "p"), []
+
+    def more(base):
+        seen.append(base.number)
+        if len(seen) == 1:
+            ingest.publish(spark, {"a": spark.range(10)}, folder)
+        old = Versions(spark, folder).read("a", base) if base.number else spark.range(0)
+        return {"a": old.unionByName(spark.range(100, 103))}
+
+    assert ingest.publish(spark, more, folder) == 2 and seen == [0, 1]
+    assert ingest.published(spark, folder, "a").count() == 13
+    files = Versions(spark, folder)
+    files.clean(1)
+    assert ingest.published(spark, folder, "a").count() == 13 and len(list((tmp_path / "p" / "files").iterdir())) == 1
+
+
 def test_listing_and_failed_downloads(spark, folder):
     listed = week_files.list_chart_files(spark, folder).collect()
     assert [str(r["chart_date"]) for r in listed] == ["2022-08-06", "2022-08-20", "2022-08-27", "2022-09-03", "2030-01-05"]

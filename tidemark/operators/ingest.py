@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.credits import parse_credits
 from tidemark.operators.numbering import numbered
+from tidemark.sources.versions import Version, Versions
 from tidemark.sources.week_files import LEAST_BYTES
 
 
@@ -109,28 +110,23 @@ def load_and_rebuild(load: list[Callable[[], int]], rebuild: Callable[[], None])
     return added
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> int:
-    """Writes all tables into a new version and then marks it by one empty file: readers see all of it or nothing.
+def publish(spark: SparkSession, tables: dict[str, DataFrame] | Callable[[Version], dict[str, DataFrame]], folder: str) -> int:
+    """Writes all tables into a new version of a folder: readers see all of it or nothing.
 
-    A writer claims the next free number before it writes; no clock decides which version is the latest.
+    Versions are numbered in the order in which they are published.  Tables that follow from the version before are given as a
+    function of it: if another writer publishes meanwhile, they are computed again from what that one has published.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    version = max(_numbers(spark, folder, "claimed"), default=0) + 1
-    while not fs.createNewFile(path(f"{folder}/claimed/{version}")):
-        version += 1
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/versions/{version}/{name}")
-    fs.createNewFile(path(f"{folder}/published/{version}"))
-    return version
+    versions = Versions(spark, folder)
 
+    def build(base: Version) -> Version:
+        built = base
+        for name, df in (tables(base) if callable(tables) else tables).items():
+            built = versions.written(built, name, df, F.lit("0"))
+        return built
 
-def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    found = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{folder}/{kind}/*"))
-    return [int(f.getPath().getName()) for f in found or []]
+    return versions.publish(build).number
 
 
 def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the version that was published last."""
-    return spark.read.parquet(f"{folder}/versions/{max(_numbers(spark, folder, 'published'))}/{name}")
+    return Versions(spark, folder).read(name)

@@ -16,9 +16,16 @@ def item_stats(entries: DataFrame, by: list[str] | None = None) -> DataFrame:
     so no entry is sorted or joined back.
     """
     by = by or ["entity_id"]
-    by_rank = entries.groupBy(*by, "rank").agg(
-        F.count("*").alias("n"), F.min("chart_date").alias("first"), F.max("chart_date").alias("last")
-    )
+    return careers(ranks_of(entries, by), by)
+
+
+def ranks_of(entries: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rank, n, first, last): how often and when an item stood at each rank.  Two such states merge by sums and extremes."""
+    return entries.groupBy(*by, "rank").agg(F.count("*").alias("n"), F.min("chart_date").alias("first"), F.max("chart_date").alias("last"))
+
+
+def careers(by_rank: DataFrame, by: list[str]) -> DataFrame:
+    """The statistics of each item from its ranks."""
     return by_rank.groupBy(*by).agg(
         F.sum("n").cast("int").alias("total_weeks"),
         F.min("rank").alias("peak_position"),
@@ -71,7 +78,12 @@ def artist_chart_stats(t: Tables, scope: str = "all", charts: list[int] | None =
     by_item = linked.groupBy("artist_id", "chart_id", "entity_id").agg(
         F.count("*").alias("n"), F.min("rank").alias("best"), F.min("chart_date").alias("first"), F.max("chart_date").alias("last")
     )
-    whole = by_item.groupBy("artist_id", "chart_id").agg(
+    return chart_totals(by_item).join(at_once, ["artist_id", "chart_id"])
+
+
+def chart_totals(by_item: DataFrame) -> DataFrame:
+    """(artist_id, chart_id, …) from an artist's items (artist_id, chart_id, entity_id, n, best, first, last)."""
+    return by_item.groupBy("artist_id", "chart_id").agg(
         F.count("*").cast("int").alias("total_entries"),
         F.sum("n").cast("int").alias("total_weeks"),
         F.count_if(F.col("best") == 1).cast("int").alias("number_ones"),
@@ -79,7 +91,6 @@ def artist_chart_stats(t: Tables, scope: str = "all", charts: list[int] | None =
         F.min("first").alias("first_date"),
         F.max("last").alias("last_date"),
     )
-    return whole.join(at_once, ["artist_id", "chart_id"])
 
 
 def artist_stats(t: Tables) -> DataFrame:

@@ -14,6 +14,7 @@ from tidemark.functions.credits import parse_credits
 from tidemark.operators import analytics, charts, ingest, quality, records, search, stats
 from tidemark.operators import valid_weeks as vw
 from tidemark.operators.records import Custom
+from tidemark.operators.title_index import TitleIndex
 from tidemark.plans.oracle import board, sql, years
 from tidemark.sources import week_files
 from tidemark.sources.projection import Tables, project
@@ -258,6 +259,22 @@ for _kind, _query in (("song", "small widget"), ("album", "customer 000000012"))
         f"search_{_kind}s", lambda t, k=_kind, q=_query: search.search_items(t, k, q),
         sql(f"""SELECT f.*, peak_position, total_weeks, weeks_at_peak FROM (SELECT *, row_number() OVER (ORDER BY sim DESC, title, id) AS rank FROM (SELECT *, {_similar('title', _query)} AS sim FROM {_kind}s) WHERE sim >= 0.3 QUALIFY rank <= 50) f LEFT JOIN {_kind}_stats s ON s.entity_id = f.id"""),
     )
+
+
+def _indexed_in_two_loads(t: Tables) -> DataFrame:
+    """The search over an index that first holds other titles for some songs and lacks others, and then the songs as they are."""
+    index = TitleIndex(t.songs.sparkSession, fresh_path(t.songs.sparkSession, "title_index"))
+    index.upsert(t.songs.where("id % 3 > 0").select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("small widget "), "title")).otherwise(F.col("title")).alias("title")))
+    index.upsert(t.songs.select("id", "title"))
+    return search.search_items(t, "song", "small widget", index=index)
+
+
+_add("search_songs_indexed", _indexed_in_two_loads, _ORACLES["search_songs"])
+# Every title that is alike to a query, not only the best ones.
+_add(
+    "similar_titles", lambda t: search.title_index(t, "album").alike("customer 000000012"),
+    sql(f"SELECT id, sim FROM (SELECT id, {_similar('title', 'customer 000000012')} AS sim FROM albums) WHERE sim >= 0.3"),
+)
 _add(
     "search_artists", lambda t: search.search_artists(t, "supplier 000000007"),
     sql(f"""SELECT row_number() OVER (ORDER BY sim DESC, name, id) AS rank, name AS artist, id, total_songs, total_albums, song_number_ones, album_number_ones, sim

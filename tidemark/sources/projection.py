@@ -45,6 +45,7 @@ class Tables:
     artists: DataFrame  # id, name, gender, gender_source
     song_artists: DataFrame  # entity_id, artist_id, role
     album_artists: DataFrame
+    home: str | None = None  # the folder of what is kept of the titles of songs and albums
 
     @cached_property
     def by_kind(self) -> dict[str, tuple[DataFrame, DataFrame | None]]:
@@ -54,7 +55,7 @@ class Tables:
 
     def views(self, prefix: str = "") -> None:
         """Registers the relations as temporary views."""
-        for f in fields(self):
+        for f in fields(self)[:-1]:
             getattr(self, f.name).createOrReplaceTempView(prefix + f.name)
 
 
@@ -126,17 +127,21 @@ def history(ranked: DataFrame, weeks: DataFrame) -> DataFrame:
     )
 
 
+def stored_path(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], name: str) -> str:
+    """Where something made of a folder's tables is kept: another path for other files or another layout."""
+    marks = repr((LAYOUT, CHARTS, ENTRY_COLUMNS, sf_dir, *(file_marks(spark, f"{sf_dir}/{t}.parquet") for t in tables)))
+    return f"{shared_dir(spark)}/tidemark-{name}-{hashlib.sha256(marks.encode()).hexdigest()[:32]}"
+
+
 def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of a folder, written once to the shared folder: the fact table that a loader keeps.
 
     The table's name says which files it was made of, so later sessions find it again, and other contents get
     another table; one that has been cleaned away is written anew.
     """
-    paths = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders")]
-    marks = repr((LAYOUT, CHARTS, ENTRY_COLUMNS, sf_dir, *(file_marks(spark, p) for p in paths)))
-    path = f"{shared_dir(spark)}/tidemark-entries-{hashlib.sha256(marks.encode()).hexdigest()[:32]}"
+    path = stored_path(spark, sf_dir, ("lineitem", "orders"), "entries")
     if not exists(spark, f"{path}/_SUCCESS"):
-        lineitem, orders = map(spark.read.parquet, paths)
+        lineitem, orders = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders"))
         entries = history(ranked_units(lineitem, orders), numbered_weeks(calendar(lineitem, orders)))
         entries.write.mode("overwrite").parquet(path)
     return spark.read.schema(ENTRY_COLUMNS).parquet(path)
@@ -168,4 +173,4 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
         (F.col("p_partkey") + 1).alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("title"), F.col("p_brand").alias("artist_credit")
     )
     albums = customer.select((F.col("c_custkey") + 1).alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("artist_credit"))
-    return Tables(charts, weeks, entries, songs, albums, artists, song_artists, album_artists)
+    return Tables(charts, weeks, entries, songs, albums, artists, song_artists, album_artists, stored_path(spark, sf_dir, ("part", "customer"), "titles"))
