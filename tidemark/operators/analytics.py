@@ -9,6 +9,7 @@ from tidemark.functions.calendar import era, iso_week
 from tidemark.operators.charts import entity_charts
 from tidemark.operators.valid_weeks import valid_entries, valid_weeks
 from tidemark.sources.projection import Tables
+from tidemark.sources.shared import staged
 
 
 def entity_metrics(t: Tables, kind: str, ids: list[int] | None = None) -> DataFrame:
@@ -50,12 +51,14 @@ def this_week_in_history(t: Tables, chart_id: int, kind: str, target: str, top_n
     A year holds two dates of one ISO week when both its ends fall into it; each keeps its own date.
     """
     day = F.lit(target).cast("date")
-    weeks = t.weeks.where(F.col("chart_id") == chart_id).join(
+    # The chart's calendar is judged once; of the entries only those of the wanted weeks and ranks are read again.
+    judged = t.weeks.where(F.col("chart_id") == chart_id).join(
         F.broadcast(valid_weeks(t.entries, [chart_id]).select(F.col("week_id").alias("id"))), "id", "left_semi"
-    ).select("chart_date", F.year("chart_date").alias("year"))
+    ).select("chart_id", F.col("id").alias("week_id"), "chart_date", F.year("chart_date").alias("year"))
+    weeks = staged(judged, "weeks")  # a calendar
     years = weeks.agg(F.min("year").alias("a"), (F.year(day) - 1).alias("b")).where("a <= b")
     years = years.select(F.explode(F.sequence("a", "b")).alias("year"))
-    hits = weeks.where((iso_week(F.col("chart_date")) == iso_week(day)) & (F.col("chart_date") < day))
-    entries = valid_entries(t, [chart_id]).where(F.col("rank") <= top_n).join(F.broadcast(hits), "chart_date")
+    hits = weeks.where((iso_week(F.col("chart_date")) == iso_week(day)) & (F.col("chart_date") < day)).select("chart_id", "week_id", "year")
+    entries = t.entries.where((F.col("chart_id") == chart_id) & (F.col("rank") <= top_n)).join(F.broadcast(hits), ["chart_id", "week_id"])
     named = entries.join(t.by_kind[kind][0].withColumnRenamed("id", "entity_id"), "entity_id").select("year", "chart_date", "rank", "title", "artist_credit")
     return years.join(named, "year", "left").withColumn("charted", F.col("chart_date").isNotNull())

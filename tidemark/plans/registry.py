@@ -15,6 +15,7 @@ from tidemark.operators import analytics, charts, ingest, quality, records, sear
 from tidemark.operators import valid_weeks as vw
 from tidemark.operators.records import Custom
 from tidemark.operators.title_index import TitleIndex
+from tidemark.plans import stored
 from tidemark.plans.oracle import board, sql, years
 from tidemark.sources import week_files
 from tidemark.sources.projection import Tables, project
@@ -50,27 +51,52 @@ _add("phantom_weeks", lambda t: vw.judged_weeks(t.entries).select("chart_id", "w
 _add("first_real_week", lambda t: vw.judged_weeks(t.entries).where("first_real").select("chart_id", "week_id"), sql("SELECT * FROM real_first"))
 _add("valid_weeks", lambda t: vw.valid_weeks(t.entries), sql("SELECT * FROM valid"))
 _add("valid_weeks_multi", lambda t: vw.valid_weeks(t.entries, [1, 4]), sql("SELECT * FROM valid WHERE chart_id IN (1, 4)"))
-_add("active_charts", charts.active_charts, sql("SELECT slug, title, entity_kind, category, CASE id WHEN 3 THEN 'Artist' WHEN 4 THEN 'Rock' ELSE 'Core' END AS family, sort_order FROM charts"))
+
+_GENRES = ["country", "latin", "r-b-hip-hop", "rock", "other"]
+
+
+def _data_charts(t: Tables) -> DataFrame:
+    """Charts (slug, title, entity_kind, category, n) of the songs of each credit, named by a genre of its number, and of the albums of each."""
+    number = F.coalesce(F.try_to_number(F.regexp_extract("artist_credit", r"(\d*)$", 1), F.lit("999999")).cast("int"), F.lit(0))
+    genre = F.element_at(F.array(*map(F.lit, _GENRES)), number % 5 + 1)
+    ends = lambda end: F.concat(F.lower(F.regexp_replace("artist_credit", "[^A-Za-z0-9]+", "-")), F.lit(end))
+    rows = lambda items, kind, slug: items.select("artist_credit").distinct().select(slug.alias("slug"), F.col("artist_credit").alias("title"), F.lit(kind).alias("entity_kind"), F.lit("genre").alias("category"), number.alias("n"))
+    return rows(t.songs, "song", F.concat(genre, F.lit("-"), ends("-songs"))).unionByName(rows(t.albums, "album", ends("-albums"))).unionByName(rows(t.albums, "album", ends("")))
+
+
+_NUMBER = "coalesce(TRY_CAST(regexp_extract(artist_credit, '(\\d*)$', 1) AS INTEGER), 0)"
+_SLUG = "lower(regexp_replace(artist_credit, '[^A-Za-z0-9]+', '-', 'g'))"
+_DATA_CHARTS = f"""(SELECT DISTINCT ['country', 'latin', 'r-b-hip-hop', 'rock', 'other'][{_NUMBER} % 5 + 1] || '-' || {_SLUG} || '-songs' AS slug, artist_credit AS title, 'song' AS entity_kind, {_NUMBER} AS n, ['Country', 'Latin', 'R&B/Hip-Hop', 'Rock', 'Core'][{_NUMBER} % 5 + 1] AS family FROM songs
+UNION ALL SELECT DISTINCT {_SLUG} || '-albums', artist_credit, 'album', {_NUMBER}, 'Core' FROM albums UNION ALL SELECT DISTINCT {_SLUG}, artist_credit, 'album', {_NUMBER}, 'Core' FROM albums)"""
+
+
+def _wide_registry(t: Tables) -> Tables:
+    """The registry and a chart of each of the data's: every third one is not active."""
+    more = _data_charts(t).select(F.lit(99).alias("id"), "slug", "title", "entity_kind", "category", (F.col("n") % 3 > 0).alias("is_active"), (F.col("n") * 2).alias("sort_order"), F.lit(50).alias("depth"))
+    return replace(t, charts=t.charts.unionByName(more))
+
+
+_add(
+    "active_charts", lambda t: charts.active_charts(_wide_registry(t)),
+    sql(f"""SELECT slug, title, entity_kind, category, CASE id WHEN 3 THEN 'Artist' WHEN 4 THEN 'Rock' ELSE 'Core' END AS family, sort_order FROM charts
+UNION ALL SELECT slug, title, entity_kind, 'genre', family, n * 2 FROM {_DATA_CHARTS} WHERE n % 3 > 0"""),
+)
 _add("registry_last_loaded", charts.last_loaded, sql("SELECT c.id, slug, entity_kind, MAX(chart_date) AS last_loaded, sort_order FROM charts c LEFT JOIN chart_weeks w ON w.chart_id = c.id GROUP BY ALL"))
-_KNOWN_CHARTS = [("album-core", "album", 30, "Core Albums"), ("artist-core", "artist", 20, "Core Artists"), ("rock-songs", "song", 20, "Rock Songs")]
 
 
-def _slugs(t: Tables) -> DataFrame:
-    """The registry's slugs, and for each two others that only their end says something about."""
-    return t.charts.select(F.explode(F.array("slug", F.concat("slug", F.lit("-albums")), F.concat("slug", F.lit("-songs")))).alias("slug"))
+def _known(t: Tables) -> DataFrame:
+    """What is known of some charts: those of the albums of a credit, as half of them are."""
+    return _data_charts(t).where("entity_kind = 'album' and length(title) % 2 = 0 and slug not like '%-albums'").select("slug", F.col("entity_kind").alias("kind"), F.lit(30).alias("depth"), "title")
 
 
 _add(
-    "chart_metadata",
-    lambda t: registry.chart_metadata(_slugs(t), t.charts.sparkSession.createDataFrame(_KNOWN_CHARTS, "slug string, kind string, depth int, title string")),
-    sql("""SELECT slug, CASE slug WHEN 'album-core' THEN 'album' WHEN 'artist-core' THEN 'artist' ELSE CASE WHEN slug LIKE '%-albums' THEN 'album' ELSE 'song' END END AS kind,
-CASE slug WHEN 'album-core' THEN 30 WHEN 'artist-core' THEN 20 WHEN 'rock-songs' THEN 20 ELSE CASE WHEN slug LIKE '%-songs' OR slug LIKE '%-albums' THEN 50 ELSE 100 END END AS depth,
-CASE slug WHEN 'album-core' THEN 'Core Albums' WHEN 'artist-core' THEN 'Core Artists' WHEN 'rock-songs' THEN 'Rock Songs' ELSE 'this chart' END AS title
-FROM (SELECT unnest([slug, slug || '-albums', slug || '-songs']) AS slug FROM charts)"""),
+    "chart_metadata", lambda t: registry.chart_metadata(_data_charts(t), _known(t)),
+    sql(f"""SELECT slug, CASE WHEN known OR slug LIKE '%-albums' THEN 'album' ELSE 'song' END AS kind, CASE WHEN known THEN 30 WHEN slug LIKE '%-songs' OR slug LIKE '%-albums' THEN 50 ELSE 100 END AS depth,
+CASE WHEN known THEN title ELSE 'this chart' END AS title FROM (SELECT *, entity_kind = 'album' AND length(title) % 2 = 0 AND slug NOT LIKE '%-albums' AS known FROM {_DATA_CHARTS})"""),
 )
 _add(
-    "chart_families", lambda t: t.charts.select("slug", registry.family_position(registry.family(F.col("slug"), F.col("category"))).cast("int").alias("place")),
-    sql("SELECT slug, CASE id WHEN 3 THEN 2 WHEN 4 THEN 6 ELSE 1 END AS place FROM charts"),
+    "chart_families", lambda t: _data_charts(t).select("slug", registry.family_position(registry.family(F.col("slug"), F.col("category"))).cast("int").alias("place")),
+    sql(f"SELECT slug, CASE family WHEN 'Core' THEN 1 WHEN 'Country' THEN 3 WHEN 'Latin' THEN 4 WHEN 'R&B/Hip-Hop' THEN 5 WHEN 'Rock' THEN 6 END AS place FROM {_DATA_CHARTS}"),
 )
 
 # -- statistics ---------------------------------------------------------------------------------
@@ -337,7 +363,15 @@ WINDOW w AS (PARTITION BY name ORDER BY score DESC, candidate_id DESC)) WHERE n
 
 # -- calendar, credits, files, loading ----------------------------------------------------------
 
-_add("saturday_calendar", lambda t: saturdays(t.charts.sparkSession, "1999-11-01", "2000-03-01"), "SELECT CAST(d AS DATE) AS chart_date FROM (SELECT unnest(generate_series(DATE '1999-11-06', DATE '2000-02-26', INTERVAL 7 DAY)) AS d)")
+
+
+def _between_orders(t: Tables) -> DataFrame:
+    """The Saturdays from the first album week to the last one, the ends a day inside."""
+    a, b = t.weeks.where("chart_id = 2").agg(F.date_add(F.min("chart_date"), 1).cast("string"), F.date_sub(F.max("chart_date"), 1).cast("string")).first()
+    return saturdays(t.charts.sparkSession, a, b)
+
+
+_add("saturday_calendar", _between_orders, sql("SELECT CAST(unnest(generate_series(MIN(chart_date) + INTERVAL 7 DAY, MAX(chart_date) - INTERVAL 7 DAY, INTERVAL 7 DAY)) AS DATE) AS chart_date FROM chart_weeks WHERE chart_id = 2"))
 _add(
     "week_calendar", lambda t: t.weeks.select("id", iso_week(F.col("chart_date")).alias("week"), saturday_on_or_before(F.date_sub("chart_date", 3)).alias("before")),
     sql("SELECT id, week(chart_date) AS week, CAST(chart_date - 7 AS DATE) AS before FROM chart_weeks"),
@@ -417,21 +451,51 @@ UNION ALL SELECT 'deleted', NULL, lower(name) FROM artists WHERE id % 25 = 3""")
 )
 
 
+def _named_entries(t: Tables) -> DataFrame:
+    """The entries of all charts with what a file says of their items."""
+    kinds = F.broadcast(t.charts.select(F.col("id").alias("chart_id"), "entity_kind"))  # the registry
+    items = None
+    for kind, (rows, _) in t.by_kind.items():
+        part = rows.select(F.lit(kind).alias("entity_kind"), F.col("id").alias("entity_id"), "title", "artist_credit")
+        items = part if items is None else items.unionByName(part)
+    return t.entries.join(kinds, "chart_id").join(items, ["entity_kind", "entity_id"])
+
+
+_NAMED_ENTRIES = "(SELECT e.*, title, artist_credit FROM chart_entries e JOIN (SELECT 1 AS c, * FROM songs UNION ALL SELECT 4, * FROM songs UNION ALL SELECT 2, * FROM albums UNION ALL SELECT 3, * FROM people) i(c, item, title, artist_credit) ON i.c = e.chart_id AND i.item = e.entity_id)"
+
+
 def _files(t: Tables) -> DataFrame:
-    """The genre chart as week files: a text for each week, of at most the chart's depth."""
-    rows = t.entries.where("chart_id = 4").join(t.songs.withColumnRenamed("id", "entity_id"), "entity_id")
+    """All charts as week files: a text for each week, of at most the chart's depth."""
     entry = F.struct("rank", "title", F.col("artist_credit").alias("artist"), F.col("peak_pos").alias("peakPos"), F.col("last_pos").alias("lastPos"), F.col("weeks_on_chart").alias("weeks"), F.col("is_new").alias("isNew"), F.lit(" data:x").alias("image"))
-    return rows.groupBy("chart_date").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("text"))
+    return _named_entries(t).groupBy("chart_id", "chart_date").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("text"))
 
 
 _add(
     "parse_chart_json", lambda t: week_files.parse(_files(t)),
-    sql("SELECT chart_date, rank - 1 AS position, rank, title, artist_credit AS artist, peak_pos, last_pos, weeks_on_chart AS weeks, is_new, CAST(NULL AS VARCHAR) AS image FROM chart_entries JOIN songs ON id = entity_id WHERE chart_id = 4"),
+    sql(f"SELECT chart_id, chart_date, rank - 1 AS position, rank, title, artist_credit AS artist, peak_pos, last_pos, weeks_on_chart AS weeks, is_new, CAST(NULL AS VARCHAR) AS image FROM {_NAMED_ENTRIES}"),
 )
+
+
+def _odd_files(t: Tables) -> DataFrame:
+    """Those of all charts in one folder, the chart before the date's file: some months' files have odd names or texts."""
+    month = F.month("chart_date")
+    name = F.concat(F.col("chart_date").cast("string"), F.when(month == 2, "x").otherwise(""), F.lit(".json"))
+    text = F.when(month == 3, F.lit("[{")).when(month == 4, F.lit("[]")).otherwise(F.col("text"))
+    return _files(t).select("chart_id", name.alias("file_name"), F.length("text").alias("bytes"), text.alias("text"))
+
+
+def _audit(t: Tables) -> DataFrame:
+    charts_of = [r["id"] for r in t.charts.select("id").collect()]  # the registry
+    audits = [week_files.audit(_odd_files(t).where(F.col("chart_id") == i).drop("chart_id"), "2001-01-06").select(F.lit(i).alias("chart_id"), "chart_date", "verdict") for i in charts_of]
+    out = audits[0]
+    for more in audits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 _add(
-    "integrity_audit",
-    lambda t: week_files.audit(_files(t).select(F.concat(F.col("chart_date").cast("string"), F.when(F.month("chart_date") == 2, "x").otherwise(""), F.lit(".json")).alias("file_name"), F.length("text").alias("bytes"), F.when(F.month("chart_date") == 3, F.lit("[{")).when(F.month("chart_date") == 4, F.lit("[]")).otherwise(F.col("text")).alias("text")), "2001-01-06").select("chart_date", "verdict"),
-    sql("SELECT CASE WHEN month(chart_date) <> 2 THEN chart_date END AS chart_date, CASE WHEN month(chart_date) = 2 THEN 'bad name' WHEN chart_date > DATE '2001-01-06' THEN 'future' WHEN month(chart_date) = 3 THEN 'invalid json' WHEN month(chart_date) = 4 THEN 'invalid payload' ELSE 'ok' END AS verdict FROM chart_weeks WHERE chart_id = 4"),
+    "integrity_audit", _audit,
+    sql("SELECT chart_id, CASE WHEN month(chart_date) <> 2 THEN chart_date END AS chart_date, CASE WHEN month(chart_date) = 2 THEN 'bad name' WHEN chart_date > DATE '2001-01-06' THEN 'future' WHEN month(chart_date) = 3 THEN 'invalid json' WHEN month(chart_date) = 4 THEN 'invalid payload' ELSE 'ok' END AS verdict FROM chart_weeks"),
 )
 _add(
     "upsert_chart_weeks", lambda t: ingest.upsert_weeks(t.weeks.where("chart_date < '1999-01-01'"), t.weeks),
@@ -486,15 +550,16 @@ _add(
     "artist_links_first_role", lambda t: ingest.artist_links(_double_credits(t), t.artists),
     sql("SELECT id AS entity_id, id AS artist_id, 'primary' AS role FROM artists WHERE id < (SELECT MAX(id) FROM artists) UNION ALL SELECT id, id + 1, 'featured' FROM artists WHERE id < (SELECT MAX(id) FROM artists)"),
 )
-_CURATED = [("rock-songs", "Other title", "song", "genre"), ("latin-songs", "Latin Songs", "song", "genre"), ("artist-top", "Top Artists", "artist", "artist"), ("latin-songs", "Latin Songs", "song", "genre")]
 _add(
     "register_charts", lambda t: ingest.register_charts(ingest.register_charts(t.charts, _curated(t)), _curated(t)),
-    sql("SELECT * FROM charts UNION ALL SELECT * FROM (VALUES (5, 'artist-top', 'Top Artists', 'artist', 'artist', true, 40, NULL), (6, 'latin-songs', 'Latin Songs', 'song', 'genre', true, 40, NULL))"),
+    sql(f"""SELECT * FROM charts UNION ALL SELECT 4 + row_number() OVER (ORDER BY slug), slug, title, entity_kind, 'genre', true, 40, NULL FROM {_DATA_CHARTS}"""),
 )
 
 
 def _curated(t: Tables) -> DataFrame:
-    return t.charts.sparkSession.createDataFrame(_CURATED, "slug string, title string, entity_kind string, category string")
+    """The charts of the data, once more with other titles for those that the registry has."""
+    known = t.charts.select("slug", F.lit("Other title").alias("title"), "entity_kind", "category")
+    return _data_charts(t).drop("n").unionByName(known)
 
 
 def _fallback(t: Tables) -> DataFrame:
@@ -572,15 +637,15 @@ _add(
 
 
 def _round_trip(t: Tables) -> DataFrame:
-    """All charts' songs written as week files and parsed again."""
-    rows = t.entries.where("chart_id = 4").join(t.songs.withColumnRenamed("id", "entity_id"), "entity_id")
+    """All charts written as week files and parsed again."""
     folder = fresh_path(t.charts.sparkSession, "week_files")
-    week_files.write_week_files(rows.select("chart_date", "rank", "title", F.col("artist_credit").alias("artist"), F.col("weeks_on_chart").alias("weeks")), folder)
-    found = week_files.parse(week_files.with_dates(week_files.read_week_folders(t.charts.sparkSession, folder)))
-    return found.select("chart_date", "position", "rank", "title", "artist", "weeks")
+    rows = _named_entries(t).select("chart_id", "chart_date", "rank", "title", F.col("artist_credit").alias("artist"), F.col("weeks_on_chart").alias("weeks"))
+    week_files.write_week_files(rows, folder, ("chart_id",))
+    found = week_files.parse(week_files.with_dates(week_files.read_week_folders(t.charts.sparkSession, folder, "chart_id int")))
+    return found.select("chart_id", "chart_date", "position", "rank", "title", "artist", "weeks")
 
 
-_add("week_file_round_trip", _round_trip, sql("SELECT chart_date, rank - 1 AS position, rank, title, artist_credit AS artist, weeks_on_chart AS weeks FROM chart_entries JOIN songs ON id = entity_id WHERE chart_id = 4"))
+_add("week_file_round_trip", _round_trip, sql(f"SELECT chart_id, chart_date, rank - 1 AS position, rank, title, artist_credit AS artist, weeks_on_chart AS weeks FROM {_NAMED_ENTRIES}"))
 
 
 def _sidecar(t: Tables) -> DataFrame:
@@ -596,3 +661,10 @@ _add("verified_charts", _sidecar, sql("SELECT slug, MIN(chart_date) AS first_dat
 
 _QUERIES["weekly_activity"] = lambda spark, sf_dir: weekly_activity(spark.read.parquet(f"{sf_dir}/events.parquet"))
 _ORACLES["weekly_activity"] = "SELECT CAST(CAST(ts AS DATE) + CAST(6 - dayofweek(CAST(ts AS DATE)) AS INTEGER) AS DATE) AS week, event_type, COUNT(*) AS n, SUM(CAST(value AS DECIMAL(18, 2))) AS total FROM events GROUP BY 1, 2"
+
+# -- stores, bulk requests and streams ----------------------------------------------------------
+
+for _name, _over in stored.QUERIES.items():
+    _add(_name, _over, stored.ORACLES[_name])
+_QUERIES["order_chart_weeks"] = lambda spark, sf_dir: stored._order_weeks(project(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet"))
+_ORACLES["order_chart_weeks"] = stored._ORDER_WEEKS

@@ -130,12 +130,10 @@ class Versions:
         return self.spark.read.schema(version.schemas[name]).parquet(*wanted)
 
     def written(self, base: Version, name: str, rows: DataFrame, part: Column, replaces: Iterable[str] | None = None) -> Version:
-        """``base`` with ``rows`` written in one job, by part: in place of the whole table or, with ``replaces``, of those parts alone.
-
-        Each task writes what it has of a part into a file of its own, so a large part is no single task's.
-        """
+        """``base`` with ``rows`` written in one job, by part: in place of the whole table or, with ``replaces``, of those parts alone."""
         folder = f"{self.folder}/files/{uuid.uuid4().hex}/{name}"
-        marked = rows.withColumn(_PART, part.cast("string"))
+        # Each part is dealt to few tasks, a large one split and small ones put together by what they measure.
+        marked = rows.withColumn(_PART, part.cast("string")).hint("rebalance", F.col(_PART))
         marked.write.partitionBy(_PART).parquet(folder)
         fs, path = file_system(self.spark, folder)
         found = [f.getPath().getName() for f in fs.globStatus(path(f"{folder}/{_PART}=*")) or []]

@@ -33,20 +33,33 @@ def verified_charts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("slug", F.try_to_date("first_date").alias("first_date")).where("slug is not null")
 
 
-def write_week_files(entries: DataFrame, folder: str) -> None:
-    """Writes entries (chart_date and the fields of a file) as one JSON array for each week, into a folder for each date.
+def write_week_files(entries: DataFrame, folder: str, by: tuple[str, ...] = ()) -> None:
+    """Writes entries (by, chart_date and the fields of a file) as one JSON array for each week, into a folder for each date (of each ``by``).
 
     A week has at most a chart's depth of entries; weeks are dealt out by their date.
     """
-    fields = F.struct(*[F.col(c) for c in entries.columns if c != "chart_date"])
-    weeks = entries.groupBy("chart_date").agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("text"))
-    weeks.repartition("chart_date").write.partitionBy("chart_date").option("lineSep", "\n").text(folder)
+    keys = [*by, "chart_date"]
+    fields = F.struct(*[F.col(c) for c in entries.columns if c not in keys])
+    weeks = entries.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("text"))
+    weeks.repartition(*keys).write.partitionBy(*keys).option("lineSep", "\n").text(folder)
 
 
-def read_week_folders(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, bytes, text) of what ``write_week_files`` has written: a file name for each date."""
-    files = spark.read.schema("text string, chart_date date").text(folder)
-    return files.select(F.concat(F.col("chart_date").cast("string"), F.lit(".json")).alias("file_name"), F.octet_length("text").cast("long").alias("bytes"), "text")
+def read_week_folders(spark: SparkSession, folder: str, by: str = "") -> DataFrame:
+    """(by, file_name, bytes, text) of what ``write_week_files`` has written: a file name for each date.  ``by`` names its columns and types."""
+    files = spark.read.schema(f"text string, {by + ', ' if by else ''}chart_date date").text(folder)
+    return files.select(*[c.split()[0] for c in by.split(", ") if c], _file_name(), F.octet_length("text").cast("long").alias("bytes"), "text")
+
+
+def list_week_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(by, chart_date, path, bytes) of the same files; none is opened."""
+    files = spark.read.format("binaryFile").load(folder)
+    by = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content", "chart_date")]
+    found = files.where("length > 0").select(*by, F.col("chart_date").cast("date").alias("chart_date"), "path", (F.col("length") - 1).alias("bytes"))  # but the line's end
+    return with_dates(found.withColumn("file_name", _file_name())).drop("file_name")
+
+
+def _file_name() -> Column:
+    return F.concat(F.col("chart_date").cast("string"), F.lit(".json")).alias("file_name")
 
 
 def with_dates(files: DataFrame) -> DataFrame:
