@@ -68,6 +68,32 @@ def test_any_order_and_blocks(make_docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()} == brute(rows)
 
 
+def test_large_buckets_meet_in_blocks(make_docs, monkeypatch):
+    """Texts that share most of a line but are mostly no copies: a bucket of many blocks, and the same links."""
+    rng = random.Random(5)
+    line = [f"w{i}" for i in range(19)]
+    texts = [line + [f"x{rng.randrange(12)}" for _ in range(5)] for _ in range(150)] + [line + [f"x{i % 7}", "y", "y", "y", "y"] for i in range(60)]
+    rows = planted()[:60] + [(1000 + i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(near_copies, "COMMON_TEXTS", 10**9)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 20)
+    marked = near_copies.marked_texts(make_docs(rows))
+    assert near_copies.large_buckets(near_copies.buckets(marked)).count() > 0
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()} == brute(rows)
+
+
+def test_pieces_of_a_large_bucket():
+    """Every row comes once, in order, and no piece of a large key holds another key."""
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(1).choice([1, 2, 2, 2, 2, 3, 4, 4, 9], 500))
+    batches = [pa.record_batch([pa.array(keys[i : i + 7]), pa.array(np.arange(i, min(i + 7, 500)))], names=["key", "at"]) for i in range(0, 500, 7)]
+    pieces = list(near_copies._partly(iter(batches), 40))
+    assert np.concatenate([c[1] for c, _ in pieces]).tolist() == list(range(500))
+    assert any(cut for _, cut in pieces) and all(len(set(c[0])) == 1 and len(c[0]) <= 48 for c, cut in pieces if cut)
+    whole = [k for c, cut in pieces if not cut for k in set(c[0].tolist())]
+    assert len(whole) == len(set(whole)) and not set(whole) & {int(c[0][0]) for c, cut in pieces if cut}
+
+
 def test_pipeline_stage(spark):
     """The stage that had the links of op4 only."""
     import corpus_pipeline

@@ -8,7 +8,9 @@ to n rounds, so pieces above ``LONGEST_ROW`` bytes (runs without a break) go thr
 same order of merges.
 
 Spark partitions the texts; a task holds one block of texts and a bounded memo of encoded pieces.
-Defined results: a null text is an empty one: no ids, empty bytes; repeated rows give repeated results.
+Defined results: a null text is an empty one: no ids, empty bytes; repeated rows give repeated results; texts of any length are
+encoded whole, piece by piece; of pairs of one rank the leftmost merges first; columns besides those named are not looked at,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

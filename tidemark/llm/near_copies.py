@@ -10,13 +10,17 @@
 3. The texts that share such a shingle form a bucket.  First each meets one representative of the bucket
    and its range of sizes, in ``ROUNDS`` overlapping deals, so a large group of copies gives rows in
    proportion to its size.  Then all pairs of a bucket that the verified links have not yet connected meet.
+   A bucket of more than ``BLOCK_ROWS`` is cut into salted blocks, and each pair of its blocks meets by itself.
    A pair is proposed only if its sizes and its sketches (the parity of the number of shingles in each of
    ``SKETCH_BITS`` classes: sets differ in at least as many shingles as sketches in bits) allow the similarity.
 4. Every candidate is verified by the exact similarity of the two sets.  The sets of a text with many
    candidates are dealt out in salted blocks.
 5. Connected components of the verified pairs, as in ``simhash``.
 
-Defined results are those of ``simhash``; texts without words are equal.
+Defined results: texts without words (null, empty, blank) are equal; long texts count with all their words; repeated rows and
+texts with equal sets of shingles are one node and so in one component; of a component the smallest doc_id stays, a row without
+an id only if no other has one, and of equal ids the smallest text key; columns besides doc_id and text are not looked at,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 HOT_PAIRS = 256
 #: Candidate pairs of a task that are held before repeated ones are dropped.
 HELD_PAIRS = 1 << 20
+#: Rows of a bucket that one task compares; the rows of a larger one are dealt out in blocks, each pair of which is a task's.
+BLOCK_ROWS = 8192
 
 _U = np.uint64
 _SKETCHED = ", ".join(f"{c} long" for c in SKETCH)
@@ -166,6 +172,33 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
         yield held
 
 
+def _partly(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The same, but the rows of a key beyond ``most`` come piece by piece, with True: no task holds a large bucket."""
+    held, cut = None, None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = [np.concatenate(p) for p in zip(held, new, strict=True)] if held else new
+        if cut is not None:
+            more = int(np.searchsorted(held[0], cut, "right"))
+            if more:
+                yield [c[:more] for c in held], True
+                held = [c[more:] for c in held]
+            if len(held[0]):
+                cut = None
+        if not len(held[0]):
+            continue
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield [c[:last] for c in held], False
+            held = [c[last:] for c in held]
+        if len(held[0]) > most:
+            cut = held[0][-1]
+            yield held, True
+            held = [c[:0] for c in held]
+    if held and len(held[0]):
+        yield held, False
+
+
 def _by_size(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows, sorted by key, in the order of key and size, and for each where the sets of its key get too large for it."""
     order = np.lexsort((node, size, key))
@@ -186,13 +219,14 @@ def _have_partners(key: np.ndarray, node: np.ndarray, size: np.ndarray, leads: n
 
 def buckets(marked: DataFrame) -> DataFrame:
     """(key, node, size, leads, sketch columns) of the nodes that share a shingle of their prefixes with one of a similar size."""
+    most = BLOCK_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_buckets(batches):
+        for columns, cut in _partly(batches, most):
             key, node = columns[:2]
             first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
             columns = [c[first] for c in columns]
-            found = _have_partners(*columns)
+            found = np.ones(len(columns[0]), bool) if cut else _have_partners(*columns)
             yield pa.record_batch([pa.array(c[found]) for c in columns], names=["key", "node", "size", "leads"])
 
     rows = marked.select("node", "size", "reach", F.posexplode("prefix").alias("at", "key"))
@@ -231,6 +265,40 @@ def _pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
         yield settle()
 
 
+def large_buckets(shared: DataFrame) -> DataFrame:
+    """(key, blocks) of the buckets of more than ``BLOCK_ROWS`` rows, staged."""
+    counts = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    return staged(counts.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "large_buckets")
+
+
+def _block(blocks: str = "blocks"):
+    return F.pmod(F.xxhash64("node", F.lit(17)), F.col(blocks)).cast("int")
+
+
+def in_blocks(shared: DataFrame, large: DataFrame) -> DataFrame:
+    """``shared`` with a key of its own for each block of a large bucket."""
+    if large.isEmpty():
+        return shared
+    named = shared.join(broadcast_if_small(large), "key", "left")
+    return named.withColumn("key", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", _block()))).drop("blocks")
+
+
+def in_pairs_of_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` with a key of its own for each two blocks of a large bucket, and the ``side`` on which a row's block stands.
+
+    Rows of a small bucket, and those that meet their own block, have no side (0): they meet each other.
+    """
+    rows = rows.withColumn("side", F.lit(0))
+    if large.isEmpty():
+        return rows
+    named = rows.join(broadcast_if_small(large), "key", "left").withColumn("own", _block())
+    small = named.where("blocks is null").drop("blocks", "own")
+    met = named.where("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0)
+    return small.unionByName(met.withColumns({"key": pair, "side": side}).drop("blocks", "own", "other"))
+
+
 def represented(shared: DataFrame) -> DataFrame:
     """(a, b): each row of a bucket with the representative of its range of sizes, in ``ROUNDS`` overlapping deals."""
 
@@ -292,17 +360,19 @@ def _meetings(key: np.ndarray, node: np.ndarray, size: np.ndarray, leads: np.nda
         yield order[a], order[rest[b]]
 
 
-def unconnected(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def unconnected(shared: DataFrame, roots: DataFrame, large: DataFrame) -> DataFrame:
     """(a, b): all pairs of a bucket that ``roots`` (node, root) does not connect."""
 
     def propose(batches):
-        for key, node, size, leads, root, *sketch in _whole_buckets(batches):
+        for key, node, size, leads, side, root, *sketch in _whole_buckets(batches):
             sketch = [part.view(_U) for part in sketch]
             for a, b in _meetings(key, node, size, leads, root):
+                across = (side[a] != side[b]) | (side[a] == 0)  # rows of one side meet in their own block's task
+                a, b = a[across], b[across]
                 good = _may_be_similar(node, size, leads, sketch, a, b)
                 yield node[a[good]], node[b[good]]
 
-    named = shared.join(roots, "node", "left").select("key", "node", "size", "leads", F.coalesce("root", "node").alias("root"), *SKETCH)
+    named = in_pairs_of_blocks(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), large).select("key", "node", "size", "leads", "side", "root", *SKETCH)
     dealt = named.repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(lambda batches: _pairs(propose(batches)), "a long, b long").distinct()
 
@@ -350,16 +420,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_key, root, component_id (the smallest doc_id that near copies reach)."""
     marked = staged(marked_texts(docs), "marked")
     shared = staged(buckets(marked), "buckets")
+    large = large_buckets(shared)
 
     by_fp = marked.groupBy("fp").agg(F.min("node").alias("centre"))
     nodes = staged(by_fp, "nodes")
     tied = marked.select("fp", "node").join(nodes, "fp").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     near = links(nodes).join(nodes.select(F.col("fp").alias("a"), F.col("centre").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("centre").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pivots = tied.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = staged(represented(shared).unionByName(pivots).distinct(), "first_pairs")
+    first = staged(represented(in_blocks(shared, large)).unionByName(pivots).distinct(), "first_pairs")
 
     roots = connected(verified(first, marked, docs))
-    rest = staged(unconnected(shared, roots), "rest_pairs")
+    rest = staged(unconnected(shared, roots, large), "rest_pairs")
     if not rest.isEmpty():
         roots = connected(roots.toDF("a", "b").unionByName(verified(rest, marked, docs)))
 

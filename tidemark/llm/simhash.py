@@ -17,7 +17,8 @@
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and link like
 any other; a null ``doc_id`` never names a component unless all its members have none; repeated rows
-fall into the same component; an empty table gives no rows.
+fall into the same component; long texts count with all their words; a bit that exactly half the hashes have set is zero;
+columns besides doc_id and text are not looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
