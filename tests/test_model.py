@@ -115,3 +115,21 @@ def test_reconciliation(spark, tables):
     assert changes == {(1, "earth, wind & fire", "add"), (1, "earth", "remove"), (1, "wind", "remove"), (1, "fire", "remove"), (2, "new", "add")}
     gone = {r["name"]: r["deletable"] for r in quality.orphans(artists, [(items, links)]).collect()}
     assert gone["Earth"] and gone["Wind"] and gone["Fire"] and "Solo" not in gone
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    from tidemark.sources.shared import exists, scratch, staged
+
+    folder = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    with scratch(spark):
+        outer = staged(spark.range(3), "outer")
+        with scratch(spark):
+            inner, kept = staged(spark.range(4), "inner"), staged(spark.range(5), "kept", keep=True)
+            paths = [folder(df) for df in (outer, inner, kept)]
+        assert [exists(spark, p) for p in paths] == [True, False, True] and kept.count() == 5
+        last = staged(spark.range(6), "last", keep=True)
+    assert [exists(spark, p) for p in paths] == [False] * 3 and last.count() == 6
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        paths = [folder(staged(spark.range(2), "lost"))]
+        _ = 1 / 0
+    assert not exists(spark, paths[0]) and exists(spark, folder(staged(spark.range(2), "free")))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +30,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are removed at its end, but those staged with ``keep``, which belong to what is around it.
+
+    Only for work that is done by its end: nothing that is read later may be left to a table of its own.
+    """
+    scopes = _SCRATCH.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            fs, make = file_system(spark, path)
+            fs.delete(make(path).getParent(), True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs a re-read, not a re-run) and gives the optimizer file
     statistics, so that it can choose a broadcast by measured size.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    scopes = _SCRATCH.__dict__.get("scopes", [])[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
