@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import fresh_path, staged
+from tidemark.sources.shared import fresh_path, scratch, staged
 
-__all__ = ["fresh_path", "staged"]  # the other modules here take them from this one
+__all__ = ["fresh_path", "scratch", "staged"]  # the other modules here take them from this one
 
 #: A side of a join is broadcast only when its counted rows times their width stay below this.
 BROADCAST_BYTES = 16 << 20

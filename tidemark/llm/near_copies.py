@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, join_groups, keep_one_of_each, staged, text_key
+from tidemark.llm.common import broadcast_if_small, join_groups, keep_one_of_each, scratch, staged, text_key
 from tidemark.llm.simhash import _bits, _majority, _mixed, components, connected, links, references, text_hashes
 
 WORDS = 5
@@ -404,7 +404,11 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
     one_text = marked.join(broadcast_if_small(blocks.select("node")), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("_key"))
     keys = broadcast_if_small(staged(one_text.select("_key").distinct(), "texts"))
     texts = docs.select(text_key().alias("_key"), F.col("text").cast("binary").alias("text")).join(keys, "_key", "left_semi").select("text")
-    held = staged(texts.mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]), "sets")
+    held = texts.mapInArrow(sets, "node long, held binary")
+    # Sets are large: they are told apart by a shuffle of their own only if some text stands in several rows.
+    if marked.select(F.col("text_key").alias("_key")).join(keys, "_key", "left_semi").count() > blocks.count():
+        held = held.dropDuplicates(["node"])
+    held = staged(held, "sets")
     held = held.join(broadcast_if_small(blocks), "node").select("node", "held", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     hot = broadcast_if_small(staged(blocks.where("blocks > 1"), "hot"))
@@ -417,26 +421,39 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_key, root, component_id (the smallest doc_id that near copies reach)."""
-    marked = staged(marked_texts(docs), "marked")
-    shared = staged(buckets(marked), "buckets")
-    large = large_buckets(shared)
-
-    by_fp = marked.groupBy("fp").agg(F.min("node").alias("centre"))
-    nodes = staged(by_fp, "nodes")
-    tied = marked.select("fp", "node").join(nodes, "fp").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    near = links(nodes).join(nodes.select(F.col("fp").alias("a"), F.col("centre").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("centre").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    pivots = tied.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = staged(represented(in_blocks(shared, large)).unionByName(pivots).distinct(), "first_pairs")
-
-    roots = connected(verified(first, marked, docs))
-    rest = staged(unconnected(shared, roots, large), "rest_pairs")
-    if not rest.isEmpty():
-        roots = connected(roots.toDF("a", "b").unionByName(verified(rest, marked, docs)))
-
-    of_node = staged(marked.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "of_node")
-    by_node = staged(components(of_node, roots, "node"), "components")
-    return join_groups(marked, by_node, "node").select("doc_id", "text_key", "root", "component_id")
+    """One row per document: doc_id, text_key, root, component_id (the smallest doc_id that near copies reach).
+
+    The result is stored; all tables on the way to it are removed as soon as nothing needs them.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        marked = staged(marked_texts(docs), "marked")
+        shared = staged(buckets(marked), "buckets")
+        large = large_buckets(shared)
+
+        with scratch(spark):
+            by_fp = marked.groupBy("fp").agg(F.min("node").alias("centre"))
+            nodes = staged(by_fp, "nodes")
+            tied = marked.select("fp", "node").join(nodes, "fp").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+            near = links(nodes).join(nodes.select(F.col("fp").alias("a"), F.col("centre").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("centre").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+            pivots = tied.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            first = staged(represented(in_blocks(shared, large)).unionByName(pivots).distinct(), "first_pairs", keep=True)
+        roots = _connected_by(first, marked, docs)
+        rest = staged(unconnected(shared, roots, large), "rest_pairs")
+        if not rest.isEmpty():
+            roots = _connected_by(rest, marked, docs, roots)
+
+        of_node = staged(marked.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "of_node")
+        by_node = staged(components(of_node, roots, "node"), "components")
+        found = join_groups(marked.select("doc_id", "text_key", "node"), by_node, "node")
+        return staged(found.select("doc_id", "text_key", "root", "component_id"), "near_copies", keep=True)
+
+
+def _connected_by(pairs: DataFrame, marked: DataFrame, docs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(node, root) of what the verified pairs connect, together with ``roots``; the sets that verify them are not kept."""
+    with scratch(docs.sparkSession):
+        good = verified(pairs, marked, docs)
+        return staged(connected(good if roots is None else roots.toDF("a", "b").unionByName(good)), "roots", keep=True)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
