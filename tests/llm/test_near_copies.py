@@ -81,6 +81,36 @@ def test_large_buckets_meet_in_blocks(make_docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()} == brute(rows)
 
 
+def test_class_counts_bound_the_difference():
+    """Never above the shingles of one set alone, whatever the sizes and however full a class; close to it for long unlike sets."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 4, 5, 40, 700, 9000):
+        for m in (1, n, n + n // 5):
+            for shared in (0, min(n, m) // 2, min(n, m)):
+                every = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+                for hashes in (every, np.arange(len(every), dtype=np.uint64) << np.uint64(40)):
+                    a, b = np.sort(hashes[:n]), np.sort(hashes[n - shared :])
+                    x, y = near_copies.class_counts(a), near_copies.class_counts(b)
+                    assert len(x) & (len(x) - 1) == 0 and near_copies.least_apart(x, y) <= n + m - 2 * shared
+    a, b = (np.sort(rng.integers(0, 2**64, 9000, dtype=np.uint64)) for _ in range(2))
+    assert near_copies.least_apart(near_copies.class_counts(a), near_copies.class_counts(b)) > 4000
+
+
+def test_unlike_long_texts_are_not_verified(spark, make_docs):
+    """Of all pairs only those that may be similar reach the sets: every similar one, and none of the unlike long ones."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [base, edited(rng, base, 20), edited(rng, base, 60)] + [base[:100] + [f"w{rng.randrange(10**6)}" for _ in range(2900)] for _ in range(5)]
+    marked = near_copies.staged(near_copies.marked_texts(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])), "marked")
+    node = {r["doc_id"]: r["node"] for r in marked.collect()}
+    every = [(min(node[i], node[j]), max(node[i], node[j])) for i in node for j in node if i < j]
+    pairs = near_copies.staged(spark.createDataFrame(every, "a long, b long"), "pairs")
+    got = {tuple(r) for r in near_copies.plausible(pairs, marked).collect()}
+    near = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(3) for j in range(i)}
+    similar = {tuple(r) for r in near_copies.verified(pairs, marked, make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert similar <= got <= near and (min(node[0], node[1]), max(node[0], node[1])) in similar
+
+
 def test_pieces_of_a_large_bucket():
     """Every row comes once, in order, and no piece of a large key holds another key."""
     import pyarrow as pa

@@ -13,8 +13,10 @@
    A bucket of more than ``BLOCK_ROWS`` is cut into salted blocks, and each pair of its blocks meets by itself.
    A pair is proposed only if its sizes and its sketches (the parity of the number of shingles in each of
    ``SKETCH_BITS`` classes: sets differ in at least as many shingles as sketches in bits) allow the similarity.
-4. Every candidate is verified by the exact similarity of the two sets.  The sets of a text with many
-   candidates are dealt out in salted blocks.
+4. Every candidate is verified by the exact similarity of the two sets.  Before sets travel, pairs go whose numbers of
+   shingles in each of some classes rule the similarity out (sets differ in at least as many shingles as these numbers
+   do together); classes grow with the set, so this tells long texts apart as well, for which sketches are too short.
+   The sets of a text with many candidates are dealt out in salted blocks.
 5. Connected components of the verified pairs, as in ``simhash``.
 
 Defined results: texts without words (null, empty, blank) are equal; long texts count with all their words; repeated rows and
@@ -45,6 +47,8 @@ ROUNDS = 3
 #: Bits of a sketch, held in 64-bit columns.
 SKETCH_BITS = 512
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+#: Shingles of a class of the counts that are compared before sets are.
+PER_CLASS = 4
 #: Candidates of one text that are verified in one block.
 HOT_PAIRS = 256
 #: Candidate pairs of a task that are held before repeated ones are dropped.
@@ -86,6 +90,20 @@ def sketch_of(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def class_counts(shingles: np.ndarray) -> np.ndarray:
+    """The number of shingles, 255 at most, in each class of equal low bits: a power of two of classes."""
+    classes = 1 << max(0, (len(shingles) - 1) // PER_CLASS).bit_length()
+    counts = np.bincount((shingles & _U(classes - 1)).astype(np.int64), minlength=classes)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """So many shingles at least stand in one of two sets alone, by their class counts."""
+    classes = min(len(x), len(y))  # the more classes of the larger set are folded
+    x, y = (c.reshape(-1, classes).sum(axis=0, dtype=np.int64) for c in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def similar(shared, a, b):
     """Whether sets of a and b shingles with so many in common are similar enough."""
     return DEN * shared >= NUM * (a + b - shared)
@@ -115,14 +133,14 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def marked_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, fp, size, sketch columns, prefix, reach): the first ``reach`` of prefix against larger sets."""
+    """(doc_id, text_key, node, fp, size, sketch columns, counts, prefix, reach): the first ``reach`` of prefix against larger sets."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # at most COMMON_SHINGLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                nodes, votes, counts, sizes, sketches, prefixes, reach = [], [], [], [], [], [], []
+                nodes, votes, counts, sizes, sketches, classes, prefixes, reach = [], [], [], [], [], [], [], []
                 for text in part.column("text"):
                     bits = np.zeros(64, np.int64)
                     own, n = shingle_set(text.as_py() or b"", bits)
@@ -136,6 +154,7 @@ def marked_texts(docs: DataFrame) -> DataFrame:
                     counts.append(n)
                     sizes.append(len(own))
                     sketches.append(sketch_of(own))
+                    classes.append(class_counts(own).tobytes())
                     prefixes.append(np.concatenate([own[~last], own[last]])[:long].view(np.int64))
                     reach.append(short)
                 fp = _majority(np.array(votes), np.array(counts))
@@ -143,14 +162,14 @@ def marked_texts(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     [
                         part.column("doc_id"), part.column("text_key"), pa.array(np.concatenate(nodes).view(np.int64)), pa.array(fp.view(np.int64)),
-                        pa.array(sizes, pa.int32()), *map(pa.array, np.stack(sketches, axis=1)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes))), pa.array(reach, pa.int32()),
+                        pa.array(sizes, pa.int32()), *map(pa.array, np.stack(sketches, axis=1)), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes))), pa.array(reach, pa.int32()),
                     ],
-                    names=["doc_id", "text_key", "node", "fp", "size", *SKETCH, "prefix", "reach"],
+                    names=["doc_id", "text_key", "node", "fp", "size", *SKETCH, "counts", "prefix", "reach"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, size int, {_SKETCHED}, prefix array<long>, reach int")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, size int, {_SKETCHED}, counts binary, prefix array<long>, reach int")
 
 
 # -- candidates -------------------------------------------------------------------------------
@@ -380,6 +399,41 @@ def unconnected(shared: DataFrame, roots: DataFrame, large: DataFrame) -> DataFr
 # -- verification -----------------------------------------------------------------------------
 
 
+def end_blocks(pairs: DataFrame) -> DataFrame:
+    """(node, blocks) of the nodes in ``pairs``, staged: in how many blocks the pairs of each are dealt out."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    return staged(ends.select("node", F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("blocks")), "blocks")
+
+
+def with_both(pairs: DataFrame, held: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with what the staged ``held`` (node, held) has of a as x and of b as y."""
+    held = held.join(broadcast_if_small(blocks), "node").select("node", "held", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    hot = broadcast_if_small(staged(blocks.where("blocks > 1"), "hot"))
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = pairs.join(hot.select(F.col("node").alias(end), F.col("blocks").alias(f"{end}_blocks")), end, "left")
+        pairs = pairs.withColumn(f"{end}_block", F.pmod(F.xxhash64(other), F.coalesce(f"{end}_blocks", F.lit(1))).cast("int")).drop(f"{end}_blocks")
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(held.select(F.col("node").alias(end), F.col("block").alias(f"{end}_block"), F.col("held").alias(name)), [end, f"{end}_block"])
+    return pairs.select("a", "b", "x", "y")
+
+
+def plausible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The (a, b) of the staged ``pairs`` of nodes whose class counts allow the similarity, staged."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                (n, x), (m, y) = ((end["size"].as_py(), np.frombuffer(end["counts"].as_buffer(), np.uint8)) for end in (x, y))
+                good.append((DEN + NUM) * least_apart(x, y) <= (DEN - NUM) * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    blocks = end_blocks(pairs)
+    ends = marked.join(broadcast_if_small(blocks.select("node")), "node", "left_semi")
+    counts = staged(ends.groupBy("node").agg(F.any_value(F.struct("size", "counts")).alias("held")), "counts")
+    return staged(with_both(pairs, counts, blocks).mapInArrow(compare, "a long, b long"), "plausible")
+
+
 def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) of the staged ``pairs`` of nodes whose sets are similar enough."""
 
@@ -399,8 +453,8 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(similar(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    blocks = staged(ends.select("node", F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("blocks")), "blocks")
+    pairs = plausible(pairs, marked)
+    blocks = end_blocks(pairs)
     one_text = marked.join(broadcast_if_small(blocks.select("node")), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("_key"))
     keys = broadcast_if_small(staged(one_text.select("_key").distinct(), "texts"))
     texts = docs.select(text_key().alias("_key"), F.col("text").cast("binary").alias("text")).join(keys, "_key", "left_semi").select("text")
@@ -408,16 +462,7 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
     # Sets are large: they are told apart by a shuffle of their own only if some text stands in several rows.
     if marked.select(F.col("text_key").alias("_key")).join(keys, "_key", "left_semi").count() > blocks.count():
         held = held.dropDuplicates(["node"])
-    held = staged(held, "sets")
-    held = held.join(broadcast_if_small(blocks), "node").select("node", "held", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    hot = broadcast_if_small(staged(blocks.where("blocks > 1"), "hot"))
-    for end, other in (("a", "b"), ("b", "a")):
-        pairs = pairs.join(hot.select(F.col("node").alias(end), F.col("blocks").alias(f"{end}_blocks")), end, "left")
-        pairs = pairs.withColumn(f"{end}_block", F.pmod(F.xxhash64(other), F.coalesce(f"{end}_blocks", F.lit(1))).cast("int")).drop(f"{end}_blocks")
-    for end, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(held.select(F.col("node").alias(end), F.col("block").alias(f"{end}_block"), F.col("held").alias(name)), [end, f"{end}_block"])
-    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return with_both(pairs, staged(held, "sets"), blocks).mapInArrow(verify, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
