@@ -65,13 +65,14 @@ def credits(t: Tables) -> DataFrame:
     return links.join(charts, "entity_kind").select("chart_id", "entity_id", "artist_id", "role")
 
 
-def artist_chart_stats(t: Tables, scope: str = "all", charts: list[int] | None = None) -> DataFrame:
-    """(artist_id, chart_id, …) over all charts, or some of them, in one pass.
+def artist_chart_stats(t: Tables, scope: str = "all", charts: list[int] | None = None, credited: DataFrame | None = None) -> DataFrame:
+    """(artist_id, chart_id, …) over all charts, or some of them, in one pass; ``credited`` stands for ``credits(t)``.
 
     Items are summed first (by artist, chart and item), so different items are counted without expanding rows; links
     by artist and week give the most entries at once - a week has at most a chart's depth of entries.
     """
-    links = credits(t) if scope == "all" else credits(t).where("role = 'primary'")
+    links = credits(t) if credited is None else credited
+    links = links if scope == "all" else links.where("role = 'primary'")
     linked = valid_entries(t, charts).join(links, ["chart_id", "entity_id"])
     weekly = linked.groupBy("artist_id", "chart_id", "week_id").agg(F.count("*").alias("n"))
     at_once = weekly.groupBy("artist_id", "chart_id").agg(F.max("n").cast("int").alias("max_simultaneous"))

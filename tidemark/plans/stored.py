@@ -9,9 +9,11 @@ from tidemark.operators import charts, ingest
 from tidemark.operators.asof import as_of
 from tidemark.operators.incremental import PLACED, ChartStore
 from tidemark.operators.requests import requested_records
-from tidemark.operators.stats import credits
+from tidemark.operators.stats import artist_chart_stats, credits, item_stats
+from tidemark.operators.valid_weeks import valid_entries
 from tidemark.plans.oracle import sql
 from tidemark.sources import week_files
+from tidemark.sources.by_entity import KEYS, by_entity
 from tidemark.sources.projection import Tables
 from tidemark.sources.shared import fresh_path
 from tidemark.sources.versions import Version, Versions
@@ -58,6 +60,25 @@ _add("item_stats_by_loads", lambda t: _loaded(t).item_stats(), sql("SELECT * FRO
 _add("artist_chart_stats_by_loads", lambda t: _loaded(t).artist_chart_stats(), sql("SELECT * FROM artist_chart_stats"))
 
 
+# -- buckets by item ------------------------------------------------------------------------------
+
+
+def _artists_by_entity(t: Tables) -> DataFrame:
+    """Entries and credits meet bucket by bucket; what is exchanged is summed by artist already."""
+    placed, credited = by_entity(t, credits(t), t.placed_home)
+    return artist_chart_stats(placed, credited=credited)
+
+
+def _items_by_entity(t: Tables) -> DataFrame:
+    """The careers of all charts' items, without an exchange of entries."""
+    placed, _ = by_entity(t, credits(t), t.placed_home)
+    return item_stats(valid_entries(placed), KEYS)
+
+
+_add("artist_chart_stats_by_entity", _artists_by_entity, sql("SELECT * FROM artist_chart_stats"))
+_add("item_stats_by_entity", _items_by_entity, sql("SELECT * FROM item_stats"))
+
+
 def _published(t: Tables) -> DataFrame:
     """Two writers who number songs: the second publishes while the first builds, which builds again on the other's rows."""
     folder, started = fresh_path(_spark(t), "published"), []

@@ -46,6 +46,7 @@ class Tables:
     song_artists: DataFrame  # entity_id, artist_id, role
     album_artists: DataFrame
     home: str | None = None  # the folder of what is kept of the titles of songs and albums
+    placed_home: str | None = None  # and of entries and credits by item
 
     @cached_property
     def by_kind(self) -> dict[str, tuple[DataFrame, DataFrame | None]]:
@@ -55,7 +56,7 @@ class Tables:
 
     def views(self, prefix: str = "") -> None:
         """Registers the relations as temporary views."""
-        for f in fields(self)[:-1]:
+        for f in fields(self)[:-2]:
             getattr(self, f.name).createOrReplaceTempView(prefix + f.name)
 
 
@@ -173,4 +174,5 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
         (F.col("p_partkey") + 1).alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("title"), F.col("p_brand").alias("artist_credit")
     )
     albums = customer.select((F.col("c_custkey") + 1).alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("artist_credit"))
-    return Tables(charts, weeks, entries, songs, albums, artists, song_artists, album_artists, stored_path(spark, sf_dir, ("part", "customer"), "titles"))
+    homes = stored_path(spark, sf_dir, ("part", "customer"), "titles"), stored_path(spark, sf_dir, ("lineitem", "orders", "part", "customer", "supplier"), "placed")
+    return Tables(charts, weeks, entries, songs, albums, artists, song_artists, album_artists, *homes)
