@@ -66,3 +66,29 @@ def test_overfull_ranges_are_subdivided(make_docs, monkeypatch):
     monkeypatch.setattr(sharding, "splitters", lambda keys, n, f=sharding.splitters: f(keys, min(n, 3)))
     rows = [(i, f"t{i}") for i in range(800)]
     check(sharding.shard(make_docs(rows), 5).collect(), rows, 5)
+
+
+def test_each_overfull_range_is_cut_by_its_own_keys():
+    key = lambda k: (k, 0, 0)
+    bounds = [key(10), key(20), key(30)]
+    drawn = sorted([key(10)] * 90 + [key(12), key(15)] + [key(20)] * 7 + [key(k) for k in range(30, 50)])
+    cuts = sharding.subdivided(bounds, drawn, [1, 2, 3])
+    assert cuts[1] == [key(15)]  # its first record takes all quantiles: the middle of the other keys
+    assert 2 not in cuts  # nothing to cut at
+    assert len(cuts[3]) == 4 and all(key(30) < k < key(50) for k in cuts[3])
+    assert sharding.subdivided(bounds, [], [1]) == {} and sharding.subdivided([], [key(4)], [0]) == {0: [key(4)]}
+
+
+def test_a_range_that_cannot_be_cut_keeps_no_other_from_it(make_docs, monkeypatch):
+    """The range of a huge record draws that record alone; all others are still cut to their bound."""
+    bounds = []
+    monkeypatch.setattr(sharding, "splitters", lambda keys, n, f=sharding.splitters: f(keys, min(n, 4)))
+    monkeypatch.setattr(sharding, "range_of", lambda found, f=sharding.range_of: bounds.append(found) or f(found))
+    rows = [(-1, "x" * 200_000)] + [(i, f"text {i}") for i in range(1500)]
+    docs = make_docs(rows)
+    check(sharding.shard(docs, 5).collect(), rows, 5)
+    held = defaultdict(list)
+    for r in sharding.records(docs).withColumn("range", sharding.range_of(bounds[-1])).collect():
+        held[r["range"]].append(r["size"])
+    most = 2 * sum(map(sum, held.values())) // sharding.LEAST_RANGES
+    assert max(sum(s) - max(s) for s in held.values()) <= most

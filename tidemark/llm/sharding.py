@@ -6,8 +6,9 @@
    more with probability frac(s / step), by a hash of its key, so a retried task draws the same sample.
    Its expected length is a parameter, whatever the input's size.
 3. Quantiles of the sample become range boundaries; each record finds its range by binary search.
-4. Ranges are measured; those of more than twice the mean bytes are subdivided by a denser sample of
-   their own keys until none is left (but a record that is larger than that by itself).
+4. Ranges are measured; those that hold more than twice the mean bytes besides their largest record are
+   subdivided, each by a denser sample of its own keys, until none is left.  A range in which a whole round
+   draws no key to cut at stays as it is, and the others go on.
 5. Running bytes inside each range plus the bytes of the ranges before it give each record its place
    in the whole order, and the place gives the shard and the slot.  The splitters decide which records
    follow each other in a range and what a task holds; a shard is a run of whole ranges, and the range
@@ -22,6 +23,7 @@ besides doc_id (a whole number) and text are not looked at; an empty table gives
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +73,23 @@ def splitters(keys: list[Key], ranges: int) -> list[Key]:
     return sorted({keys[i * n // ranges] for i in range(1, ranges)}) if n else []
 
 
+def subdivided(bounds: list[Key], keys: list[Key], over: list[int], parts: int = 5) -> dict[int, list[Key]]:
+    """New boundaries within each of the ranges ``over`` in which a sampled key allows one, at the quantiles of its own keys.
+
+    Where a record that already bounds its range takes all quantiles, the range is cut in the middle of its other keys.
+    """
+    of_range = {r: [] for r in over}
+    for key in keys:
+        if (r := bisect_right(bounds, key)) in of_range:
+            of_range[r].append(key)
+    found = {}
+    for r, own in of_range.items():
+        own_bound = bounds[r - 1] if r else None
+        others = sorted({k for k in own if k != own_bound})
+        found[r] = [k for k in splitters(own, parts) if k != own_bound] or splitters(others, 2)
+    return {r: cuts for r, cuts in found.items() if cuts}
+
+
 def _constants(structs: list[str]):
     """An array of constant structs, parsed in one go."""
     return F.expr(f"array({', '.join(structs)})")
@@ -100,24 +119,30 @@ def shard(docs: DataFrame, shards: int = SHARDS, samples_a_range: int = SAMPLES_
 
     def measured():
         placed = sized.withColumn("range", range_of(bounds))
-        found = placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-        return {r["range"]: (r["b"], r["n"]) for r in found.collect()}  # a row for each range
+        found = placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("size").alias("largest"))
+        return {r["range"]: (r["b"], r["n"], r["largest"]) for r in found.collect()}  # a row for each range
 
     sizes = measured()
-    round_no = 0
-    while over := [r for r, (b, n) in sizes.items() if b > 2 * max(1, total // ranges) and n > 1]:
+    round_no, uncut = 0, set()  # the first boundaries of ranges in which a whole round found no key to cut at
+
+    def overfull() -> list[int]:
+        """The ranges that hold too much besides their largest record, which no boundary can cut: fewer than half of all."""
+        most = 2 * max(1, total // ranges)
+        return [r for r, (b, _, largest) in sizes.items() if b - largest > most and (bounds[r - 1] if r else None) not in uncut]
+
+    while over := overfull():
         round_no += 1
         inside = sized.withColumn("range", range_of(bounds)).where(F.col("range").isin(over))
-        more = splitters(sample_keys(inside, step / 8, round_no), 4 * len(over) + 1)  # fewer than half of the ranges are over
-        if set(more) <= set(bounds):
-            break
-        bounds = sorted({*bounds, *more})
-        sizes = measured()
+        more = subdivided(bounds, sample_keys(inside, step / 8, round_no), over)
+        uncut |= {bounds[r - 1] if r else None for r in over if r not in more}
+        if more:
+            bounds = sorted({*bounds, *(k for cuts in more.values() for k in cuts)})
+            sizes = measured()
 
     starts, bytes_before, rows_before = [], 0, 0
     for r in range(len(bounds) + 1):
         starts.append((bytes_before, rows_before))
-        b, n = sizes.get(r, (0, 0))
+        b, n, _ = sizes.get(r, (0, 0, 0))
         bytes_before, rows_before = bytes_before + b, rows_before + n
     start = F.get(_constants([f"named_struct('b', {b}L, 'n', {n}L)" for b, n in starts]), F.col("range"))
 
