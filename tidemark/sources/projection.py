@@ -30,6 +30,8 @@ ENTRY_COLUMNS = "chart_id int, week_id int, chart_date date, entity_id long, ran
 #: To be raised with every change to what is stored, so that no later session finds entries of another making.
 LAYOUT = 2
 CORE_SONGS, CORE_ALBUMS = 1, 2
+#: Lines or orders that a task is meant to sum and rank.
+TASK_ROWS = 1 << 20
 GENDERS = ["female", "male", "group", "mixed", "unknown"]
 
 
@@ -72,17 +74,25 @@ def _by_chart(rows: DataFrame, charts: dict[int, str], name: str) -> DataFrame:
     return out.where(name) if dict(out.dtypes)[name] == "boolean" else out.where(f"{name} is not null")
 
 
+def _dealt(rows: DataFrame, counted: int, *by: str) -> DataFrame:
+    """``rows`` dealt by columns to as many tasks as their number asks for: more rows make more tasks, not larger ones."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-counted // TASK_ROWS)), *by)
+
+
 def weekly_units(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """(chart_id, chart_date, entity_id, units): a line counts for its part's chart, its supplier's and, if returned, the genre chart.
 
-    Both song charts come out of one aggregate, summed in the tasks before anything is shuffled.
+    Both song charts come out of one aggregate.  An item has few lines in a week, so sums within the reading tasks would hardly
+    make fewer rows; the lines themselves are dealt by week and item, and a task holds the sums of about ``TASK_ROWS`` of them.
     """
-    sold = lineitem.select(_week("l_shipdate"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("n"), "l_returnflag")
-    songs = sold.groupBy("chart_date", (F.col("l_partkey") + 1).alias("entity_id")).agg(F.sum("n").alias("core"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("n"))).alias("genre"))
-    artists = sold.groupBy("chart_date", (F.col("l_suppkey") + 1).alias("entity_id")).agg(F.sum("n").alias("units"))
-    albums = orders.groupBy(_week("o_orderdate"), (F.col("o_custkey") + 1).alias("entity_id")).agg(F.count("*").alias("units"))
+    sold = lineitem.select(_week("l_shipdate"), (F.col("l_partkey") + 1).alias("song"), (F.col("l_suppkey") + 1).alias("artist"), F.col("l_quantity").cast("long").alias("n"), "l_returnflag")
+    lines, ordered = lineitem.count(), orders.count()
+    of_item = lambda rows, item, counted: _dealt(rows.where(f"{item} is not null").withColumnRenamed(item, "entity_id"), counted, "chart_date", "entity_id").groupBy("chart_date", "entity_id")
+    songs = of_item(sold.drop("artist"), "song", lines).agg(F.sum("n").alias("core"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("n"))).alias("genre"))
+    artists = of_item(sold.select("chart_date", "artist", "n"), "artist", lines).agg(F.sum("n").alias("units"))
+    albums = of_item(orders.select(_week("o_orderdate"), (F.col("o_custkey") + 1).alias("album")), "album", ordered).agg(F.count("*").alias("units"))
     of_chart = lambda i, rows: rows.select(F.lit(i).alias("chart_id"), "chart_date", "entity_id", "units")
-    return _by_chart(songs, {1: "core", 4: "genre"}, "units").unionByName(of_chart(2, albums)).unionByName(of_chart(3, artists)).where("entity_id is not null")
+    return _by_chart(songs, {1: "core", 4: "genre"}, "units").unionByName(of_chart(2, albums)).unionByName(of_chart(3, artists))
 
 
 def ranked_units(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
