@@ -92,3 +92,15 @@ def test_long_texts_are_scored_but_not_learnt_from(spark, make_docs):
     sample = labels.training_rows(make_docs(rows), marks, "toxic")
     assert sample and {r["text"] for r in sample} == {"short"}
     assert tox.score_toxicity(make_docs(rows), tox.fit(make_docs(rows), marks)).count() == len(rows)
+
+
+def test_learns_from_every_labelled_row(spark, make_docs, monkeypatch):
+    """More rows than a shard, and long ones: the words of all of them have weight, and shards agree on one model."""
+    monkeypatch.setattr(tox, "SHARD_ROWS", 60, raising=False)
+    monkeypatch.setattr("tidemark.llm.labels.TRAINING_ROWS", 60)
+    monkeypatch.setattr("tidemark.llm.labels.training_rows.__defaults__", (60,))
+    rows = [(i, "calm words here " * 3 + ("vilest" if i % 2 else "kind")) for i in range(400)] + [(400 + i, "grubby " + "w " * 20_000) for i in range(24)]
+    marks = spark.createDataFrame([(i, 1, i % 2 if i < 400 else 1) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = tox.fit(make_docs(rows), marks)
+    bad, good, long_ = (r["score"] for r in tox.score_toxicity(make_docs([(1, "vilest"), (2, "kind"), (3, "grubby")]), model).orderBy("doc_id").collect())
+    assert bad > 0.5 > good and long_ > 0.5

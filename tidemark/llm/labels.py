@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import broadcast_if_small, staged
+
 #: At most so many labelled rows are collected to train a model; the same rows for the same labels.
 TRAINING_ROWS = 8000
 #: Texts of more UTF-8 bytes are scored but not learnt from, so a sample has at most TRAINING_ROWS times as many.
@@ -31,6 +33,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = T
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).select("text", "lang", "y").collect()
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, lang, y) of every labelled row outside the held-out fold, whatever its length.
+
+    A null label or id teaches nothing; an id with contradicting labels counts as its larger one.
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    chosen = staged(usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), "labelled")
+    return docs.select("doc_id", "text", "lang").join(broadcast_if_small(chosen), "doc_id")
+
+
 #: Values of a feature count as different from this relative distance on: far above what maths libraries differ by.
 APART = 1e-9
 #: Where a cut lies between two values: at no simple fraction, so that no whole number or ratio unseen in the sample lies on it.
