@@ -104,3 +104,37 @@ def test_learns_from_every_labelled_row(spark, make_docs, monkeypatch):
     model = tox.fit(make_docs(rows), marks)
     bad, good, long_ = (r["score"] for r in tox.score_toxicity(make_docs([(1, "vilest"), (2, "kind"), (3, "grubby")]), model).orderBy("doc_id").collect())
     assert bad > 0.5 > good and long_ > 0.5
+
+
+def test_features_of_many_words():
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghéßł中文\U00020000а²Ⅷ")
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 40, 3000)] + ["a", "x" * 32, "y" * 33, "é" * 50, "z" * 5000]
+    assert tox.features_of(words).tolist() == [tox.features(w) for w in words]
+    assert tox.features_of([]).shape == (0, 1 + len(tox.PREFIXES))
+
+
+def test_shards_follow_the_rows_and_sums_the_cores(spark, make_docs, monkeypatch):
+    """More partitions than were asked for make no smaller shards, and more shards than cores send no more arrays."""
+    from pyspark import TaskContext
+
+    sizes, tasks, cores = [], [], spark.sparkContext.defaultParallelism
+    fitted, frame = tox._fitted, type(make_docs([]))
+    deal = frame.repartition
+    of_task = lambda shard: np.eye(100, dtype=np.float32)[TaskContext.get().partitionId()]
+
+    def seen(shards):
+        sizes.append([r["n"] for r in shards.select("n").collect()])
+        tasks.append(tox._over_shards(shards, of_task))
+        return fitted(shards)
+
+    monkeypatch.setattr(tox, "_fitted", seen)
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: deal(self, max(n, 40) if by else n, *by))
+    monkeypatch.setattr(tox, "EPOCHS", (1, 2))
+    rows = [(i, "calm words here " + ("vilest" if i % 2 else "kind")) for i in range(400)]
+    marks = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    tox.fit(make_docs(rows), marks)
+    assert len(sizes[0]) == 1 and sizes[0][0] > 200
+    monkeypatch.setattr(tox, "SHARD_ROWS", 10)
+    tox.fit(make_docs(rows), marks)
+    assert len(sizes[1]) == tasks[1].sum() > cores >= (tasks[1] > 0).sum()

@@ -29,7 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch, staged
@@ -48,6 +48,8 @@ SHARD_ROWS, SHARD_CHARS = 8000, 64 << 20
 CALIBRATION, LEAST_TOXIC = 5, 10
 #: Words of a part of a text; words that a worker remembers.
 PART_WORDS, MEMO_WORDS = 1 << 15, 150_000
+#: Words whose features are found together; longer ones are taken one by one.
+FEATURE_WORDS, LONG_WORD = 1 << 13, 32
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -63,6 +65,58 @@ def features(word: str) -> list[int]:
     return found + [0] * (1 + len(PREFIXES) - len(found))
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _crc_of(state: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+    """CRC-32 states one byte further."""
+    return _CRC[(state ^ byte) & 0xFF] ^ (state >> 8)
+
+
+def features_of(words: list[str]) -> np.ndarray:
+    """``features`` of many words, a row for each: the states of their CRCs go from character to character together."""
+    out = np.zeros((len(words), 1 + len(PREFIXES)), np.int32)
+    short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+    for at in range(0, len(short), FEATURE_WORDS):
+        rows = np.array(short[at : at + FEATURE_WORDS])
+        own = np.array([words[i] for i in rows])
+        chars = own.view(np.uint32).reshape(len(rows), -1)
+        sizes = (chars != 0).sum(axis=1)
+        by_size = np.argsort(-sizes, kind="stable")  # so that the words that go on are always the first ones
+        rows, chars, sizes = rows[by_size], np.ascontiguousarray(chars[by_size].T), sizes[by_size]
+        bucket = lambda state: (state ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS - 1) + 1
+        state = np.full(len(rows), 0xFFFFFFFF, np.uint32)
+        for n, column in enumerate(chars, 1):
+            alive = int(np.searchsorted(-sizes, -n, "right"))
+            state, c = state[:alive], column[:alive]
+            wide = np.flatnonzero(c > 0x7F)
+            after = _crc_of(state, c)
+            if len(wide):  # UTF-8 of two to four bytes
+                x, begun = c[wide], state[wide]
+                more = np.where(x > 0xFFFF, 3, np.where(x > 0x7FF, 2, 1)).astype(np.uint32)
+                begun = _crc_of(begun, np.array([0, 0xC0, 0xE0, 0xF0], np.uint32)[more] | (x >> (6 * more)))
+                for left in (2, 1, 0):
+                    goes = more > left
+                    begun = np.where(goes, _crc_of(begun, 0x80 | ((x >> np.uint32(6 * left)) & 0x3F)), begun)
+                after[wide] = begun
+            state = after
+            longer = int(np.searchsorted(-sizes, -(n + 1), "right"))
+            out[rows[longer:alive], 0] = bucket(state[longer:])
+            if n in PREFIXES:
+                out[rows[:longer], 1 + PREFIXES.index(n)] = bucket(_crc_of(state[:longer], ord("~")))
+    for i, w in enumerate(words):
+        if len(w) > LONG_WORD:
+            out[i] = features(w)
+    return out
+
+
 def passes(rows: int) -> int:
     return min(EPOCHS[1], max(EPOCHS[0], LEAST_STEPS * BATCH // max(1, rows)))
 
@@ -73,7 +127,7 @@ class Shard:
     def __init__(self, texts: Iterable[list[str]], labels: np.ndarray):
         number: dict[str, int] = {}
         self.rows = [np.array([number.setdefault(w, len(number) + 1) for w in words] or [0], np.int32) for words in texts]
-        self.table = np.array([[0] * (1 + len(PREFIXES))] + [features(w) for w in number])
+        self.table = np.concatenate([np.zeros((1, 1 + len(PREFIXES)), np.int32), features_of(list(number))])
         self.labels = np.asarray(labels, np.float32)
 
     def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
@@ -83,7 +137,7 @@ class Shard:
     @classmethod
     def unpacked(cls, table: bytes, words: bytes, lengths: bytes, labels: bytes) -> Shard:
         shard = cls.__new__(cls)
-        shard.table = np.frombuffer(table, np.int32).reshape(-1, 1 + len(PREFIXES)).astype(np.int64)
+        shard.table = np.frombuffer(table, np.int32).reshape(-1, 1 + len(PREFIXES))
         shard.rows = np.split(np.frombuffer(words, np.int32), np.cumsum(np.frombuffer(lengths, np.int64))[:-1])
         shard.labels = np.frombuffer(labels, np.float32)
         return shard
@@ -187,9 +241,10 @@ class TextCNN:
         for w, kernel in zip(WIDTHS, self.filters, strict=True):
             answer = sum(vectors[valid + k] @ kernel[k] for k in range(w))
             top = np.maximum.reduceat(answer, edges, axis=0)
-            hit = answer == top[owner]
-            where = np.where(hit, np.arange(len(answer))[:, None], len(answer))
-            winners.append(valid[np.minimum(np.minimum.reduceat(where, edges, axis=0), len(answer) - 1)])
+            hit, of = np.nonzero(answer == top[owner])
+            first = np.full(top.shape, len(answer) - 1)
+            first[owner[hit[::-1]], of[::-1]] = hit[::-1]  # of several the first one is written last
+            winners.append(valid[first])
             pooled.append(top)
         raw = np.concatenate(pooled, axis=1) + self.bias
         drop = (rng.random(raw.shape) > 0.2) / np.float32(0.8)
@@ -231,19 +286,26 @@ class Scorer:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.projected = np.zeros((1, self.kernel.shape[1]), np.float32)
+        self.projected = np.zeros((1024, self.kernel.shape[1]), np.float32)  # from row 1 on, with room
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        if (found < 0).any():
-            new = list(dict.fromkeys(words[i] for i in np.flatnonzero(found < 0)))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            missed = [words[i] for i in unknown]
+            new = list(dict.fromkeys(missed))
             if len(self.number) + len(new) > MEMO_WORDS and self.number:
                 self._forget()
                 return self._numbers(words)
-            self.number.update(zip(new, range(len(self.projected), len(self.projected) + len(new)), strict=True))
-            vectors = self.model.embedding[np.array([features(w) for w in new])].sum(axis=1)
-            self.projected = np.concatenate([self.projected, vectors @ self.kernel])
-            found = np.fromiter(map(self.number.get, words), np.int64, len(words))
+            start = len(self.number) + 1
+            end = start + len(new)
+            if end > len(self.projected):
+                room = np.zeros((max(end, 2 * len(self.projected)), self.kernel.shape[1]), np.float32)
+                room[:start] = self.projected[:start]
+                self.projected = room
+            self.projected[start:end] = self.model.embedding[features_of(new)].sum(axis=1) @ self.kernel
+            self.number.update(zip(new, range(start, end), strict=True))
+            found[unknown] = np.fromiter(map(self.number.get, missed), np.int64, len(missed))
         return found
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -320,42 +382,50 @@ _PACKED = ["words", "numbers", "lengths", "labels"]
 def _shards(rows: DataFrame) -> DataFrame:
     """A row for each shard of the labelled texts (text, y) of a task; a task holds one shard at a time."""
 
-    def packed(texts: list, labels: list) -> pa.RecordBatch:
-        cells = Shard(texts, np.array(labels)).packed()
-        return pa.record_batch([pa.array([len(labels)], pa.int64()), pa.array([sum(labels)], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], names=["n", "toxic", *_PACKED])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        same: dict[str, str] = {}  # one object for each different word: a text then costs its pointers
-        texts, labels, size = [], [], 0
-        for batch in batches:
-            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
-                text = text.as_py()
-                texts.append([same.setdefault(w, w) for w in words_of(text)])
-                labels.append(y)
-                size += len(text or "")
-                if len(texts) >= SHARD_ROWS or size >= SHARD_CHARS:
-                    yield packed(texts, labels)
-                    same, texts, labels, size = {}, [], [], 0
-        if texts:
-            yield packed(texts, labels)
+        rows = ((text.as_py(), y) for batch in batches for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True))
+        ended = False
+        while not ended:
+            labels: list[int] = []
+
+            def of_shard(labels=labels) -> Iterator[list[str]]:
+                """The words of one text at a time, until the shard is full."""
+                nonlocal ended
+                size = 0
+                while len(labels) < SHARD_ROWS and size < SHARD_CHARS:
+                    text, y = next(rows, (None, None))
+                    if y is None:
+                        ended = True
+                        return
+                    labels.append(y)
+                    size += len(text or "")
+                    yield words_of(text)
+
+            shard = Shard(of_shard(), labels)
+            if labels:
+                cells = shard.packed()
+                yield pa.record_batch([pa.array([len(labels)], pa.int64()), pa.array([sum(labels)], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], names=["n", "toxic", *_PACKED])
 
     return rows.select("text", "y").mapInArrow(run, "n long, toxic long, " + ", ".join(f"{c} binary" for c in _PACKED))
 
 
 def _over_shards(shards: DataFrame, of_shard: Callable[[Shard], np.ndarray]) -> np.ndarray:
-    """The sum of an array over all shards: within each task first, then between tasks."""
+    """The sum of an array over all shards: within each task first, then between tasks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    As many tasks as the session has cores at most, whatever the shards' number: what is shuffled is an array of each task.  Shards
+    come one by one, as the rows of an RDD do: a batch of Arrow would hold all of a task's.
+    """
+
+    def run(rows: Iterator[Row]) -> Iterator[np.ndarray]:
         total = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = of_shard(Shard.unpacked(*(batch.column(c)[i].as_py() for c in _PACKED)))
-                total = found if total is None else total + found
+        for row in rows:
+            found = of_shard(Shard.unpacked(*row))
+            total = found if total is None else total + found
         if total is not None:
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([total.dtype.str])], names=["sum", "kind"])
+            yield total
 
-    sums = shards.select(*_PACKED).mapInArrow(run, "sum binary, kind string").rdd.map(lambda r: np.frombuffer(r["sum"], r["kind"]))
-    return sums.treeReduce(np.add)
+    tasks = shards.sparkSession.sparkContext.defaultParallelism
+    return shards.select(*_PACKED).coalesce(tasks).rdd.mapPartitions(run).treeReduce(np.add)
 
 
 def _fitted(shards: DataFrame) -> TextCNN:
@@ -412,7 +482,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         held = F.pmod("hash", F.lit(CALIBRATION)) == 0
         taught = rows.where(~held).select("text", "y", "hash", "doc_id")
         tasks = max(1, -(-labels.count() // SHARD_ROWS))
-        shards = _shards(taught.repartition(tasks, "hash").sortWithinPartitions("hash", "doc_id", "text"))
+        # Where the session deals rows to more partitions than are asked for, a task still takes a shard's rows: small shards learn little.
+        shards = _shards(taught.repartition(tasks, "hash").coalesce(tasks).sortWithinPartitions("hash", "doc_id", "text"))
         return _calibrated(_fitted(staged(shards, "shards")), rows.where(held))
 
 
