@@ -29,7 +29,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch, staged
@@ -44,6 +45,8 @@ LEAST_TEXTS, SMOOTHING = 4, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE, TOXIC_WEIGHT = (4, 60), 500, 32, 0.003, 2.0
 #: Labelled rows and characters of text of a shard.
 SHARD_ROWS, SHARD_CHARS = 8000, 64 << 20
+#: Numbers of a piece of an array that is summed between tasks.
+PIECE = 1 << 16
 #: One training row in so many only calibrates; the model and a language need so many toxic ones for an own threshold.
 CALIBRATION, LEAST_TOXIC = 5, 10
 #: Words of a part of a text; words that a worker remembers.
@@ -410,22 +413,30 @@ def _shards(rows: DataFrame) -> DataFrame:
 
 
 def _over_shards(shards: DataFrame, of_shard: Callable[[Shard], np.ndarray]) -> np.ndarray:
-    """The sum of an array over all shards: within each task first, then between tasks.
+    """The sum of an array over all shards: within each task first, then piece by piece between tasks.
 
-    As many tasks as the session has cores at most, whatever the shards' number: what is shuffled is an array of each task.  Shards
-    come one by one, as the rows of an RDD do: a batch of Arrow would hold all of a task's.
+    As many tasks as the session has cores at most, whatever the shards' number: what is shuffled is an array of each task.
     """
 
-    def run(rows: Iterator[Row]) -> Iterator[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for row in rows:
-            found = of_shard(Shard.unpacked(*row))
-            total = found if total is None else total + found
-        if total is not None:
-            yield total
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = of_shard(Shard.unpacked(*(batch.column(c)[i].as_buffer() for c in _PACKED)))
+                total = found if total is None else total + found
+        for at in range(0, 0 if total is None else len(total), PIECE):
+            cells = [at], [TaskContext.get().partitionId()], [total.dtype.str], [total[at : at + PIECE].tobytes()]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(cells, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["at", "task", "kind", "piece"])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("task").to_pydict()  # sums of floats in one order
+        total = sum(np.frombuffer(piece, kind) for piece, kind in zip(rows["piece"], rows["kind"], strict=True))
+        return pa.table({"at": pa.array(rows["at"][:1], pa.int64()), "kind": pa.array(rows["kind"][:1]), "piece": pa.array([total.tobytes()], pa.binary())})
 
     tasks = shards.sparkSession.sparkContext.defaultParallelism
-    return shards.select(*_PACKED).coalesce(tasks).rdd.mapPartitions(run).treeReduce(np.add)
+    sums = shards.select(*_PACKED).coalesce(tasks).mapInArrow(run, "at long, task int, kind string, piece binary")
+    pieces = sums.groupBy("at").applyInArrow(summed, "at long, kind string, piece binary").collect()  # an array of fixed size
+    return np.concatenate([np.frombuffer(r["piece"], r["kind"]) for r in sorted(pieces, key=lambda r: r["at"])])
 
 
 def _fitted(shards: DataFrame) -> TextCNN:
