@@ -1,6 +1,8 @@
 import base64
+import gc
 import hashlib
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -55,3 +57,12 @@ def test_edge_cases(spark, make_docs):
     assert bytes(got[4]["decoded"]) == b"long words " * 50_000
     assert bpe.token_digests(make_docs(rows), vocabulary).count() == len(rows)
     assert bpe.token_digests(make_docs([]), vocabulary).count() == 0
+
+
+def test_an_encoder_goes_with_its_vocabulary(spark):
+    vocabulary = bpe.public_vocabulary(spark)
+    held = weakref.ref(vocabulary.encoder())
+    assert vocabulary.encoder() is held()
+    del vocabulary
+    gc.collect()
+    assert held() is None

@@ -4,6 +4,7 @@ import base64
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -105,3 +106,27 @@ def test_whole_run(spark):
         docs = staged(f(spark, docs, SF), name)
     assert sorted(r["doc_id"] for r in ran.collect()) == sorted(r["doc_id"] for r in docs.collect())
     assert 0 < ran.count() < table(spark, SF, "documents").count()
+
+
+def test_stages_hold_few_texts_at_once(spark):
+    docs = staged(spark.range(5000).selectExpr("id as doc_id", "concat('text of number ', id) as text", "'en' as lang", "'s' as source", "1 as n_chars").coalesce(1), "documents")
+
+    def lengths(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    defaults = {"spark.sql.parquet.columnarReaderBatchSize": "4096", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+    before = {key: spark.conf.get(key) for key in defaults}
+    try:
+        for name, f in corpus_pipeline.STAGES:
+            for key, default in defaults.items():
+                spark.conf.set(key, default)
+            f(spark, docs if name == "decontaminate" else docs.where("false"), SF).count()
+            at_once = [r["n"] for r in docs.mapInArrow(lengths, "n long").collect()]
+            assert sum(at_once) == 5000 and max(at_once) <= 1024, name
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # a caller's smaller bound stays
+        corpus_pipeline.drop_benchmark_leaks(spark, docs, SF)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

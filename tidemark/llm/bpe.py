@@ -241,23 +241,33 @@ class ByteBPE:
 
 
 _GAP = regex.compile(r"(?<=\S)\s")
-_LOADED: dict[str, ByteBPE] = {}
+
+
+class _File:
+    """The bytes of a vocabulary file and the encoder that a worker builds from them: it goes with the worker's copy of the bytes."""
+
+    def __init__(self, raw: bytes, pattern: str):
+        self.raw, self.pattern = raw, pattern
+        self._encoder: ByteBPE | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_encoder": None}
+
+    def encoder(self) -> ByteBPE:
+        if self._encoder is None:
+            self._encoder = ByteBPE(self.raw, self.pattern)
+        return self._encoder
 
 
 class Vocabulary:
-    """A vocabulary file read once by the driver; workers build their encoder from the broadcast bytes."""
+    """A vocabulary file read once by the driver; workers build their encoder from the broadcast bytes, for as long as tasks use them."""
 
     def __init__(self, spark, path: str, pattern: str):
         with open(path, "rb") as file:
-            raw = file.read()
-        self.name = hashlib.sha256(raw + pattern.encode()).hexdigest()
-        self.pattern = pattern
-        self.raw = spark.sparkContext.broadcast(raw)  # one vocabulary file, whatever the corpus
+            self.file = spark.sparkContext.broadcast(_File(file.read(), pattern))  # one vocabulary file, whatever the corpus
 
     def encoder(self) -> ByteBPE:
-        if self.name not in _LOADED:
-            _LOADED[self.name] = ByteBPE(self.raw.value, self.pattern)
-        return _LOADED[self.name]
+        return self.file.value.encoder()
 
 
 def public_vocabulary(spark, name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:
